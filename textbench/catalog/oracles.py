@@ -94,17 +94,16 @@ def sql(body: str, *more: str) -> str:
 
 def per_class(labels=LABELS) -> str:
     """One row per model and listed label; the counts come from three plain group-bys."""
-    listed = ", ".join(f"({i}::bigint, '{label}')" for i, label in enumerate(labels))
+    listed = ", ".join(f"{{'label_id': {i}::bigint, 'label': '{label}'}}" for i, label in enumerate(labels))
     return f"""
-listed(label_id, label) as (values {listed}),
-models as (select distinct model from predictions),
+listed as (select model, unnest([{listed}], recursive := true) from (select distinct model from predictions)),
 supports as (select model, true_label as label, count(*) as support from predictions group by all),
 predicteds as (select model, pred_label as label, count(*) as predicted from predictions group by all),
 hits as (select model, true_label as label, count(*) as tp from predictions where true_label = pred_label group by all),
 counted as (
-  select models.model, listed.label_id, listed.label,
+  select model, label_id, label,
     coalesce(tp, 0) as tp, coalesce(predicted, 0) as predicted, coalesce(support, 0) as support
-  from models cross join listed left join supports using (model, label)
+  from listed left join supports using (model, label)
     left join predicteds using (model, label) left join hits using (model, label)),
 per_class as (
   select *, case when predicted > 0 then tp::double / predicted else 0 end as precision,
@@ -435,8 +434,9 @@ from per_class""",
         """select c.model as candidate, b.model as baseline, round(c.macro_f1, 4) as candidate_f1,
   round(b.macro_f1, 4) as baseline_f1, round(100.0::double * (c.macro_f1 - b.macro_f1), 4) as points,
   case when b.macro_f1 > 0 then round(c.macro_f1 / b.macro_f1, 4) end as ratio
-from ranked c join (select model, macro_f1 from ranked where rank > 1 union all select 'random guess', 1.0::double / 6) b on true
-where c.rank = 1""",
+from (select * from ranked where rank = 1) c
+  join (select 1 as best, model, macro_f1 from ranked where rank > 1 union all select 1, 'random guess', 1.0::double / 6) b
+  on c.rank = b.best""",
         per_class(),
         RANKED,
     ),
@@ -481,11 +481,11 @@ where rank <= 10""",
 token_counts as (select label, token, count(*) as n from {tokens_of("(select lang as label, text from labelled)", "label")} group by all),
 in_label as (select label, sum(n) as label_total from token_counts group by label),
 by_token as (select token, sum(n) as n_all from token_counts group by token),
-overall as (select sum(n) as all_total from token_counts),
+totals as (select *, sum(label_total) over () as all_total from in_label),
 scores as (
   select label, token, n, round(ln((n + 1.0::double) / (label_total - n + 1.0::double))
     - ln((n_all - n + 1.0::double) / (all_total - label_total - (n_all - n) + 1.0::double)), 6) as score
-  from token_counts join in_label using (label) join by_token using (token), overall)""",
+  from token_counts join totals using (label) join by_token using (token))""",
     ),
     # sort, limit, sets, sampling
     "row_ordinal": "select doc_id, row_number() over (order by doc_id) - 1 as ordinal from documents",

@@ -449,9 +449,8 @@ def weighted_sample(spark, d):
 
 
 @lru_cache(maxsize=4)
-def _trained(application: str, d: str):
-    """The saved model of a session, trained when first asked for."""
-    spark = SparkSession.getActiveSession()
+def trained(spark, d):
+    """(model, path): the saved model of a session, trained when first asked for."""
     rows = X.trainable(spark, d)
     train = rows.filter(F.col("split") == "train")
     model = TR.train_classifier(train, TR.label_list(train))
@@ -460,10 +459,6 @@ def _trained(application: str, d: str):
     return model, path
 
 
-def trained(spark, d):
-    return _trained(spark.sparkContext.applicationId, d)
-
-
 @query
 def train_classifier(spark, d):
     """Confusion on the training rows of a model fitted here."""

@@ -27,8 +27,12 @@ def saved_output(raw: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, in text order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    """Lower-case runs of letters, in text order; a missing text is the text ``nan``.
+
+    a-z is named first and the run is possessive only because that matches faster.
+    """
+    known = F.coalesce(text, F.lit(MISSING_TEXT))
+    return F.regexp_extract_all(F.lower(known), F.lit(r"[a-z\p{L}]++"), F.lit(0))
 
 
 def fixed_decimals(value: Column, digits: int) -> Column:

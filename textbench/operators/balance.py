@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from textbench.fixed import COUNT_SMOOTHING, LABELS
 from textbench.operators.labels import label_in_range, labels_frame
 from textbench.operators.rows import ordinal_within
 
-ALL_CLASSES = Window.partitionBy()  # used on the K rows of a class table only
+
+def _all_classes() -> WindowSpec:
+    """Used on the K rows of a class table only."""
+    return Window.partitionBy()
 
 
 def zero_filled_counts(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -36,7 +39,7 @@ def class_distribution(df: DataFrame, splits: Sequence[str] = ("train", "val", "
     parts = [F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s}") for s in splits]
     counts = df.groupBy("label").agg(*parts, F.count("*").alias("n_all"))
     shares = [
-        F.round(100.0 * F.col(f"n_{s}") / F.nullif(F.sum(f"n_{s}").over(ALL_CLASSES), F.lit(0)), 4).alias(f"pct_{s}")
+        F.round(100.0 * F.col(f"n_{s}") / F.nullif(F.sum(f"n_{s}").over(_all_classes()), F.lit(0)), 4).alias(f"pct_{s}")
         for s in [*splits, "all"]
     ]
     return counts.select("*", *shares)
@@ -45,7 +48,7 @@ def class_distribution(df: DataFrame, splits: Sequence[str] = ("train", "val", "
 def class_weights(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """n_total / (K * n_class), 0 for a class without rows; K counts all listed classes."""
     counts = class_counts(df, labels)
-    total = F.sum("n").over(ALL_CLASSES)
+    total = F.sum("n").over(_all_classes())
     return counts.withColumn(
         "weight", F.when(F.col("n") > 0, total / (F.lit(float(len(labels))) * F.col("n"))).otherwise(F.lit(0.0))
     )
@@ -103,21 +106,21 @@ def weighted_sample(
         draw_ids = rows.select(F.col("row_id").alias("draw_id"))
     else:
         draw_ids = spark.range(num_samples).select(F.col("id").alias("draw_id"))
-    n_draws = F.sum("n").over(ALL_CLASSES) if num_samples is None else F.lit(num_samples)
+    n_draws = F.sum("n").over(_all_classes()) if num_samples is None else F.lit(num_samples)
 
     # K rows: running chance of the classes in id order, and salts per row of the class
     mass = F.col("n") / (F.col("n") + F.lit(COUNT_SMOOTHING))
-    in_order = ALL_CLASSES.orderBy("label_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = _all_classes().orderBy("label_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     classes = (
         class_counts(rows, labels)
         .filter(F.col("n") > 0)
         .select(
             F.sum(mass).over(in_order).alias("upto"),
-            F.sum(mass).over(ALL_CLASSES).alias("total"),
-            F.count("*").over(ALL_CLASSES).alias("classes"),
+            F.sum(mass).over(_all_classes()).alias("total"),
+            F.count("*").over(_all_classes()).alias("classes"),
             "label_id",
             "n",
-            F.ceil(n_draws / (F.count("*").over(ALL_CLASSES) * F.col("n") * COPIES_PER_KEY)).alias("salts"),
+            F.ceil(n_draws / (F.count("*").over(_all_classes()) * F.col("n") * COPIES_PER_KEY)).alias("salts"),
         )
     )
     class_table = classes.agg(F.sort_array(F.collect_list(F.struct("upto", "total", "label_id", "n", "salts")))).scalar()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.operators.rows import BLOCK, BLOCK_ROWS, with_earlier_blocks
@@ -30,17 +30,20 @@ def running_epoch_loss(batches: DataFrame) -> DataFrame:
     return blocked.select(*keys, "batch", "loss", (total / count).alias("running_loss"))
 
 
+def _scored_epoch() -> Column:
+    """Orders epochs by score, then the earlier one first; NULL for a score that can never be the best."""
+    counts = (F.col("val_f1") > 0) & ~F.isnan("val_f1")
+    return F.when(counts, F.struct(F.col("val_f1"), (-F.col("epoch")).alias("neg_epoch")))
+
+
 def best_epoch(epochs: DataFrame) -> DataFrame:
     """Epoch of the best score; the earliest of equals, none if no score exceeds 0.
 
     Plain aggregates, so they combine before the shuffle.
     """
-    better = F.when(
-        (F.col("val_f1") > 0) & ~F.isnan("val_f1"), F.struct(F.col("val_f1"), (-F.col("epoch")).alias("neg_epoch"))
-    )
     return (
         epochs.groupBy("run_id")
-        .agg(F.count("*").alias("n_epochs"), F.max(better).alias("best"))
+        .agg(F.count("*").alias("n_epochs"), F.max(_scored_epoch()).alias("best"))
         .select("run_id", "n_epochs", (-F.col("best.neg_epoch")).alias("best_epoch"), F.col("best.val_f1").alias("best_f1"))
     )
 
@@ -49,50 +52,32 @@ def early_stop(epochs: DataFrame, patience: int) -> DataFrame:
     """Where training with this patience stops, and the best epoch up to there.
 
     Epochs are numbered 1, 2, ... in each run. An epoch improves if its score is
-    greater than 0 and than all scores before it. The run stops at the first epoch
-    that lies ``patience`` epochs after the last improvement; 0 means never.
+    greater than 0 and than all scores before it, so the last improvement is the
+    earliest epoch with the greatest score so far. The run stops at the first epoch
+    that lies ``patience`` epochs after it; 0 means never.
     """
     keys = ["run_id"]
-    block = F.floor(F.col("epoch") / BLOCK_ROWS)
-
-    def within(start, end):
-        return Window.partitionBy(*keys, BLOCK).orderBy("epoch").rowsBetween(start, end)
-
-    score = F.when(~F.isnan("val_f1"), F.col("val_f1")).alias("val_f1")  # a NaN never improves
-    earlier = with_earlier_blocks(epochs.select("run_id", "epoch", score), keys, block, {"_best": (F.col("val_f1"), "max")})
-    best_before = F.greatest(
-        F.lit(0.0), F.col("_best"), F.max("val_f1").over(within(Window.unboundedPreceding, -1))
-    )
-    flagged = earlier.select(
-        "run_id", "epoch", F.when(F.col("val_f1") > best_before, F.struct("epoch", "val_f1")).alias("_better")
+    scored = epochs.select("run_id", "epoch", _scored_epoch().alias("_scored"))
+    blocked = with_earlier_blocks(scored, keys, F.floor(F.col("epoch") / BLOCK_ROWS), {"_before": (F.col("_scored"), "max")})
+    so_far = (
+        Window.partitionBy(*keys, BLOCK).orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # the score of the last improvement is the best so far, so both travel together
-    last = with_earlier_blocks(flagged, keys, block, {"_last": (F.col("_better"), "max")})
-    last = last.select(
+    best = blocked.select("run_id", "epoch", F.greatest("_before", F.max("_scored").over(so_far)).alias("_best")).select(
         "run_id",
         "epoch",
-        F.greatest(
-            F.col("_last"), F.max("_better").over(within(Window.unboundedPreceding, Window.currentRow))
-        ).alias("_last"),
-    ).select(
-        "run_id",
-        "epoch",
-        F.coalesce("_last.epoch", F.lit(0)).cast("bigint").alias("_best_epoch"),
-        F.coalesce("_last.val_f1", F.lit(0.0)).alias("_best_f1"),
+        F.coalesce(-F.col("_best.neg_epoch"), F.lit(0)).alias("_best_epoch"),
+        F.coalesce("_best.val_f1", F.lit(0.0)).alias("_best_f1"),
     )
     reached = (F.lit(patience) > 0) & (F.col("epoch") - F.col("_best_epoch") >= patience)
 
-    # both columns never fall along a run: their least value among the epochs that
-    # reach the patience is the one at the stop, their greatest is the one at the end
-    def at_stop(column):
+    # no column ever falls along a run: its least value among the epochs that reach
+    # the patience is the one at the stop, its greatest is the one at the end
+    def at_stop(column: str) -> Column:
         return F.coalesce(F.min(F.when(reached, F.col(column))), F.max(column))
 
-    return (
-        last.groupBy("run_id")
-        .agg(
-            at_stop("epoch").alias("stop_epoch"),
-            F.nullif(at_stop("_best_epoch"), F.lit(0)).alias("best_epoch"),
-            at_stop("_best_f1").alias("best_f1"),
-            F.coalesce(F.max(reached), F.lit(False)).alias("stopped_early"),
-        )
+    return best.groupBy("run_id").agg(
+        at_stop("epoch").alias("stop_epoch"),
+        F.nullif(at_stop("_best_epoch"), F.lit(0)).alias("best_epoch"),
+        at_stop("_best_f1").alias("best_f1"),
+        F.coalesce(F.max(reached), F.lit(False)).alias("stopped_early"),
     )

@@ -10,21 +10,15 @@ Input everywhere: predictions with model, true_label, pred_label.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textbench.fixed import LABELS
+from textbench.functions.labels import label_array
 from textbench.functions.text import fixed_decimals
 
 
-def _ratio(part: Column, whole: Column) -> Column:
-    """part / whole, and 0 where whole is 0."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-
-
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
     """(model, true_label, pred_label, n)."""
     return predictions.groupBy("model", "true_label", "pred_label").agg(F.count("*").alias("n"))
@@ -39,74 +33,62 @@ def confusion_matrix_wide(predictions: DataFrame, labels: Sequence[str] = LABELS
     )
 
 
-def model_tallies(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """One row per model: n, correct, and for every listed label its counts and P, R, F1.
+def model_figures(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """One wide row per model, from which all metrics are read.
 
-    ``classes`` is an array in label order, absent labels included with zeros;
-    ``outside`` counts the true and predicted labels that the list does not have.
+    n, the averages, ``outside`` (how many true and predicted labels the list does
+    not have), and for the label at place i: precision_i, recall_i, f1_i, support_i.
+    The label list is known at plan time, so absent labels need no join, and all
+    sums over the labels are plain compiled arithmetic.
     """
-    cells = confusion_matrix(predictions)
-    true, pred, n = F.col("true_label"), F.col("pred_label"), F.col("n")
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-
-    sums = []
-    for i, label in enumerate(labels):
-        sums += [
-            total((true == label) & (pred == label)).alias(f"tp_{i}"),
-            total(pred == label).alias(f"predicted_{i}"),
-            total(true == label).alias(f"support_{i}"),
-        ]
-    per_model = cells.groupBy("model").agg(F.sum("n").alias("n"), total(true == pred).alias("correct"), *sums)
-
-    def class_struct(i: int, label: str) -> Column:
-        tp, predicted, support = F.col(f"tp_{i}"), F.col(f"predicted_{i}"), F.col(f"support_{i}")
-        return F.struct(
-            F.lit(i).cast("bigint").alias("label_id"),
-            F.lit(label).alias("label"),
-            tp.alias("tp"),
-            predicted.alias("predicted"),
-            support.alias("support"),
-            _ratio(tp, predicted).alias("precision"),
-            _ratio(tp, support).alias("recall"),
-            _ratio(2 * tp, predicted + support).alias("f1"),
-        )
+    places = range(len(labels))
 
-    k = len(labels)
-    return per_model.select(
+    def over_labels(term: str) -> str:
+        return "(" + " + ".join(term.format(i=i) for i in places) + ")"
+
+    def ratio(part: str, whole: str) -> str:
+        return f"case when {whole} > 0 then {part} / {whole} else 0.0D end"
+
+    true_at, pred_at = (F.array_position(label_array(labels), F.col(c)) - 1 for c in ("true_label", "pred_label"))
+    cells = confusion_matrix(predictions).select(
+        "model", "n", true_at.alias("t"), pred_at.alias("p"), F.expr("true_label = pred_label").alias("equal")
+    )
+    counts = [
+        f"coalesce(sum(case when {condition} then n end), 0) as {name}_{i}"
+        for i in places
+        for name, condition in (("tp", f"t = {i} and p = {i}"), ("predicted", f"p = {i}"), ("support", f"t = {i}"))
+    ]
+    tallies = cells.groupBy("model").agg(
+        F.sum("n").alias("n"), F.expr("coalesce(sum(case when equal then n end), 0) as correct"), *map(F.expr, counts)
+    )
+    per_label = [
+        f"{ratio(*parts)} as {name}_{i}"
+        for i in places
+        for name, parts in (
+            ("precision", (f"tp_{i}", f"predicted_{i}")),
+            ("recall", (f"tp_{i}", f"support_{i}")),
+            ("f1", (f"(2 * tp_{i})", f"(predicted_{i} + support_{i})")),
+        )
+    ]
+    totals = [f"{over_labels(name + '_{i}')} as {name}" for name in ("tp", "predicted", "support")]
+    averages = [f"{over_labels(m + '_{i}')} / {len(labels)}.0D as macro_{m}" for m in ("precision", "recall", "f1")]
+    averages += [
+        f"{ratio(over_labels(m + '_{i} * support_{i}'), 'support')} as weighted_{m}" for m in ("precision", "recall", "f1")
+    ]
+    return tallies.selectExpr("*", *totals, *per_label).selectExpr(
         "model",
         "n",
-        "correct",
-        F.array(*[class_struct(i, label) for i, label in enumerate(labels)]).alias("classes"),
-        (2 * F.col("n") - reduce(add, [F.col(f"predicted_{i}") + F.col(f"support_{i}") for i in range(k)])).alias("outside"),
+        "support",
+        "2 * n - predicted - support as outside",
+        f"{ratio('correct', 'n')} as accuracy",
+        f"{ratio('tp', 'predicted')} as micro_precision",
+        f"{ratio('tp', 'support')} as micro_recall",
+        f"{ratio('(2 * tp)', '(predicted + support)')} as micro_f1",
+        *averages,
+        *[f"{m}_{i}" for i in places for m in ("precision", "recall", "f1", "support")],
     )
 
 
-# -- scalars of one row of model_tallies --------------------------------------
-
-
-def _sum(field: str) -> Column:
-    return F.aggregate("classes", F.lit(0).cast("bigint"), lambda acc, c: acc + c[field])
-
-
-def _mean(field: str) -> Column:
-    return F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c[field]) / F.size("classes")
-
-
-def _weighted(field: str) -> Column:
-    weighted = F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c[field] * c["support"])
-    return _ratio(weighted, _sum("support"))
-
-
-def _accuracy() -> Column:
-    return _ratio(F.col("correct"), F.col("n"))
-
-
-def _micro_f1() -> Column:
-    return _ratio(2 * _sum("tp"), _sum("predicted") + _sum("support"))
-
-
 def accuracy(predictions: DataFrame) -> DataFrame:
     """Share of rows with equal labels, rows with labels outside the list included."""
     right = F.coalesce(F.col("true_label") == F.col("pred_label"), F.lit(False))
@@ -115,20 +97,18 @@ def accuracy(predictions: DataFrame) -> DataFrame:
 
 def per_class_metrics(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """(model, label_id, label, precision, recall, f1, support) for every listed label; 0/0 is 0."""
-    rows = model_tallies(predictions, labels).select("model", F.inline("classes"))
-    return rows.select("model", "label_id", "label", "precision", "recall", "f1", "support")
+    numbered = model_figures(predictions, labels).withColumn("labels", label_array(labels))
+    rows = ", ".join(
+        f"struct({i}L as label_id, labels[{i}] as label, precision_{i} as precision, recall_{i} as recall, "
+        f"f1_{i} as f1, support_{i} as support)"
+        for i in range(len(labels))
+    )
+    return numbered.selectExpr("model", f"inline(array({rows}))")
 
 
 def metrics_summary(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """(model, n, accuracy, macro_f1, micro_f1, weighted_f1), one scan for all."""
-    return model_tallies(predictions, labels).select(
-        "model",
-        "n",
-        _accuracy().alias("accuracy"),
-        _mean("f1").alias("macro_f1"),
-        _micro_f1().alias("micro_f1"),
-        _weighted("f1").alias("weighted_f1"),
-    )
+    return model_figures(predictions, labels).select("model", "n", "accuracy", "macro_f1", "micro_f1", "weighted_f1")
 
 
 def macro_f1(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -148,16 +128,12 @@ def weighted_f1(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataF
 
 def macro_f1_observed(predictions: DataFrame) -> DataFrame:
     """Mean F1 over the labels that occur as true or predicted label of the model; needs no label list."""
-    zero = F.lit(0).cast("bigint")
-    n = F.col("n")
-    as_true = F.struct(
-        F.col("true_label").alias("label"),
-        n.alias("count"),
-        F.when(F.col("true_label") == F.col("pred_label"), n).otherwise(zero).alias("tp"),
+    sides = confusion_matrix(predictions).selectExpr(
+        "model",
+        """inline(array(struct(true_label as label, n, case when true_label = pred_label then n else 0L end as tp),
+                        struct(pred_label as label, n, 0L as tp)))""",
     )
-    as_pred = F.struct(F.col("pred_label").alias("label"), n.alias("count"), zero.alias("tp"))
-    sides = confusion_matrix(predictions).select("model", F.inline(F.array(as_true, as_pred)))
-    per_label = sides.groupBy("model", "label").agg(_ratio(2 * F.sum("tp"), F.sum("count")).alias("f1"))
+    per_label = sides.groupBy("model", "label").agg((2 * F.sum("tp") / F.sum("n")).alias("f1"))
     return per_label.groupBy("model").agg(F.count("*").alias("n_labels"), F.avg("f1").alias("macro_f1_observed"))
 
 
@@ -171,37 +147,29 @@ def classification_report(predictions: DataFrame, labels: Sequence[str] = LABELS
     The listed labels, then accuracy (or the micro average, if labels outside the
     list occur), macro and weighted averages.
     """
-    t = model_tallies(predictions, labels)
-    none = F.lit(None).cast("double")
-    support = _sum("support")
-
-    def line(number: int, label: Column, precision: Column, recall: Column, f1: Column, supp: Column) -> Column:
-        return F.struct(
-            F.lit(number).cast("bigint").alias("line_no"),
-            label.alias("label"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            supp.alias("support"),
-        )
-
     k = len(labels)
-    class_lines = [
-        line(i, F.col("classes")[i]["label"], *[F.col("classes")[i][m] for m in ("precision", "recall", "f1", "support")])
-        for i in range(k)
+    accuracy_row = "case when outside = 0 then 'accuracy' else 'micro avg' end"
+    unless_accuracy = "case when outside <> 0 then {} end"
+    rows = [(f"labels[{i}]", f"precision_{i}", f"recall_{i}", f"f1_{i}", f"support_{i}") for i in range(k)]
+    rows += [
+        (
+            accuracy_row,
+            unless_accuracy.format("micro_precision"),
+            unless_accuracy.format("micro_recall"),
+            "case when outside = 0 then accuracy else micro_f1 end",
+            "support",
+        ),
+        ("'macro avg'", "macro_precision", "macro_recall", "macro_f1", "support"),
+        ("'weighted avg'", "weighted_precision", "weighted_recall", "weighted_f1", "support"),
     ]
-    inside = F.col("outside") == 0
-    micro = line(
-        k,
-        F.when(inside, F.lit("accuracy")).otherwise(F.lit("micro avg")),
-        F.when(inside, none).otherwise(_ratio(_sum("tp"), _sum("predicted"))),
-        F.when(inside, none).otherwise(_ratio(_sum("tp"), support)),
-        F.when(inside, _accuracy()).otherwise(_micro_f1()),
-        support,
+    lines = ", ".join(
+        f"struct({number}L as line_no, {label} as label, {precision} as precision, {recall} as recall, {f1} as f1, "
+        f"{support} as support)"
+        for number, (label, precision, recall, f1, support) in enumerate(rows)
     )
-    macro = line(k + 1, F.lit("macro avg"), _mean("precision"), _mean("recall"), _mean("f1"), support)
-    weighted = line(k + 2, F.lit("weighted avg"), _weighted("precision"), _weighted("recall"), _weighted("f1"), support)
-
-    lines = t.select("model", F.inline(F.array(*class_lines, micro, macro, weighted)))
-    two = {m: fixed_decimals(F.col(m), 2).cast("double") for m in ("precision", "recall", "f1")}
-    return lines.withColumns(two)
+    report = (
+        model_figures(predictions, labels)
+        .withColumn("labels", label_array(labels))
+        .selectExpr("model", f"inline(array({lines}))")
+    )
+    return report.withColumns({m: fixed_decimals(F.col(m), 2).cast("double") for m in ("precision", "recall", "f1")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer
 from pyspark.sql import DataFrame
@@ -43,24 +43,31 @@ def _encoded(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     )
 
 
-def _feature_stages(settings: Settings) -> list:
-    return [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\p{L}+", gaps=False, toLowercase=True),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=settings.features),
-        IDF(inputCol="tf", outputCol="features"),
-    ]
-
-
 def _training_rows(train: DataFrame, labels: Sequence[str], settings: Settings) -> DataFrame:
     """Encoded rows with their class weight; with weighted sampling the weights come from the drawn rows."""
     rows = _encoded(train, labels)
     if settings.use_weighted_sampling:
-        rows = weighted_sample(rows, settings.seed, labels, columns=["text"])
+        rows = materialize(weighted_sample(rows, settings.seed, labels, columns=["text"]))
     if settings.use_class_weights:
         return attach_class_weight(rows, class_weights(rows, labels))
     return rows.withColumn("weight", F.lit(1.0))
 
 
+def _term_stages(settings: Settings) -> list[Transformer]:
+    """Text to term counts. Hashing needs no pass over the data and no shared vocabulary."""
+    return [
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\p{L}+", gaps=False, toLowercase=True),
+        HashingTF(inputCol="words", outputCol="tf", numFeatures=settings.features),
+    ]
+
+
+def _terms(df: DataFrame, settings: Settings, *columns: str) -> DataFrame:
+    """Term counts, written once: the fits that follow read vectors and not texts."""
+    for stage in _term_stages(settings):
+        df = stage.transform(df)
+    return materialize(df.select(*columns, "tf"))
+
+
 def _classifier(settings: Settings, passes: int) -> LogisticRegression:
     return LogisticRegression(
         featuresCol="features",
@@ -81,9 +88,10 @@ def train_classifier(
     train: DataFrame, labels: Sequence[str] = LABELS, settings: Settings = Settings(), passes: int | None = None
 ) -> PipelineModel:
     """Fit on (row_id, text, label). Class weights are on by default."""
-    rows = _training_rows(train, labels, settings)
-    stages = [*_feature_stages(settings), _classifier(settings, passes or settings.passes[-1]), _names(labels)]
-    return Pipeline(stages=stages).fit(rows)
+    terms = _terms(_training_rows(train, labels, settings), settings, "label_id", "weight")
+    idf = IDF(inputCol="tf", outputCol="features").fit(terms)
+    fitted = _classifier(settings, passes or settings.passes[-1]).fit(idf.transform(terms))
+    return PipelineModel(stages=[*_term_stages(settings), idf, fitted, _names(labels)])
 
 
 def predict_table(model: PipelineModel, df: DataFrame, name: str = "classifier") -> DataFrame:
@@ -116,10 +124,10 @@ def select_by_validation(
     computed once for all candidates; the driver sees one score per candidate.
     """
     spark = train.sparkSession
-    rows = _training_rows(train, labels, settings)
-    featurizer = Pipeline(stages=_feature_stages(settings)).fit(rows)
-    train_features = materialize(featurizer.transform(rows).select("label_id", "weight", "features"))
-    val_features = materialize(featurizer.transform(_encoded(val, labels)).select("label_id", "features"))
+    terms = _terms(_training_rows(train, labels, settings), settings, "label_id", "weight")
+    idf = IDF(inputCol="tf", outputCol="features").fit(terms)
+    train_features = idf.transform(terms)
+    val_features = idf.transform(_terms(_encoded(val, labels), settings, "label_id"))
 
     log, best, best_score, waited = [], None, 0.0, 0
     for epoch, passes in enumerate(settings.passes, start=1):
@@ -138,7 +146,7 @@ def select_by_validation(
             if 0 < settings.patience <= waited:
                 break
     frame = spark.createDataFrame(log, "run_id bigint, epoch bigint, passes bigint, val_f1 double")
-    model = PipelineModel(stages=[*featurizer.stages, best, _names(labels)]) if best else None
+    model = PipelineModel(stages=[*_term_stages(settings), idf, best, _names(labels)]) if best else None
     return model, frame
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,11 @@ def build_session(app: str = "textbench", cpus: int | str = "*", **settings: str
     return spark
 
 
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"textbench-{application}-")
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder named by ``spark.checkpoint.dir``.
 
@@ -40,8 +46,7 @@ def work_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="textbench-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _own_folder(spark.sparkContext.applicationId)
     return f"{shared.rstrip('/')}/textbench/{uuid.uuid4().hex}"
 
 

@@ -8,39 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.fixed import BAR_WIDTH, LABELS
+from textbench.functions.labels import label_array
 from textbench.functions.text import fixed_decimals
-from textbench.operators import metrics as M
-
-
-def _figure(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), fixed_decimals(value, 4))
+from textbench.operators.metrics import model_figures
 
 
 def metrics_report(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """(model, line_no, line): four averages, then a block per listed label."""
     # fixed values: titles, rules and field names of the report
-    rule, thin = F.lit("=" * 50), F.lit("-" * 50)
-    blank = F.lit("")
-    lines = [rule, F.lit("EVALUATION METRICS"), rule, blank]
+    lines = [f"'{'=' * 50}'", "'EVALUATION METRICS'", f"'{'=' * 50}'", "''"]
     for name, field in [("Accuracy", "accuracy"), ("Macro F1", "macro_f1"), ("Micro F1", "micro_f1"), ("Weighted F1", "weighted_f1")]:
-        lines.append(_figure(name, F.col(field)))
-    lines += [blank, thin, F.lit("PER-CLASS METRICS"), thin, blank]
-    for i, label in enumerate(labels):
-        c = F.col("classes")[i]
-        lines.append(F.lit(f"{label}:"))
-        for name, field in [("  Precision", "precision"), ("  Recall", "recall"), ("  F1", "f1")]:
-            lines.append(_figure(name, c[field]))
-        lines += [F.concat(F.lit("  Support: "), c["support"].cast("string")), blank]
-    figures = M.model_tallies(predictions, labels).select(
-        "model",
-        "classes",
-        M._accuracy().alias("accuracy"),
-        M._mean("f1").alias("macro_f1"),
-        M._micro_f1().alias("micro_f1"),
-        M._weighted("f1").alias("weighted_f1"),
-    )
-    return figures.select("model", F.posexplode(F.array(*lines)).alias("line_no", "line")).withColumn(
-        "line_no", (F.col("line_no") + 1).cast("bigint")
+        lines.append(f"concat('{name}: ', format_number({field}, 4))")
+    lines += ["''", f"'{'-' * 50}'", "'PER-CLASS METRICS'", f"'{'-' * 50}'", "''"]
+    for i in range(len(labels)):
+        lines.append(f"concat(labels[{i}], ':')")
+        for name, field in [("Precision", "precision"), ("Recall", "recall"), ("F1", "f1")]:
+            lines.append(f"concat('  {name}: ', format_number({field}_{i}, 4))")
+        lines += [f"concat('  Support: ', support_{i})", "''"]
+    figures = model_figures(predictions, labels).withColumn("labels", label_array(labels))
+    return figures.selectExpr("model", f"posexplode(array({', '.join(lines)})) as (position, line)").selectExpr(
+        "model", "cast(position + 1 as bigint) as line_no", "line"
     )
 
 
