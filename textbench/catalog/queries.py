@@ -381,7 +381,8 @@ def early_stop(spark, d):
 
 @query
 def key_tokens(spark, d):
-    return TK.key_tokens(X.trainable(spark, d), top=10)
+    rows = X.trainable(spark, d)
+    return TK.key_tokens(rows, TR.label_list(rows), top=10)
 
 
 # -- sort, limit, sets, sampling -------------------------------------------------------

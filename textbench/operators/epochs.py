@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textbench.operators.rows import BLOCK, BLOCK_ROWS, with_earlier_blocks
+from textbench.operators.rows import running_totals
 
 
 def epoch_loss(batches: DataFrame) -> DataFrame:
@@ -15,19 +15,9 @@ def epoch_loss(batches: DataFrame) -> DataFrame:
 
 def running_epoch_loss(batches: DataFrame) -> DataFrame:
     """Mean loss of the batches so far, within an epoch."""
-    keys = ["run_id", "epoch"]
-    blocked = with_earlier_blocks(
-        batches,
-        keys,
-        F.floor(F.col("batch") / BLOCK_ROWS),
-        {"_loss": (F.col("loss"), "sum"), "_n": (F.lit(1).cast("bigint"), "sum")},
-    )
-    so_far = (
-        Window.partitionBy(*keys, BLOCK).orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    total = F.coalesce("_loss", F.lit(0.0)) + F.sum("loss").over(so_far)
-    count = F.coalesce("_n", F.lit(0)) + F.count("*").over(so_far)
-    return blocked.select(*keys, "batch", "loss", (total / count).alias("running_loss"))
+    totals = {"_loss": (F.col("loss"), "sum"), "_n": (F.lit(1).cast("bigint"), "sum")}
+    summed = running_totals(batches, ["run_id", "epoch"], "batch", totals)
+    return summed.select("run_id", "epoch", "batch", "loss", (F.col("_loss") / F.col("_n")).alias("running_loss"))
 
 
 def _scored_epoch() -> Column:
@@ -56,13 +46,8 @@ def early_stop(epochs: DataFrame, patience: int) -> DataFrame:
     earliest epoch with the greatest score so far. The run stops at the first epoch
     that lies ``patience`` epochs after it; 0 means never.
     """
-    keys = ["run_id"]
     scored = epochs.select("run_id", "epoch", _scored_epoch().alias("_scored"))
-    blocked = with_earlier_blocks(scored, keys, F.floor(F.col("epoch") / BLOCK_ROWS), {"_before": (F.col("_scored"), "max")})
-    so_far = (
-        Window.partitionBy(*keys, BLOCK).orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    best = blocked.select("run_id", "epoch", F.greatest("_before", F.max("_scored").over(so_far)).alias("_best")).select(
+    best = running_totals(scored, ["run_id"], "epoch", {"_best": (F.col("_scored"), "max")}).select(
         "run_id",
         "epoch",
         F.coalesce(-F.col("_best.neg_epoch"), F.lit(0)).alias("_best_epoch"),

@@ -1,67 +1,74 @@
-"""Row positions, limits, order and the split of running totals into blocks.
+"""Row positions, limits, order, and running totals that no single key can overload.
 
 A running total over one key is a window that puts all rows of the key into one
-task. The helpers here cut the rows of a key into blocks first: a total per block
-is a small pre-aggregated table, its running sums are the offsets, and the row
-window then covers one block at a time. The result is exact whatever share of the
-rows one key holds.
+task. ``running_totals`` cuts the rows of a key into blocks: a total per block is
+a small pre-aggregated table, its running sums are the offsets, and the row window
+covers one block at a time. The result is exact whatever share of the rows one
+key holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "_block"
 BLOCK_ROWS = 65536
 TOP_N_ROWS = 100_000
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that matches NULL keys with each other and keeps the left columns once."""
-    renamed = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+def block_of(order: str) -> Column:
+    """Blocks of consecutive integers."""
+    return F.floor(F.col(order) / BLOCK_ROWS)
+
 
+def running_totals(
+    df: DataFrame, keys: list[str], order: str, totals: dict[str, tuple[Column, str]], block: Column | None = None
+) -> DataFrame:
+    """Add running totals within ``keys`` up to and with the row, by ``order``, unique within the keys.
 
-def with_earlier_blocks(df: DataFrame, keys: list[str], block: Column, totals: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Add, for every row, the totals over all earlier blocks of the same keys.
+    ``totals`` maps a new column to (expression, 'sum' or 'max'). ``block`` cuts the
+    order into parts; it must not decrease along it, unless any fixed order will do
+    (then it may be a hash, and the order is by block first). Keys must not be NULL.
 
-    ``totals`` maps a new column to (expression, 'sum' or 'max'). The first block
-    of a key gets NULL.
+    The rows are shuffled and sorted once: the join with the offsets needs the
+    partitioning and order that the window has.
     """
-    combine = {"sum": F.sum, "max": F.max}
-    df = df.withColumn(BLOCK, block)
-    per_block = df.groupBy(*keys, BLOCK).agg(*[combine[how](expr).alias(name) for name, (expr, how) in totals.items()])
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    functions = {"sum": F.sum, "max": F.max}
+    block = block_of(order) if block is None else block
+    for key in keys:
+        block = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is NULL"))).otherwise(block)
+    blocked = df.withColumn("_block", block)
+
+    per_block = blocked.groupBy(*keys, "_block").agg(
+        *[functions[how](expr).alias(f"_before_{name}") for name, (expr, how) in totals.items()]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        *keys, BLOCK, *[combine[how](name).over(before).alias(name) for name, (_, how) in totals.items()]
+        *keys,
+        "_block",
+        *[functions[how](f"_before_{name}").over(earlier).alias(f"_before_{name}") for name, (_, how) in totals.items()],
     )
-    return join_on_keys(df, offsets, [*keys, BLOCK])
+
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = blocked.select("*", *[functions[how](expr).over(inside).alias(f"_in_{name}") for name, (expr, how) in totals.items()])
+    joined = rows.join(offsets, [*keys, "_block"])
+
+    def combined(name: str, how: str) -> Column:
+        before, within = F.col(f"_before_{name}"), F.col(f"_in_{name}")
+        if how == "max":
+            return F.greatest(before, within)
+        return F.when(before.isNull(), within).otherwise(before + within)
+
+    return joined.select(*[F.col(c) for c in df.columns], *[combined(name, how).alias(name) for name, (_, how) in totals.items()])
 
 
 def ordinal_within(
-    df: DataFrame,
-    order: str,
-    keys: list[str] | None = None,
-    name: str = "ordinal",
-    block: Column | None = None,
+    df: DataFrame, order: str, keys: list[str] | None = None, name: str = "ordinal", block: Column | None = None
 ) -> DataFrame:
-    """Position 0, 1, 2, ... of a row among the rows of its keys, by a unique integer column.
-
-    ``block`` must not decrease along the order, unless any fixed order will do
-    (then it may be a hash, and the position is by (block, order)).
-    """
-    keys = keys or []
-    block = F.floor(F.col(order) / BLOCK_ROWS) if block is None else block
-    blocked = with_earlier_blocks(df, keys, block, {"_earlier": (F.lit(1).cast("bigint"), "sum")})
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    return blocked.withColumn(
-        name, F.coalesce("_earlier", F.lit(0)) + F.row_number().over(inside).cast("bigint") - 1
-    ).drop(BLOCK, "_earlier")
+    """Position 0, 1, 2, ... of a row among the rows of its keys, by a unique integer column."""
+    one = F.lit(1).cast("bigint")
+    counted = running_totals(df, keys or [], order, {name: (one, "sum")}, block)
+    return counted.withColumn(name, F.col(name) - 1)
 
 
 def row_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:

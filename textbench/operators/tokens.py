@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.functions.labels import label_array
 from textbench.functions.text import tokens
 
 PADDING_ID = 0
@@ -13,8 +16,8 @@ FIRST_ID = 2
 LOOKUP_BUCKETS = 4096
 
 
-def token_counts(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*keys, F.explode(tokens(F.col("text"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+def token_counts(df: DataFrame) -> DataFrame:
+    return df.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def token_vocabulary(df: DataFrame, size: int) -> DataFrame:
@@ -63,23 +66,35 @@ def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int) -> Data
     ).drop("_ids")
 
 
-def key_tokens(df: DataFrame, top: int) -> DataFrame:
-    """The ``top`` most telling tokens of each label.
+def key_tokens(df: DataFrame, labels: Sequence[str], top: int) -> DataFrame:
+    """The ``top`` most telling tokens of each listed label.
 
     Score: log of the odds of the token inside the label over those outside, each
     count plus one. Rounded before ranking, so that equal scores are equal on any
-    engine; ties go in token order.
+    engine; ties go in token order. One shuffle by token; of the scores only the
+    best of each task travel further.
     """
-    counts = token_counts(df, ("label",))
-    per_token = Window.partitionBy("token")
-    counts = counts.withColumn("n_all", F.sum("n").over(per_token))
-    # one row per label
-    totals = counts.groupBy("label").agg(F.sum("n").alias("label_total"))
-    totals = totals.withColumn("all_total", F.sum("label_total").over(Window.partitionBy()))
-    inside = (F.col("n") + 1.0) / (F.col("label_total") - F.col("n") + 1.0)
-    others = F.col("n_all") - F.col("n")
-    outside = (others + 1.0) / (F.col("all_total") - F.col("label_total") - others + 1.0)
-    scored = counts.join(totals, "label").withColumn("score", F.round(F.log(inside) - F.log(outside), 6))
+    places = range(len(labels))
+    exploded = df.select(
+        (F.array_position(label_array(labels), F.col("label")) - 1).alias("place"), F.explode(tokens(F.col("text"))).alias("token")
+    ).filter("place >= 0")
+    per_token = exploded.groupBy("token").agg(*[F.expr(f"count_if(place = {i}) as n_{i}") for i in places])
+    totals = per_token.selectExpr(f"struct({', '.join(f'sum(n_{i}) as n_{i}' for i in places)})").scalar()
+
+    n_all, total_all = (" + ".join(f"{prefix}n_{i}" for i in places) for prefix in ("", "totals."))
+    cells = ", ".join(f"struct(labels[{i}] as label, n_{i} as n, totals.n_{i} as label_total)" for i in places)
+    scored = (
+        per_token.select("*", totals.alias("totals"), label_array(labels).alias("labels"))
+        .selectExpr("token", f"{n_all} as n_all", f"{total_all} as all_total", f"inline(array({cells}))")
+        .filter("n > 0")
+        .selectExpr(
+            "label",
+            "token",
+            "n",
+            """round(ln((n + 1.0D) / (label_total - n + 1.0D))
+               - ln((n_all - n + 1.0D) / (all_total - label_total - (n_all - n) + 1.0D)), 6) as score""",
+        )
+    )
     best = Window.partitionBy("label").orderBy(F.desc("score"), "token")
     return (
         scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
