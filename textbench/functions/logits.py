@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def _scores(z: Column, k: int) -> list[Column]:
-    return [z.getItem(i) for i in range(k)]
+    return [z[i] for i in range(k)]
 
 
 def log_sum_exp(z: Column, k: int) -> Column:
@@ -31,7 +31,7 @@ def softmax(z: Column, k: int) -> Column:
 
 
 def class_log_probability(z: Column, y: Column, k: int) -> Column:
-    return z.getItem(y) - log_sum_exp(z, k)
+    return z[y] - log_sum_exp(z, k)
 
 
 def class_probability(z: Column, y: Column, k: int) -> Column:
@@ -63,5 +63,5 @@ def focal_loss(
     """(1 - p_y)^gamma * cross entropy, times alpha_y if given. The factor uses the unsmoothed p_y."""
     loss = F.pow(1.0 - class_probability(z, y, k), F.lit(float(gamma))) * cross_entropy(z, y, k, smoothing)
     if alpha is not None:
-        loss = loss * F.array(*[F.lit(float(a)) for a in alpha]).getItem(y)
+        loss = loss * F.array(*[F.lit(float(a)) for a in alpha])[y]
     return loss

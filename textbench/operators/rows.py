@@ -51,13 +51,13 @@ def running_totals(
 
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = blocked.select("*", *[functions[how](expr).over(inside).alias(f"_in_{name}") for name, (expr, how) in totals.items()])
-    joined = rows.join(offsets, [*keys, "_block"])
+    joined = rows.join(offsets, [*keys, "_block"], "left")  # an inner join would filter the NULL keys away first
 
     def combined(name: str, how: str) -> Column:
         before, within = F.col(f"_before_{name}"), F.col(f"_in_{name}")
         if how == "max":
             return F.greatest(before, within)
-        return F.when(before.isNull(), within).otherwise(before + within)
+        return F.coalesce(before + within, before, within)
 
     return joined.select(*[F.col(c) for c in df.columns], *[combined(name, how).alias(name) for name, (_, how) in totals.items()])
 

@@ -78,7 +78,7 @@ def key_tokens(df: DataFrame, labels: Sequence[str], top: int) -> DataFrame:
     exploded = df.select(
         (F.array_position(label_array(labels), F.col("label")) - 1).alias("place"), F.explode(tokens(F.col("text"))).alias("token")
     ).filter("place >= 0")
-    per_token = exploded.groupBy("token").agg(*[F.expr(f"count_if(place = {i}) as n_{i}") for i in places])
+    per_token = exploded.groupBy("token").agg(*[F.expr(f"sum(if(place = {i}, 1L, 0L)) as n_{i}") for i in places])
     totals = per_token.selectExpr(f"struct({', '.join(f'sum(n_{i}) as n_{i}' for i in places)})").scalar()
 
     n_all, total_all = (" + ".join(f"{prefix}n_{i}" for i in places) for prefix in ("", "totals."))
