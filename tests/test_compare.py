@@ -73,3 +73,18 @@ def test_metrics_report_text(frame):
     ]
     assert got[13:19] == ["joy:", "  Precision: 0.2278", "  Recall: 0.9474", "  F1: 0.3673", "  Support: 19", ""]
     assert len(got) == 13 + 6 * 6
+
+
+def test_saved_predictions_are_compared(frame, spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from textbench.plans.comparison import compare_saved
+    from textbench.sources.tables import write_predictions
+
+    paths = {m: str(tmp_path / m) for m in ("zero", "few", "absent")}
+    for model, cells in (("zero", ZERO_SHOT), ("few", FEW_SHOT)):
+        write_predictions(frame(pairs(cells), model).withColumn("text", F.lit('a "text"\nin two lines')), paths[model])
+    ranking, lines, missing = compare_saved(spark, paths, str(tmp_path / "report"))
+    assert missing == ["absent"]
+    assert [(r["model"], round(r["macro_f1"], 4)) for r in ranking.orderBy("rank").collect()] == [("few", 0.1118), ("zero", 0.0532)]
+    assert spark.read.text(str(tmp_path / "report")).count() == lines.count() == 13

@@ -66,6 +66,7 @@ def test_first_n_without_a_limit(spark, n):
 @pytest.mark.parametrize("top", [100_000, 5])
 def test_first_n_small_and_large(spark, rows, monkeypatch, top):
     monkeypatch.setattr(R, "TOP_N_ROWS", top)
+    monkeypatch.setattr(R, "BLOCK_ROWS", 16)
     df = spark.range(0, 500, 3).select(F.col("id").alias("row_id")).repartition(4)
     assert sorted(r["row_id"] for r in R.first_n(df, 20).collect()) == [3 * i for i in range(20)]
     assert R.first_n(df, 10_000).count() == df.count()

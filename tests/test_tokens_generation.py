@@ -33,6 +33,20 @@ def test_encoding(spark, monkeypatch, buckets):
     assert [r["input_ids"] for r in cut] == [[4, 3], [1, 3], [0, 0], [1, 0], [2, 2]]
 
 
+def test_vocabulary_with_many_equal_counts(spark):
+    texts = ["b a d c " * 3, "z y x w v u t", "q"]
+    got = [r["token"] for r in TK.token_vocabulary(frame(spark, texts), 7).orderBy("token_id").collect()]
+    assert got == ["a", "b", "c", "d", "q", "t", "u"]
+    assert TK.token_vocabulary(frame(spark, texts), 100).count() == 12
+
+
+def test_oversized_vocabulary_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(TK, "MAX_VOCABULARY", 3)
+    df = frame(spark)
+    with pytest.raises(Exception, match="more than 3 tokens"):
+        TK.encode_tokens(df, TK.token_vocabulary(df, 4), 5).collect()
+
+
 def test_key_tokens(spark):
     texts, labels = ["x x y", "y z", "z z z"], ["a", "b", "b"]
     counts = {"a": Counter("xxy"), "b": Counter("yzzzz")}

@@ -16,7 +16,7 @@ SETTINGS = TR.Settings(features=2**12, passes=(1, 3), patience=1)
 def data(spark):
     rows = X.trainable(spark, SF)
     train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
-    return train, val, test, TR.label_list(train)
+    return train, val, test, TR.label_list(rows)
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,16 @@ def test_weighted_sampling(data):
     train, _, test, labels = data
     sampled = TR.train_classifier(train, labels, TR.Settings(features=2**10, passes=(2,), use_weighted_sampling=True))
     assert TR.predict_table(sampled, test).count() == test.count()
+
+
+def test_whole_run(spark, data):
+    path = work_dir(spark)
+    log, f1, report = TR.train_and_evaluate(X.trainable(spark, SF), SETTINGS, path)
+    assert log.count() >= 1 and report.count() == len(data[3]) + 3
+    want = M.macro_f1_observed(TR.predict_table(TR.load_model(path), data[2])).first()["macro_f1_observed"]
+    assert f1.first()["macro_f1_observed"] == pytest.approx(want)
+
+
+def test_label_list_prefers_the_listed_labels(spark, data):
+    assert data[3] == ["de", "en", "es", "fr"]
+    assert TR.label_list(X.labelled(spark, SF)) == ["joy", "sadness", "anger", "fear", "love", "neutral"]

@@ -453,8 +453,7 @@ def weighted_sample(spark, d):
 def trained(spark, d):
     """(model, path): the saved model of a session, trained when first asked for."""
     rows = X.trainable(spark, d)
-    train = rows.filter(F.col("split") == "train")
-    model = TR.train_classifier(train, TR.label_list(train))
+    model = TR.train_classifier(rows.filter(F.col("split") == "train"), TR.label_list(rows))
     path = work_dir(spark)
     TR.save_model(model, path)
     return model, path
@@ -463,8 +462,9 @@ def trained(spark, d):
 @query
 def train_classifier(spark, d):
     """Confusion on the training rows of a model fitted here."""
-    train = X.trainable(spark, d).filter(F.col("split") == "train")
-    model = TR.train_classifier(train, TR.label_list(train))
+    rows = X.trainable(spark, d)
+    train = rows.filter(F.col("split") == "train")
+    model = TR.train_classifier(train, TR.label_list(rows))
     return M.confusion_matrix(TR.predict_table(model, train))
 
 
@@ -472,7 +472,7 @@ def train_classifier(spark, d):
 def select_by_validation(spark, d):
     rows = X.trainable(spark, d)
     train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
-    _, log = TR.select_by_validation(train, val, TR.label_list(train))
+    _, log = TR.select_by_validation(train, val, TR.label_list(rows))
     return rounded(log)
 
 

@@ -75,8 +75,8 @@ def row_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """Position of a row in the files of a Parquet source, files in path order.
 
     Takes a frame straight from ``spark.read.parquet``. The reader knows the
-    position inside the file, so only one row count per file has to be summed up;
-    no row is moved when the offset table is small enough to be broadcast, which
+    position inside the file, so only one row count per file has to be summed up
+    (the window sees one row per file); no row is moved when the offset table is small enough to be broadcast, which
     the adaptive planner decides by its measured size.
     """
     placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
@@ -87,16 +87,23 @@ def row_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int | None, order: str = "row_id") -> DataFrame:
-    """The first ``n`` rows by ``order``; None and 0 mean all rows.
+    """The first ``n`` rows by ``order``, a unique integer column; None and 0 mean all rows.
 
-    A small ``n`` is a per-task top-n. A large one would gather its rows in one
-    task, so there the position is computed instead and compared with ``n``.
+    Row counts per block of ids tell where the n-th row lies, so the table is first
+    filtered (down to the Parquet scan) to at most BLOCK_ROWS rows too many. What is
+    left is cut by a top-n, or, where n rows are too many for one task, by position.
     """
     if not n:
         return df
+    block = block_of(order)
+    per_block = df.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = per_block.select("_block", F.sum("_n").over(upto).alias("_upto")).filter(F.col("_upto") >= n).agg(F.min("_block"))
+    bound = last.select(((F.col("min(_block)") + 1) * BLOCK_ROWS).alias("_bound")).scalar()
+    enough = df.filter(F.col(order) < F.coalesce(bound, F.lit(2**63 - 1)))
     if n <= TOP_N_ROWS:
-        return df.orderBy(order).limit(n)
-    return ordinal_within(df, order, name="_ordinal").filter(F.col("_ordinal") < n).drop("_ordinal")
+        return enough.orderBy(order).limit(n)
+    return ordinal_within(enough, order, name="_ordinal").filter(F.col("_ordinal") < n).drop("_ordinal")
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: str = "row_id") -> DataFrame:

@@ -14,6 +14,7 @@ PADDING_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
 LOOKUP_BUCKETS = 4096
+MAX_VOCABULARY = 250_000
 
 
 def token_counts(df: DataFrame) -> DataFrame:
@@ -23,9 +24,17 @@ def token_counts(df: DataFrame) -> DataFrame:
 def token_vocabulary(df: DataFrame, size: int) -> DataFrame:
     """The ``size`` most frequent tokens, equal ones in token order, with ids from 2.
 
-    ``size`` bounds the table: the ids are numbered after the per-task top-n.
+    How many tokens share a count tells the least count that can get in; only
+    tokens with that count or more go to the top-n, instead of ``size`` tokens of
+    every task.
     """
-    top = token_counts(df).orderBy(F.desc("n"), "token").limit(size)
+    counts = token_counts(df)
+    by_count = counts.groupBy("n").agg(F.count("*").alias("tokens"))
+    from_the_top = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = (
+        by_count.select("n", F.sum("tokens").over(from_the_top).alias("upto")).filter(F.col("upto") >= size).agg(F.max("n"))
+    ).scalar()
+    top = counts.filter(F.col("n") >= F.coalesce(least, F.lit(0))).orderBy(F.desc("n"), "token").limit(size)
     by_rank = Window.orderBy(F.desc("n"), "token")
     return top.select("token", (F.row_number().over(by_rank) - 1 + FIRST_ID).cast("bigint").alias("token_id"), "n")
 
@@ -33,17 +42,19 @@ def token_vocabulary(df: DataFrame, size: int) -> DataFrame:
 def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int) -> DataFrame:
     """Add input_ids and attention_mask, cut and right-padded to ``max_length``.
 
-    The vocabulary (bounded by its size) becomes one array of small maps, a token's
-    hash choosing the map: every row is encoded where it is, without a shuffle and
-    without leaving the JVM.
+    The vocabulary becomes one array of small maps, a token's hash choosing the map:
+    every row is encoded where it is, without a shuffle and without leaving the JVM.
+    Ids beyond MAX_VOCABULARY are refused, which bounds what is sent to every task.
     """
     spark = df.sparkSession
 
     def bucket_of(token):
         return F.pmod(F.xxhash64(token), F.lit(LOOKUP_BUCKETS)).cast("int")
 
+    too_large = F.raise_error(F.lit(f"more than {MAX_VOCABULARY} tokens")).cast("bigint")
+    token_id = F.when(F.col("token_id") >= FIRST_ID + MAX_VOCABULARY, too_large).otherwise(F.col("token_id"))
     entries = (
-        vocabulary.withColumn("bucket", bucket_of(F.col("token")))
+        vocabulary.select("token", token_id.alias("token_id"), bucket_of(F.col("token")).alias("bucket"))
         .groupBy("bucket")
         .agg(F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("token_id"))).alias("entries"))
     )

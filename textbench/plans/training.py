@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textbench.fixed import LABELS, MISSING_TEXT
 from textbench.functions.labels import decode_label, encode_label
 from textbench.operators.balance import attach_class_weight, class_weights, weighted_sample
-from textbench.operators.labels import label_mapping
+from textbench.operators.labels import resolve_labels
 from textbench.operators.metrics import classification_report, macro_f1_observed
 from textbench.session import materialize
 
@@ -32,9 +32,9 @@ class Settings:
     seed: int = 42
 
 
-def label_list(df: DataFrame) -> list[str]:
-    """The vocabulary of ``label_mapping`` as a plan-time list; one value per class, never per row."""
-    return [row["label"] for row in label_mapping(df).orderBy("label_id").collect()]
+def label_list(df: DataFrame, listed: Sequence[str] = LABELS) -> list[str]:
+    """The labels that ``resolve_labels`` settles on, as a plan-time list; one value per class, never per row."""
+    return [row["label"] for row in resolve_labels(df, listed).orderBy("label_id").collect()]
 
 
 def _encoded(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -114,6 +114,23 @@ def evaluate_split(model: PipelineModel, df: DataFrame, name: str = "classifier"
     return macro_f1_observed(predictions), classification_report(predictions, labels)
 
 
+def train_and_evaluate(
+    df: DataFrame, settings: Settings = Settings(), path: str | None = None, listed: Sequence[str] = LABELS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole run over (row_id, text, label, split): resolve the labels, select by validation, save, score test.
+
+    Returns the log, the macro-F1 on the test split and its report.
+    """
+    labels = label_list(df, listed)
+    train, val, test = (df.filter(F.col("split") == s) for s in ("train", "val", "test"))
+    model, log = select_by_validation(train, val, labels, settings)
+    if model is None:
+        model = train_classifier(train, labels, settings)
+    if path:
+        save_model(model, path)
+    return log, *evaluate_split(model, test)
+
+
 def select_by_validation(
     train: DataFrame, val: DataFrame, labels: Sequence[str] = LABELS, settings: Settings = Settings()
 ) -> tuple[PipelineModel | None, DataFrame]:
