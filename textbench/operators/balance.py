@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -97,61 +98,50 @@ def weighted_sample(
     on any number of partitions. Positions are counted in hash buckets of the row
     id, so no task holds a class. A row of a rare class is drawn very often, so
     its join key is salted: the expected number of copies per key stays below
-    COPIES_PER_KEY however rare the class is.
+    COPIES_PER_KEY however rare the class is. Counting the classes is a job of its
+    own, run when the sample is defined.
     """
-    spark = df.sparkSession
-    rows = label_in_range(df, len(labels)).select("row_id", "label_id", *columns)
-
+    k = len(labels)
+    rows = label_in_range(df, k).select("row_id", "label_id", *columns)
     if num_samples is None:
         draw_ids = rows.select(F.col("row_id").alias("draw_id"))
     else:
-        draw_ids = spark.range(num_samples).select(F.col("id").alias("draw_id"))
-    n_draws = F.sum("n").over(_all_classes()) if num_samples is None else F.lit(num_samples)
-
-    # K rows: running chance of the classes in id order, and salts per row of the class
-    mass = F.col("n") / (F.col("n") + F.lit(COUNT_SMOOTHING))
-    in_order = _all_classes().orderBy("label_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    classes = (
-        class_counts(rows, labels)
-        .filter(F.col("n") > 0)
-        .select(
-            F.sum(mass).over(in_order).alias("upto"),
-            F.sum(mass).over(_all_classes()).alias("total"),
-            F.count("*").over(_all_classes()).alias("classes"),
-            "label_id",
-            "n",
-            F.ceil(n_draws / (F.count("*").over(_all_classes()) * F.col("n") * COPIES_PER_KEY)).alias("salts"),
-        )
-    )
-    class_table = classes.agg(F.sort_array(F.collect_list(F.struct("upto", "total", "label_id", "n", "salts")))).scalar()
-
-    digest = F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("draw_id").cast("string")))
-    picked = F.coalesce(
-        F.get(F.filter(F.col("classes"), lambda c: F.col("u_class") * c["total"] < c["upto"]), F.lit(0)),
-        F.element_at("classes", -1),
-    )
+        draw_ids = df.sparkSession.range(num_samples).select(F.col("id").alias("draw_id"))
+    # K numbers: with them as literals the choice of a class is compiled arithmetic
+    counts = rows.agg(*[F.expr(f"count_if(label_id = {i}) as n_{i}") for i in range(k)]).first()
+    chances = [n / (n + COUNT_SMOOTHING) for n in counts]
+    upto = list(accumulate(chances))
+    n_draws = sum(counts) if num_samples is None else num_samples
+    present = [i for i in range(k) if counts[i]]
+    salts = {i: -(-n_draws // (len(present) * counts[i] * COPIES_PER_KEY)) for i in present}
+
+    def of_class(values) -> str:
+        return "case label_id " + " ".join(f"when {i} then {values[i]}L" for i in present) + " end" if present else "0L"
+
+    # u_class is below 1, so u_class * total is below the last running chance
+    picks = " ".join(f"when u_class * {upto[-1]!r}D < {upto[i]!r}D then {i}L" for i in present)
     draws = (
-        draw_ids.withColumn("_digest", digest)
+        draw_ids.select("draw_id", F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("draw_id").cast("string"))).alias("_digest"))
         .select(
             "draw_id",
             _uniform(F.col("_digest"), 1).alias("u_class"),
             _uniform(F.col("_digest"), 1 + UNIFORM_HEX_DIGITS).alias("u_row"),
-            _hex_number(F.col("_digest"), 27, 6).alias("u_salt"),
-            class_table.alias("classes"),
+            _hex_number(F.col("_digest"), 1 + 2 * UNIFORM_HEX_DIGITS, 6).alias("u_salt"),
         )
-        .select("draw_id", "u_row", "u_salt", picked.alias("c"))
-        .select(
+        .selectExpr("draw_id", "u_row", "u_salt", f"case {picks} end as label_id" if present else "0L as label_id")
+        .selectExpr(
             "draw_id",
-            F.col("c.label_id").alias("label_id"),
-            F.least(F.floor(F.col("u_row") * F.col("c.n")), F.col("c.n") - 1).alias("_position"),
-            (F.col("u_salt") % F.col("c.salts")).alias("_salt"),
+            "label_id",
+            f"least(floor(u_row * {of_class(counts)}), {of_class(counts)} - 1) as _position",
+            f"u_salt % {of_class(salts)} as _salt" if present else "0L as _salt",
         )
     )
 
     bucket = _hex_number(F.md5(F.concat(F.lit(f"{seed}:row:"), F.col("row_id").cast("string"))), 1, BUCKET_HEX_DIGITS)
-    positioned = (
-        ordinal_within(rows, "row_id", ["label_id"], "_position", bucket)
-        .join(F.broadcast(classes.select("label_id", "salts")), "label_id")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    positioned = ordinal_within(rows, "row_id", ["label_id"], "_position", bucket).withColumn(
+        "_salt", F.explode(F.expr(f"sequence(0L, {of_class(salts)} - 1)"))
+    )
+    # every draw has its row; an inner join would add null checks that compute the draw many times over
+    return draws.join(positioned, ["label_id", "_position", "_salt"], "left").select(
+        "draw_id", "label_id", "row_id", *columns
     )
-    return draws.join(positioned, ["label_id", "_position", "_salt"]).select("draw_id", "label_id", "row_id", *columns)
