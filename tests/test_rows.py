@@ -72,6 +72,13 @@ def test_first_n_small_and_large(spark, rows, monkeypatch, top):
     assert R.first_n(df, 10_000).count() == df.count()
 
 
+def test_first_n_at_the_ends_of_the_number_range(spark):
+    ids = [-(2**63), -5, 0, 2**62, 2**63 - 2, 2**63 - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id bigint")
+    for n in range(1, 8):
+        assert sorted(r["row_id"] for r in R.first_n(df, n).collect()) == ids[:n]
+
+
 def test_shuffle_is_seeded_and_whole(spark):
     df = spark.range(100).withColumnRenamed("id", "row_id")
     one, same, other = ([r["row_id"] for r in R.shuffle_rows(f, s).collect()] for f, s in ((df, 1), (df.repartition(7), 1), (df, 2)))

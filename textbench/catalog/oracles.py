@@ -356,8 +356,8 @@ from losses""",
     ),
     # joins
     "zero_filled_counts": sql(
-        """select label_id, label_list.label, count(labelled.label) as n
-from label_list left join labelled on labelled.label = label_list.label and labelled.label <> 'fear' group by all"""
+        """select label_id, listed.label, count(labelled.label) as n
+from (from label_list union all select 6::bigint, 'surprise') as listed left join labelled using (label) group by all"""
     ),
     "attach_class_weight": sql(
         """select row_id, label, label_id, round((select count(*) from train)::double / (6 * n), 6) as weight

@@ -99,8 +99,8 @@ def first_n(df: DataFrame, n: int | None, order: str = "row_id") -> DataFrame:
     per_block = df.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = per_block.select("_block", F.sum("_n").over(upto).alias("_upto")).filter(F.col("_upto") >= n).agg(F.min("_block"))
-    bound = last.select(((F.col("min(_block)") + 1) * BLOCK_ROWS).alias("_bound")).scalar()
-    enough = df.filter(F.col(order) < F.coalesce(bound, F.lit(2**63 - 1)))
+    bound = F.coalesce(F.try_multiply(F.col("min(_block)") + 1, F.lit(BLOCK_ROWS)) - 1, F.lit(2**63 - 1))
+    enough = df.filter(F.col(order) <= last.select(bound.alias("_bound")).scalar())
     if n <= TOP_N_ROWS:
         return enough.orderBy(order).limit(n)
     return ordinal_within(enough, order, name="_ordinal").filter(F.col("_ordinal") < n).drop("_ordinal")

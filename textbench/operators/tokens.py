@@ -31,10 +31,9 @@ def token_vocabulary(df: DataFrame, size: int) -> DataFrame:
     counts = token_counts(df)
     by_count = counts.groupBy("n").agg(F.count("*").alias("tokens"))
     from_the_top = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = (
-        by_count.select("n", F.sum("tokens").over(from_the_top).alias("upto")).filter(F.col("upto") >= size).agg(F.max("n"))
-    ).scalar()
-    top = counts.filter(F.col("n") >= F.coalesce(least, F.lit(0))).orderBy(F.desc("n"), "token").limit(size)
+    enough = by_count.select("n", F.sum("tokens").over(from_the_top).alias("upto")).filter(F.col("upto") >= size)
+    least = enough.agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(size)
     by_rank = Window.orderBy(F.desc("n"), "token")
     return top.select("token", (F.row_number().over(by_rank) - 1 + FIRST_ID).cast("bigint").alias("token_id"), "n")
 
