@@ -65,3 +65,24 @@ def test_missing_models_are_left_out(spark, tmp_path):
     (tmp_path / "c.csv").write_text("something\n1\n")
     with pytest.raises(AnalysisException):
         S.read_available_predictions(spark, {"c": str(tmp_path / "c.csv")})[0].collect()
+
+
+def test_models_without_a_key_are_paired_by_position(spark, tmp_path):
+    from textbench.operators.compare import paired_predictions
+
+    labels = [("joy", "joy"), ("joy", "love"), ("fear", "fear")] * 100
+    for name, data in (("a", labels), ("b", labels[:150])):
+        lines = "".join(f'"text {i}\nsecond ""line""",{t},{p}\n' for i, (t, p) in enumerate(data))
+        (tmp_path / f"{name}.csv").write_text("text,true_label,pred_label\n" + lines)
+    paths = {m: str(tmp_path / f"{m}.csv") for m in ("a", "b")}
+    df, _ = S.read_available_predictions(spark, paths, number=True)
+    one = df.filter("model = 'a'").orderBy("row_id").collect()
+    assert [(r["true_label"], r["pred_label"]) for r in one] == labels and one[-1]["row_id"] == 299
+    row = paired_predictions(df, ["a", "b"]).first()
+    assert (row["n_a"], row["n_b"], row["n_both"], row["both_right"], row["both_wrong"], row["agreement"]) == (300, 150, 150, 100, 50, 1.0)
+
+
+def test_positions_need_a_single_file(spark, tmp_path):
+    spark.range(10).repartition(3).write.options(**S.CSV_FORMAT).csv(str(tmp_path / "many"))
+    with pytest.raises(ValueError, match="single file"):
+        S.number_rows(S.read_table(spark, str(tmp_path / "many")))

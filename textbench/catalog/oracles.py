@@ -315,6 +315,14 @@ group by split"""
     "encode_label": sql(
         f"select row_id, label, coalesce({LABEL_ID}, 0) as label_id, label in ({LABEL_IN}) as known from dirty"
     ),
+    "encode_label_resolved": sql(
+        f"""select row_id, label, coalesce(mapping.id, 0) as label_id, mapping.id is not null as known
+from dirty left join (
+  select label, row_number() over (order by label) - 1 as id from (
+    select distinct label from dirty where split = 'train' and exists (select 1 from dirty where label not in ({LABEL_IN})))
+  union all select label, label_id from label_list where not exists (select 1 from dirty where label not in ({LABEL_IN}))
+) as mapping using (label)"""
+    ),
     "decode_label": sql(
         f"select row_id, {label_name('y')} as true_label, {label_name('pred')} as pred_label from scored", SCORED
     ),

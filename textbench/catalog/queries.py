@@ -137,6 +137,13 @@ def encode_label_(spark, d):
     return encoded(spark, d, dirty=True).select("row_id", "label", "label_id", "known")
 
 
+@query
+def encode_label_resolved(spark, d):
+    """With the vocabulary that the data themselves decide on."""
+    rows = X.labelled_dirty(spark, d)
+    return LB.encode_by_mapping(rows, LB.resolve_labels(rows)).select("row_id", "label", "label_id", "known")
+
+
 @query
 def decode_label_(spark, d):
     scored = LO.score_logits(X.logits(spark, d), K)

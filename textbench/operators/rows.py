@@ -29,6 +29,9 @@ def running_totals(
     ``totals`` maps a new column to (expression, 'sum' or 'max'). ``block`` cuts the
     order into parts; it must not decrease along it, unless any fixed order will do
     (then it may be a hash, and the order is by block first). Keys must not be NULL.
+    Without it, the order column should be dense over long stretches, as row numbers
+    and partition-wise ids are: ids strewn over the whole number range would make
+    almost as many blocks as rows.
 
     The rows are shuffled and sorted once: the join with the offsets needs the
     partitioning and order that the window has.

@@ -58,19 +58,37 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.partitionBy("split").parquet(path)
 
 
-def read_predictions(spark: SparkSession, path: str, model: str, fmt: str = "csv", keep: Sequence[str] = ()) -> DataFrame:
-    """(model, *keep, true_label, pred_label)."""
-    return read_table(spark, path, fmt).select(F.lit(model).alias("model"), *keep, "true_label", "pred_label")
+def number_rows(table: DataFrame) -> DataFrame:
+    """Add ``row_id``, the position 0, 1, 2, ... in the file, to a table read from a single CSV file.
+
+    Such a file is read by one task, whose rows Spark numbers in order. For saved
+    predictions that have no key, so that models can be paired by position. Tables of
+    many files need a key, or Parquet and ``row_ordinal``.
+    """
+    files = table.inputFiles()
+    if len(files) != 1:
+        raise ValueError(f"positions need a single file, not {len(files)}")
+    return table.withColumn("row_id", F.monotonically_increasing_id())
+
+
+def read_predictions(
+    spark: SparkSession, path: str, model: str, fmt: str = "csv", keep: Sequence[str] = (), number: bool = False
+) -> DataFrame:
+    """(model, *keep, true_label, pred_label), with ``number`` also the row_id by position in a single CSV file."""
+    table = read_table(spark, path, fmt)
+    if number:
+        table, keep = number_rows(table), [*keep, "row_id"]
+    return table.select(F.lit(model).alias("model"), *keep, "true_label", "pred_label")
 
 
 def read_available_predictions(
-    spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv", keep: Sequence[str] = ()
+    spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv", keep: Sequence[str] = (), number: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """Predictions of all models whose path exists, and the names of the models left out."""
     found, missing = [], []
     for model, path in paths.items():
         try:
-            found.append(read_predictions(spark, path, model, fmt, keep))
+            found.append(read_predictions(spark, path, model, fmt, keep, number))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
