@@ -69,3 +69,21 @@ def test_entry(spark):
     assert [(r["model"], r["macro_f1"], r["accuracy"]) for r in sorted(rows, key=lambda r: r["rank"])] == [
         ("tuned", 0.573848, 0.67), ("few", 0.284664, 0.34), ("zero", 0.150598, 0.17),
     ]
+
+
+SPREAD = [
+    "compare_models", "per_class_metrics", "paired_predictions", "class_weights", "weighted_sample", "shuffle_rows", "first_n",
+    "early_stop", "running_epoch_loss", "token_vocabulary", "key_tokens", "encode_tokens", "resolve_labels", "baseline_predictions",
+]
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_result_does_not_depend_on_partitions(spark, monkeypatch, rows, name):
+    from textbench import fixtures
+
+    read = fixtures.table
+    results = []
+    for parts in (1, 8):
+        monkeypatch.setattr(fixtures, "table", lambda *args, parts=parts: read(*args).repartition(parts))
+        results.append(rows(QUERIES[name](spark, SF)))
+    assert results[0] == results[1]
