@@ -1 +1,11 @@
-"""Operators of a training-data pipeline; nothing else in the package imports them."""
+"""Operators of a training-data pipeline; nothing else in the package imports them.
+
+Functions that run in Python workers travel with their code, so the workers need not
+have this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
