@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textbench.llm.decontaminate import OP6_SQL, op6_decontamination
 from textbench.llm.fingerprints import op1_fingerprints
+from textbench.llm.near_dedup import op3_near_dedup
 from textbench.llm.packing import op4_packing
 from textbench.llm.secrets import op5_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
