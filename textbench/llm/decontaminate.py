@@ -147,6 +147,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **settings) -> Dat
     )
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """``documents`` without those that hold any window of the benchmark."""
+    found = overlaps(documents, benchmark, **settings).select("doc_id", "text_hash").distinct()
+    rows = documents.select(
+        documents["doc_id"].alias("row_id"),
+        F.xxhash64(F.coalesce(documents["text"], F.lit(""))).alias("row_hash"),
+        F.struct(*(documents[c] for c in documents.columns)).alias("row"),
+    )
+    same = F.col("row_id").eqNullSafe(found["doc_id"]) & (F.col("row_hash") == found["text_hash"])
+    return rows.join(found, same, "left_anti").select(*(F.col("row")[c].alias(c) for c in documents.columns))
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     tables = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
     return decontaminate(*tables).select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textbench.llm.decontaminate import OP6_SQL, op6_decontamination
 from textbench.llm.fingerprints import op1_fingerprints
+from textbench.llm.language import op10_language
 from textbench.llm.near_dedup import op3_near_dedup
 from textbench.llm.packing import op4_packing
 from textbench.llm.secrets import op5_secrets
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
