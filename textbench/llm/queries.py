@@ -12,6 +12,7 @@ from textbench.llm.language import op10_language
 from textbench.llm.near_dedup import op3_near_dedup
 from textbench.llm.packing import op4_packing
 from textbench.llm.secrets import op5_secrets
+from textbench.llm.substrings import OP8_SQL, op8_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
@@ -19,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL}
