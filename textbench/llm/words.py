@@ -50,13 +50,13 @@ def table(bytes_in: bytes) -> np.ndarray:
 IS_SPACE = table(b" \t\n\x0b\x0c\r")
 _word = bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 IS_WORD = table(_word)
-TO_LOWER = np.arange(256, dtype=np.uint8)
+TO_LOWER = np.arange(256, dtype=np.uint8)  # A-Z to a-z
 TO_LOWER[0x41:0x5B] += 32
 
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0])).astype(np.int8)))
     return edges[::2], edges[1::2]
 
 
