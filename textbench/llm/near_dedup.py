@@ -134,7 +134,8 @@ def verified(pairs: DataFrame, documents: DataFrame, similarity: float = SIMILAR
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = documents.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = materialize(texts.join(asked, "id", "left_semi"))
+    # the ids grow with the input, so the same shuffle serves every size
+    texts = materialize(texts.join(asked.hint("merge"), "id", "left_semi"))
     a, b = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInPandas(run, "a bigint, b bigint")
 
