@@ -156,7 +156,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFr
         F.struct(*(documents[c] for c in documents.columns)).alias("row"),
     )
     same = F.col("row_id").eqNullSafe(found["doc_id"]) & (F.col("row_hash") == found["text_hash"])
-    return rows.join(found, same, "left_anti").select(*(F.col("row")[c].alias(c) for c in documents.columns))
+    return rows.join(found.hint("merge"), same, "left_anti").select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

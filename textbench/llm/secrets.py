@@ -171,7 +171,7 @@ def redact(documents: DataFrame, owner: str = "source", mark: str = "<secret>")
         ),
         lambda a: F.concat(a["done"], F.substring(text, a["reach"] + 1, F.length(text))),
     )
-    out = rows.join(live, same, "left").select("row", F.coalesce(cut, text).alias("new_text"))
+    out = rows.join(live.hint("merge"), same, "left").select("row", F.coalesce(cut, text).alias("new_text"))
     new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("bigint")}
     own = lambda c: F.when(F.col("new_text").eqNullSafe(text), F.col("row")[c]).otherwise(new[c]) if c in new else F.col("row")[c]
     return out.select(*(own(c).alias(c) for c in documents.columns))
