@@ -29,7 +29,7 @@ SLACK = 8
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; more only cost time.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CHUNK_CHARS = 2_000_000
 
 PIECES = (
@@ -65,8 +65,10 @@ class WordIds:
     own ``encode(text, add_special_tokens=False)``.
     """
 
-    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    WITH_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+    # words that can be cut into pieces here: no apostrophe, whose contractions the
+    # tokenizer keeps together, and no letters whose lower case depends on others
+    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+    PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -78,59 +80,56 @@ class WordIds:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters only, each of which ends with a token that says so."""
-        out = {}
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of pieces, each of which ends with a token that says so, many at once."""
+        for i in range(0, len(pieces), 512):
+            some = pieces[i : i + 512]
+            ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
                 data = ids.tobytes()
                 at = [0, *(4 * ends).tolist()]
-                out.update((w, data[at[j] : at[j + 1]]) for j, w in enumerate(some))
+                self.pieces.update((w, data[at[j] : at[j + 1]]) for j, w in enumerate(some))
             else:
-                out.update((w, self.encode(w)) for w in some)
-        return out
+                self.pieces.update((w, self.encode(w)) for w in some)
 
     def learn(self, words: set[bytes]) -> None:
-        known = self.known
-        letters, marked = {}, []
+        cut, asked = {}, set()
         for word in words:
-            text = word.decode()
-            if self.LETTERS.fullmatch(text):
-                letters[word] = text.lower()
-            elif found := self.WITH_MARKS.fullmatch(text):
-                marked.append((word, found[1].lower(), found[2]))
+            text = word.decode("utf-8", "surrogatepass")
+            if self.PLAIN.fullmatch(text) and "<|" not in text:
+                cut[word] = found = self.PIECES.findall(text.lower())
+                asked.update(found)
             else:
-                known[word] = self.encode(text)
-        asked = {*letters.values(), *(base for _, base, _ in marked)}
-        found = {w: ids for w in asked if (ids := known.get(w.encode())) is not None}
-        found |= self._letters([w for w in asked if w not in found])
-        known.update((w.encode(), ids) for w, ids in found.items())
-        known.update((word, found[low]) for word, low in letters.items())
-        for word, base, marks in marked:
-            if (ids := known.get(marks.encode())) is None:
-                ids = known[marks.encode()] = self.encode(marks)
-            known[word] = found[base] + ids
+                self.known[word] = self.encode(text)
+        self._learn_pieces(list(asked.difference(self.pieces)))
+        piece = self.pieces.__getitem__
+        for word, found in cut.items():
+            self.known[word] = piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        known = self.known
         for first, last in chunks([len(t) for t in texts], CHUNK_CHARS):
+            if len(self.known) > CACHED_WORDS:
+                self.known.clear()
+                self.pieces.clear()
             split = [t.encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
-            if len(known) > CACHED_WORDS:
-                known.clear()
+            found = [list(map(self.known.get, words)) for words in split]
             new = set()
-            for words in split:
-                new.update(words)
-            self.learn(new - known.keys())
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    new.update([w for w, known in zip(words, ids, strict=True) if known is None])
+            self.learn(new)
+            for words, ids in zip(split, found, strict=True):
+                yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
 
 
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
