@@ -10,10 +10,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as driver  # noqa: E402
+from textbench.catalog.oracles import ORACLES  # noqa: E402
+from textbench.catalog.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 TRAINED = {"train_classifier", "select_by_validation", "predict_table", "evaluate_split", "save_model", "load_model"}
 KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 
@@ -58,6 +59,10 @@ def test_plans(spark, name):
     assert ("MapInPandas" in plan) == (name == "generate")
 
 
+def test_the_driver_gets_all_of_them():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
+
+
 @pytest.mark.parametrize("name", ["compare_models", "class_weights", "confusion_matrix", "paired_predictions", "weighted_sample"])
 def test_texts_are_not_read_where_only_labels_count(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))

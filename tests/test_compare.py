@@ -10,6 +10,20 @@ def test_ranking_and_ties(frame):
     assert given == ["c", "b", "a"] and by_name == ["c", "a", "b"]
 
 
+def test_models_outside_the_order_come_last(frame):
+    df = frame(pairs(ZERO_SHOT), "zz").union(frame(pairs(ZERO_SHOT), "a"))
+    assert [r["model"] for r in C.compare_models(df, ["zz"]).orderBy("rank").collect()] == ["zz", "a"]
+
+
+def test_every_pair_of_better_and_worse(frame):
+    df = frame(pairs(ZERO_SHOT), "zero").union(frame(pairs(FEW_SHOT), "few"))
+    got = C.all_improvements(C.compare_models(df, ["zero", "few", "none"])).collect()
+    assert {(r["better"], r["worse"]) for r in got} == {
+        ("few", "zero"), ("few", "none"), ("zero", "none"), *((m, "random guess") for m in ("few", "zero", "none")),
+    }
+    assert [round(r["points"], 2) for r in got if (r["better"], r["worse"]) == ("few", "zero")] == [round(11.1820 - 5.3221, 2)]
+
+
 def test_comparison_shows_the_row_counts(frame):
     df = frame(pairs(ZERO_SHOT), "zero").union(frame(pairs(FEW_SHOT)[:40], "few"))
     assert {r["model"]: r["n"] for r in C.compare_models(df).collect()} == {"zero": 100, "few": 40}

@@ -32,15 +32,14 @@ def test_unknown_labels_stay_countable(spark):
     assert [(r["label_id"], r["known"]) for r in encoded.orderBy("row_id").collect()] == [(4, True), (0, False), (0, False)]
 
 
-def test_encoding_by_a_mapping(spark, monkeypatch):
+def test_encoding_by_a_mapping(spark):
     df = frame(spark, ["love", "fear", None, "love"])
     mapping = LB.label_mapping(df.filter("row_id in (0, 1)"))
     got = LB.encode_by_mapping(df, mapping).orderBy("row_id").collect()
     assert [(r["label_id"], r["known"]) for r in got] == [(1, True), (0, True), (0, False), (1, True)]
     assert got[0].asDict().keys() == {"row_id", "label", "split", "label_id", "known"}
-    monkeypatch.setattr(LB, "MAX_LABELS", 1)
-    with pytest.raises(Exception, match="more than 1 labels"):
-        LB.encode_by_mapping(df, mapping).collect()
+    kept = LB.resolved_label(df, mapping).orderBy("row_id").collect()
+    assert [r["label"] for r in kept] == ["love", "fear", "fear", "love"]
 
 
 def test_counts_and_weights(spark):

@@ -63,15 +63,33 @@ def test_first_n_without_a_limit(spark, n):
     assert R.first_n(spark.range(50).withColumnRenamed("id", "row_id"), n).count() == 50
 
 
-@pytest.mark.parametrize("top", [100_000, 5])
-def test_first_n_small_and_large(spark, rows, monkeypatch, top):
-    monkeypatch.setattr(R, "TOP_N_ROWS", top)
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_first_n_small_and_large(spark, monkeypatch, ranges):
     monkeypatch.setattr(R, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(R, "RANGES", ranges)
     df = spark.range(0, 500, 3).select(F.col("id").alias("row_id")).repartition(4)
-    assert sorted(r["row_id"] for r in R.first_n(df, 20).collect()) == [3 * i for i in range(20)]
+    for n in (1, 20, 166, 167):
+        assert sorted(r["row_id"] for r in R.first_n(df, n).collect()) == [3 * i for i in range(n)]
     assert R.first_n(df, 10_000).count() == df.count()
 
 
+@pytest.mark.parametrize("n", [50_000, 150_000])
+def test_first_n_is_one_filter_for_every_n(spark, n):
+    df = spark.range(200_000).select((F.xxhash64("id")).alias("row_id"), "id")  # strewn over the whole number range
+    got = R.first_n(df, n)
+    want = sorted(r["row_id"] for r in df.collect())[n - 1]
+    assert got.count() == n and got.agg(F.max("row_id")).first()[0] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Limit" not in plan
+
+
+def test_first_n_passes_over_rows_without_a_place(spark):
+    df = spark.createDataFrame([(None,), (5,), (2,)], "row_id bigint")
+    assert [r["row_id"] for r in R.first_n(df, 1).collect()] == [2]
+    assert sorted(r["row_id"] for r in R.first_n(df, 3).collect()) == [2, 5]
+    assert R.first_n(df, 0).count() == 3
+
+
 def test_first_n_at_the_ends_of_the_number_range(spark):
     ids = [-(2**63), -5, 0, 2**62, 2**63 - 2, 2**63 - 1]
     df = spark.createDataFrame([(i,) for i in ids], "row_id bigint")

@@ -16,7 +16,8 @@ def test_round_trip(spark, tmp_path, fmt):
     path = str(tmp_path / "t")
     S.write_labelled(labelled(spark).repartition(3), path, fmt)
     got = {int(r["row_id"]): (r["text"], r["label"]) for r in S.read_labelled(spark, path, fmt, keep=["row_id"]).collect()}
-    want = {i: ("nan" if t in (None, "None") else t, "joy" if i else "nan") for i, t in enumerate(TEXTS)}
+    missing = (None, "None") if fmt == "csv" else (None,)  # a typed source has its own missing value
+    want = {i: ("nan" if t in missing else t, "joy" if i else "nan") for i, t in enumerate(TEXTS)}
     assert got == want
 
 
@@ -86,3 +87,46 @@ def test_positions_need_a_single_file(spark, tmp_path):
     spark.range(10).repartition(3).write.options(**S.CSV_FORMAT).csv(str(tmp_path / "many"))
     with pytest.raises(ValueError, match="single file"):
         S.number_rows(S.read_table(spark, str(tmp_path / "many")))
+
+
+def write(path, **files):
+    path.mkdir()
+    for name, text in files.items():
+        (path / f"{name}.csv").write_text(text)
+    return str(path)
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_columns_are_found_by_the_header_of_each_file(spark, tmp_path, multi_line):
+    path = write(tmp_path / "two", a="text,label\nhello,joy\n", b="label,text\nanger,world\n", c="more,label,text\n1,fear,dark\n")
+    got = S.read_labelled(spark, path, multi_line=multi_line).collect()
+    assert sorted((r["text"], r["label"]) for r in got) == [("dark", "fear"), ("hello", "joy"), ("world", "anger")]
+
+
+def test_records_with_too_many_fields(spark, tmp_path):
+    path = write(tmp_path / "odd", a="text,label\nfine,joy\nshort\nx,joy,extra\n")
+    with pytest.raises(Exception, match="more fields than its header"):
+        S.read_labelled(spark, path).collect()
+    kept = S.read_labelled(spark, path, malformed="drop").collect()
+    assert sorted((r["text"], r["label"]) for r in kept) == [("fine", "joy"), ("short", "nan")]
+    marked = S.read_labelled(spark, path, malformed="mark")
+    assert marked.filter("malformed").count() == 1 and marked.count() == 3
+    with pytest.raises(ValueError):
+        S.read_table(spark, path, malformed="maybe")
+
+
+def test_ingest(spark, tmp_path):
+    path = write(tmp_path / "in", a='text,label\n"two\nlines",joy\n', b="label,text\nfear,NA\n")
+    S.ingest(spark, path, str(tmp_path / "out"))
+    got = S.read_table(spark, str(tmp_path / "out"), "parquet").collect()
+    assert sorted((r["text"], r["label"]) for r in got) == [("NA", "fear"), ("two\nlines", "joy")]
+
+
+def test_an_empty_folder_of_predictions_is_ranked_last(spark, tmp_path):
+    from textbench.plans.comparison import compare_saved
+
+    full = write(tmp_path / "full", a="text,true_label,pred_label\na,joy,love\n")
+    empty = write(tmp_path / "empty", a="text,true_label,pred_label\n")
+    ranking, _, missing = compare_saved(spark, {"none": empty, "gone": str(tmp_path / "gone"), "some": full})
+    assert missing == ["gone"]
+    assert [(r["model"], r["n"]) for r in ranking.orderBy("rank").collect()] == [("some", 1), ("none", 0)]

@@ -2,11 +2,14 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from textbench.fixed import LABELS
 from textbench.operators import tokens as TK
 from textbench.operators.generation import generate
+from textbench.operators.labels import resolve_labels
 from textbench.operators.predictions import baseline_predictions, parse_counts, parse_outputs
+from textbench.plans.prompted import prompted_predictions
 from textbench.plans import prompted as PR
 
 TEXTS = ["the cat the dog", "a cat", "", None, "dog dog DOG bird"]
@@ -22,9 +25,7 @@ def test_vocabulary(spark):
     assert got == [("dog", 2, 4), ("cat", 3, 2), ("the", 4, 2), ("a", 5, 1)]
 
 
-@pytest.mark.parametrize("buckets", [4096, 1])
-def test_encoding(spark, monkeypatch, buckets):
-    monkeypatch.setattr(TK, "LOOKUP_BUCKETS", buckets)
+def test_encoding(spark):
     df = frame(spark)
     got = TK.encode_tokens(df, TK.token_vocabulary(df, 3), 5).orderBy("row_id").collect()
     assert [r["input_ids"] for r in got] == [[4, 3, 4, 2, 0], [1, 3, 0, 0, 0], [0] * 5, [1, 0, 0, 0, 0], [2, 2, 2, 1, 0]]
@@ -40,13 +41,6 @@ def test_vocabulary_with_many_equal_counts(spark):
     assert TK.token_vocabulary(frame(spark, texts), 100).count() == 12
 
 
-def test_oversized_vocabulary_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(TK, "MAX_VOCABULARY", 3)
-    df = frame(spark)
-    with pytest.raises(Exception, match="more than 3 tokens"):
-        TK.encode_tokens(df, TK.token_vocabulary(df, 4), 5).collect()
-
-
 def test_key_tokens(spark):
     texts, labels = ["x x y", "y z", "z z z"], ["a", "b", "b"]
     counts = {"a": Counter("xxy"), "b": Counter("yzzzz")}
@@ -130,6 +124,39 @@ def test_parse_counts(spark):
     assert got == {("joy", 1): 1, ("joy", 2): 1, ("neutral", 0): 2}
 
 
+def test_baselines_encode_labels_as_everywhere(spark):
+    data = [(0, None, "train"), (1, None, "train"), (2, "odd", "train"), (3, "fear", "train"), (4, "odd", "test"), (5, None, "test")]
+    df = spark.createDataFrame(data, "row_id bigint, label string, split string")
+    got = baseline_predictions(df, 1).filter("model = 'majority'").orderBy("row_id").collect()
+    # missing and unlisted labels are class 0, three of four training rows
+    assert [(r["true_label"], r["pred_label"]) for r in got] == [("joy", "joy"), ("joy", "joy")]
+    derived = baseline_predictions(df, 1, mapping=resolve_labels(df)).filter("model = 'majority'").orderBy("row_id").collect()
+    assert [(r["true_label"], r["pred_label"]) for r in derived] == [("odd", "nan"), ("nan", "nan")]
+
+
+def test_prompts_are_spread_over_tasks(spark):
+    df = spark.range(1200).select(F.col("id").alias("row_id"), F.lit("t").alias("text"), F.lit("joy").alias("label"))
+
+    def echo(prompts):
+        from pyspark import TaskContext
+
+        return prompts.map(lambda p: f"joy {TaskContext.get().partitionId()}")
+
+    got = prompted_predictions(df, echo, "m", max_samples=1000, continuation=True).collect()
+    assert len(got) == 1000 and len({r["raw_output"] for r in got}) > 5
+
+
+def test_prompted_true_labels_stay(spark):
+    data = [(0, "a", "surprise", "train"), (1, "b", "joy", "train"), (2, "c", "surprise", "test"), (3, "d", "late", "test")]
+    df = spark.createDataFrame(data, "row_id bigint, text string, label string, split string")
+    answer = lambda prompts: prompts.map(lambda p: "joy\n\nEmotion: anger")
+    test = df.filter("split = 'test'")
+    whole = prompted_predictions(test, answer, "m", mapping=resolve_labels(df), continuation=True).orderBy("row_id").collect()
+    assert [(r["true_label"], r["pred_label"]) for r in whole] == [("surprise", "joy"), ("joy", "joy")]
+    cut = prompted_predictions(test, answer, "m").orderBy("row_id").collect()
+    assert [(r["true_label"], r["pred_label"]) for r in cut] == [("joy", "anger"), ("joy", "anger")]
+
+
 def test_baselines(spark):
     labels = ["love", "fear"] * 5 + ["joy"]
     data = [(i, x, "train") for i, x in enumerate(labels)] + [(100 + i, "joy", "test") for i in range(300)]

@@ -72,7 +72,7 @@ raw_outputs as (
          else pred_label || chr(10) || chr(10) || 'Explanation: The given "text" expresses' end as raw_output
   from predictions),
 logits as (
-  select vec_id as row_id, list_transform(embedding[1:6], lambda x: x::double) as z, (label % 6)::bigint as y
+  select vec_id as row_id, list_transform([0, 1, 2, 3, 4, 5], lambda k: list_sum(list_transform(list_slice(embedding, k + 1, len(embedding), 6), lambda x: x::double))) as z, (label % 6)::bigint as y
   from embeddings),
 event_positions as (
   select user_id as run_id, event_id, value, row_number() over (partition by user_id order by event_id) - 1 as position
@@ -448,6 +448,14 @@ from (select * from ranked where rank = 1) c
         per_class(),
         RANKED,
     ),
+    "all_improvements": sql(
+        """select b.model as better, w.model as worse, round(b.macro_f1, 4) as better_f1, round(w.macro_f1, 4) as worse_f1,
+  round(100.0::double * (b.macro_f1 - w.macro_f1), 4) as points,
+  case when w.macro_f1 > 0 then round(b.macro_f1 / w.macro_f1, 4) end as ratio
+from ranked b join (select rank, model, macro_f1 from ranked union all select 1000, 'random guess', 1.0::double / 6) w on w.rank > b.rank""",
+        per_class(),
+        RANKED,
+    ),
     "mean_loss": sql("select count(*) as n, round(avg(factor * ce), 6) as mean_loss from losses", SCORED),
     "weighted_mean_loss": sql(
         """select count(*) as n, round(sum(w * ce) / sum(w), 6) as weighted_mean_loss
@@ -547,3 +555,29 @@ from labelled where split = 'test'""",
 # the report of the stub's predictions: the same report, over another prediction table
 _STUB = STUB_PREDICTIONS.replace("predictions as", "stub as", 1)
 ORACLES["prompted_evaluation"] = report().replace(per_class(), f"{GENERATED},\n{_STUB},\n" + per_class().replace("from predictions", "from stub"))
+
+# the prompted run where the data have a label that is not listed: true labels by the
+# vocabulary of the train split, prompts and parsing by the list
+_TRUE = """case when coalesce(label, 'nan') in (select coalesce(label, 'nan') from dirty where split = 'train')
+  then coalesce(label, 'nan') else (select min(coalesce(label, 'nan')) from dirty where split = 'train') end"""
+_GENERATED_DIRTY = GENERATED.replace("from labelled)", "from dirty)")
+_STUB_DIRTY = _STUB.replace("row_id, text, label as true_label", f"row_id, coalesce(text, 'nan') as text, {_TRUE} as true_label")
+_OF_STUB = """select model, row_id, substr(text, 1, 200) as text, true_label, pred_label,
+  substr(raw_output, 1, 100) as raw_output from stub"""
+ORACLES["prompted_predictions_unlisted"] = sql(_OF_STUB, _GENERATED_DIRTY, _STUB_DIRTY)
+ORACLES["prompted_evaluation_unlisted"] = report().replace(
+    per_class(), f"{_GENERATED_DIRTY},\n{_STUB_DIRTY},\n" + per_class().replace("from predictions", "from stub")
+)
+CONTINUATIONS = ["joy\n\nLyric: x\nEmotion: anger", "SADNESS", "no idea", "Emotion: love"]
+_CONTINUED = _STUB.replace(response("raw_output"), "raw_output")
+_ONLY_ANSWERS = GENERATED.replace("prompt || " + ANSWER_LIST + f"[length(prompt) % {len(ANSWERS)} + 1]", "[" + ", ".join(text(a) for a in CONTINUATIONS) + f"][length(prompt) % {len(CONTINUATIONS)} + 1]")
+ORACLES["prompted_predictions_continued"] = sql(_OF_STUB, _ONLY_ANSWERS, _CONTINUED)
+ORACLES["baseline_predictions_unlisted"] = sql(
+    f"""select 'majority' as model, row_id, {_TRUE} as true_label, (
+  select name from (select {_TRUE} as name from dirty where split = 'train') group by name order by count(*) desc, name limit 1) as pred_label
+from dirty where split = 'test'
+union all select 'uniform', row_id, {_TRUE}, (
+  select list(distinct coalesce(label, 'nan') order by coalesce(label, 'nan')) from dirty where split = 'train')[
+    {uniform("md5('42:uniform:' || row_id)", 1, 8)} % (select count(distinct coalesce(label, 'nan')) from dirty where split = 'train') + 1]
+from dirty where split = 'test'"""
+)

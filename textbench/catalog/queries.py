@@ -527,6 +527,13 @@ def stub_generator():
     return continue_prompts
 
 
+@query
+def baseline_predictions_unlisted(spark, d):
+    """Where the data have missing texts and a label that is not listed."""
+    rows = X.labelled_dirty(spark, d)
+    return P.baseline_predictions(rows, SEED, mapping=LB.resolve_labels(rows))
+
+
 @query
 def generate_(spark, d):
     prompts = X.labelled(spark, d).select("row_id", build_prompt(F.col("text"), "few-shot").alias("prompt"))
@@ -548,5 +555,43 @@ def prompted_evaluation(spark, d):
     return PR.prompted_evaluation(_prompted(spark, d))[1]
 
 
+def _prompted_unlisted(spark, d):
+    rows = X.labelled_dirty(spark, d)
+    test = rows.filter(F.col("split") == "test")
+    return PR.prompted_predictions(test, stub_generator(), "stub", mapping=LB.resolve_labels(rows))
+
+
+@query
+def prompted_predictions_unlisted(spark, d):
+    """Where the data have a label that is not listed, which stays a true label."""
+    return _prompted_unlisted(spark, d)
+
+
+@query
+def prompted_evaluation_unlisted(spark, d):
+    return PR.prompted_evaluation(_prompted_unlisted(spark, d))[1]
+
+
+def stub_continuations():
+    """Outputs that don't repeat the prompt, some with the marker behind the answer."""
+    answers = ["joy\n\nLyric: x\nEmotion: anger", "SADNESS", "no idea", "Emotion: love"]
+
+    def answer(prompts):
+        return prompts.map(lambda p: answers[len(p) % len(answers)])
+
+    return answer
+
+
+@query
+def prompted_predictions_continued(spark, d):
+    test = X.labelled(spark, d).filter(F.col("split") == "test")
+    return PR.prompted_predictions(test, stub_continuations(), "stub", continuation=True)
+
+
+@query
+def all_improvements(spark, d):
+    return rounded(C.all_improvements(C.compare_models(X.predictions(spark, d), X.MODELS)), 4)
+
+
 # a trailing underscore keeps a query apart from the imported function of its name
 QUERIES = {name.rstrip("_"): fn for name, fn in QUERIES.items()}

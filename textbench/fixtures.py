@@ -76,10 +76,11 @@ def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, z, y) with six class scores."""
-    return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id as row_id", "transform(slice(embedding, 1, 6), x -> cast(x as double)) as z", "cast(label % 6 as bigint) as y"
-    )
+    """(row_id, z, y) with six class scores: component i of the vector counts for class i mod 6."""
+    fold = """transform(sequence(0, 5), k -> aggregate(
+        filter(transform(embedding, (x, i) -> if(i % 6 = k, cast(x as double), null)), x -> x is not null),
+        0.0D, (a, x) -> a + x)) as z"""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id as row_id", fold, "cast(label % 6 as bigint) as y")
 
 
 def _event_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,11 @@ def missing_to_nan(field: Column) -> Column:
     return F.when(field.isNull() | field.isin(MISSING_STRINGS), F.lit(MISSING_TEXT)).otherwise(field)
 
 
+def null_to_nan(field: Column) -> Column:
+    """Missing values of a typed source become the text ``nan``."""
+    return F.coalesce(field, F.lit(MISSING_TEXT))
+
+
 def saved_text(text: Column) -> Column:
     return F.substring(text, 1, SAVED_TEXT_CHARS)
 

@@ -24,7 +24,7 @@ def zero_filled_counts(counts: DataFrame, labels: Sequence[str] = LABELS) -> Dat
     known = label_in_range(counts, k).select("label_id", "n")
     return (
         labels_frame(counts.sparkSession, labels)
-        .join(F.broadcast(known), "label_id", "left")
+        .join(known, "label_id", "left")
         .select("label_id", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     )
 
@@ -61,8 +61,8 @@ def sampling_weights(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame
 
 
 def attach_class_weight(df: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weight of the row's class. ``weights`` has one row per listed class, so it is broadcast."""
-    return df.join(F.broadcast(weights.select("label_id", "weight")), "label_id", "left")
+    """Weight of the row's class, from ``weights`` with one row per class."""
+    return df.join(weights.select("label_id", "weight"), "label_id", "left")
 
 
 # -- balanced sample ---------------------------------------------------------

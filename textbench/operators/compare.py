@@ -18,13 +18,41 @@ def compare_models(
 ) -> DataFrame:
     """(rank, model, macro_f1, accuracy, n), best macro-F1 first.
 
-    Ties keep the given ``order`` of the models, then go by name. The window sees
-    one row per model. ``n`` shows whether the models were scored on as many rows.
+    Ties keep the given ``order`` of the models, models outside it come after those
+    in it, by name. A model of ``order`` without rows is ranked too: all 0, and last.
+    The window sees one row per model. ``n`` shows whether the models were scored on
+    as many rows.
     """
-    place = F.array_position(label_array(order), F.col("model")) if order else F.lit(0)
-    ranking = Window.orderBy(F.desc("macro_f1"), place, "model")
-    return metrics_summary(predictions, labels).select(
-        F.row_number().over(ranking).cast("bigint").alias("rank"), "model", "macro_f1", "accuracy", "n"
+    summary = metrics_summary(predictions, labels).select("model", "macro_f1", "accuracy", "n")
+    place, used = F.lit(0), F.lit(0)
+    if order:
+        named = predictions.sparkSession.range(1).select(F.explode(label_array(order)).alias("model")).distinct()
+        summary = named.join(summary, "model", "full").na.fill(0)
+        at = F.array_position(label_array(order), F.col("model"))
+        place, used = F.when(at == 0, len(order) + 1).otherwise(at), (F.col("n") == 0).cast("int")
+    ranking = Window.orderBy(used, F.desc("macro_f1"), place, "model")
+    return summary.select(F.row_number().over(ranking).cast("bigint").alias("rank"), "model", "macro_f1", "accuracy", "n")
+
+
+def all_improvements(comparison: DataFrame, k: int = len(LABELS)) -> DataFrame:
+    """(better, worse, better_f1, worse_f1, points, ratio): every model against every model
+    ranked below it, and against random guessing, 1/K.
+
+    Input: rows of ``compare_models``, one per model.
+    """
+    rows = comparison.select("model", "macro_f1", "rank")
+    ranked = Window.orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
+    guess = F.struct(F.lit("random guess").alias("model"), F.lit(1.0 / k).alias("macro_f1"))
+    below = F.collect_list(F.struct("model", "macro_f1")).over(ranked)
+    pairs = rows.select("model", "macro_f1", below.alias("below"))
+    pairs = pairs.select("model", "macro_f1", F.explode(F.concat("below", F.array(guess))).alias("w"))
+    return pairs.select(
+        F.col("model").alias("better"),
+        F.col("w.model").alias("worse"),
+        F.col("macro_f1").alias("better_f1"),
+        F.col("w.macro_f1").alias("worse_f1"),
+        (100.0 * (F.col("macro_f1") - F.col("w.macro_f1"))).alias("points"),
+        F.when(F.col("w.macro_f1") > 0, F.col("macro_f1") / F.col("w.macro_f1")).alias("ratio"),
     )
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from textbench.fixed import LABELS, MISSING_TEXT, UNKNOWN_CLASS
 from textbench.functions.labels import encode_label, is_known_label, label_array
 
-MAX_LABELS = 100_000
-
 
 def labels_frame(spark: SparkSession, labels: Sequence[str] = LABELS) -> DataFrame:
     """(label_id, label), one row per listed label."""
@@ -54,21 +52,28 @@ def resolve_labels(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
 def encode_by_mapping(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Add ``label_id`` from a (label_id, label) table such as ``resolve_labels`` gives, unknown labels as class 0.
 
-    For vocabularies that only the data know. The table is broadcast, so that the
-    rows are not shuffled by label, and more than MAX_LABELS labels are refused.
+    For vocabularies that only the data know, of any size: a plain equi-join, for
+    which the adaptive planner picks a broadcast by measured size, or splits skewed
+    labels. ``known`` tells which labels the table has.
     """
-    too_many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels")).cast("bigint")
-    checked = F.when(F.col("label_id") >= MAX_LABELS, too_many).otherwise(F.col("label_id"))
-    by_label = mapping.select(F.col("label").alias("_label"), checked.alias("_id"))
+    by_label = mapping.select(F.col("label").alias("_label"), F.col("label_id").alias("_id"))
     known = F.coalesce(F.col("label"), F.lit(MISSING_TEXT)) == F.col("_label")
     return (
-        df.join(F.broadcast(by_label), known, "left")
+        df.join(by_label, known, "left")
         .withColumn("label_id", F.coalesce("_id", F.lit(UNKNOWN_CLASS)).cast("bigint"))
         .withColumn("known", F.col("_id").isNotNull())
         .drop("_label", "_id")
     )
 
 
+def resolved_label(df: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``label`` as the mapping knows it: an unknown label becomes that of class 0."""
+    first = mapping.filter(F.col("label_id") == UNKNOWN_CLASS).select("label").scalar()
+    encoded = encode_by_mapping(df, mapping)
+    label = F.when(F.col("known"), F.coalesce("label", F.lit(MISSING_TEXT))).otherwise(first)
+    return encoded.withColumn("label", label).drop("known")
+
+
 def encode_table(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Add ``label_id`` and ``known``; an unknown label is class 0 but stays countable."""
     return df.withColumn("label_id", encode_label(F.col("label"), labels)).withColumn(

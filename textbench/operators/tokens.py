@@ -13,8 +13,8 @@ from textbench.functions.text import tokens
 PADDING_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
-LOOKUP_BUCKETS = 4096
-MAX_VOCABULARY = 250_000
+#: Parts in which the tokens of a label are ranked before the last ranking.
+RANKING_PARTS = 64
 
 
 def token_counts(df: DataFrame) -> DataFrame:
@@ -38,37 +38,20 @@ def token_vocabulary(df: DataFrame, size: int) -> DataFrame:
     return top.select("token", (F.row_number().over(by_rank) - 1 + FIRST_ID).cast("bigint").alias("token_id"), "n")
 
 
-def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int) -> DataFrame:
+def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int, key: str = "row_id") -> DataFrame:
     """Add input_ids and attention_mask, cut and right-padded to ``max_length``.
 
-    The vocabulary becomes one array of small maps, a token's hash choosing the map:
-    every row is encoded where it is, without a shuffle and without leaving the JVM.
-    Ids beyond MAX_VOCABULARY are refused, which bounds what is sent to every task.
+    ``key`` is unique and not NULL. The first ``max_length`` tokens of each row are
+    joined with the vocabulary, whose size the caller chose: the adaptive planner
+    broadcasts it if it is small and splits frequent tokens if not. The ids are then
+    gathered by row, at most ``max_length`` of them, with the token's place.
     """
-    spark = df.sparkSession
-
-    def bucket_of(token):
-        return F.pmod(F.xxhash64(token), F.lit(LOOKUP_BUCKETS)).cast("int")
-
-    too_large = F.raise_error(F.lit(f"more than {MAX_VOCABULARY} tokens")).cast("bigint")
-    token_id = F.when(F.col("token_id") >= FIRST_ID + MAX_VOCABULARY, too_large).otherwise(F.col("token_id"))
-    entries = (
-        vocabulary.select("token", token_id.alias("token_id"), bucket_of(F.col("token")).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("token_id"))).alias("entries"))
-    )
-    slots = spark.range(0, LOOKUP_BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
-    lookup = (
-        slots.join(F.broadcast(entries), "bucket", "left")
-        .agg(F.sort_array(F.collect_list(F.struct("bucket", "entries"))).alias("slots"))
-        .select(F.transform("slots", lambda s: F.map_from_entries(s["entries"])))
-        .scalar()
-    )
-    ids = F.transform(
-        F.slice(tokens(F.col("text")), 1, max_length),
-        lambda t: F.coalesce(F.get(F.col("_lookup"), bucket_of(t))[t], F.lit(UNKNOWN_ID)),
-    )
-    encoded = df.withColumn("_lookup", lookup).withColumn("_ids", ids).drop("_lookup")
+    first = df.select(key, F.posexplode(F.slice(tokens(F.col("text")), 1, max_length)).alias("_place", "token"))
+    known = vocabulary.select("token", F.col("token_id").cast("int").alias("_id"))
+    placed = F.struct("_place", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))
+    found = first.join(known, "token", "left").groupBy(key).agg(F.sort_array(F.collect_list(placed))["_id"].alias("_ids"))
+    ids = F.coalesce("_ids", F.array().cast("array<int>"))
+    encoded = df.join(found, key, "left").withColumn("_ids", ids)
     pad = F.lit(max_length) - F.size("_ids")
     return encoded.withColumn("input_ids", F.concat("_ids", F.array_repeat(F.lit(PADDING_ID), pad))).withColumn(
         "attention_mask",
@@ -81,8 +64,8 @@ def key_tokens(df: DataFrame, labels: Sequence[str], top: int) -> DataFrame:
 
     Score: log of the odds of the token inside the label over those outside, each
     count plus one. Rounded before ranking, so that equal scores are equal on any
-    engine; ties go in token order. One shuffle by token; of the scores only the
-    best of each task travel further.
+    engine; ties go in token order. One shuffle by token; scores are ranked in parts of
+    a label first, so that no task sees all tokens of a label, whatever ``top`` is.
     """
     places = range(len(labels))
     exploded = df.select(
@@ -106,8 +89,12 @@ def key_tokens(df: DataFrame, labels: Sequence[str], top: int) -> DataFrame:
         )
     )
     best = Window.partitionBy("label").orderBy(F.desc("score"), "token")
+    part = F.pmod(F.xxhash64("token"), F.lit(RANKING_PARTS))
+    best_of_part = Window.partitionBy("label", part).orderBy(F.desc("score"), "token")
     return (
-        scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
+        scored.withColumn("rank", F.row_number().over(best_of_part))
+        .filter(F.col("rank") <= top)
+        .withColumn("rank", F.row_number().over(best).cast("bigint"))
         .filter(F.col("rank") <= top)
         .select("label", "rank", "token", "n", "score")
     )

@@ -26,7 +26,8 @@ def compare_saved(
     The ranking, one row per model, is written once, so the predictions are read once.
     """
     predictions, missing = read_available_predictions(spark, paths, fmt)
-    ranking = materialize(compare_models(predictions, list(paths), labels))
+    found = [model for model in paths if model not in missing]  # also those whose file has no rows
+    ranking = materialize(compare_models(predictions, found, labels))
     lines = comparison_report(ranking)
     if report_path:
         write_report(lines, report_path)

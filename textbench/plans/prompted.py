@@ -13,6 +13,7 @@ from textbench.functions.labels import decode_label, encode_label
 from textbench.functions.parsing import extract_response
 from textbench.functions.prompts import build_prompt
 from textbench.operators.generation import generate
+from textbench.operators.labels import resolved_label
 from textbench.operators.metrics import classification_report, macro_f1
 from textbench.operators.predictions import parse_outputs, truncate_output
 from textbench.operators.rows import first_n
@@ -27,22 +28,33 @@ def prompted_predictions(
     max_samples: int | None = None,
     labels: Sequence[str] = LABELS,
     examples=FEW_SHOT_EXAMPLES,
-    rows_per_task: int = 10_000,
+    prompts_per_task: int = 100,
+    mapping: DataFrame | None = None,
+    continuation: bool = False,
 ) -> DataFrame:
     """(model, row_id, text, true_label, pred_label, raw_output) of the first rows of (row_id, text, label).
 
-    Written once to the shared folder, because generation is by far the dearest
-    step and both the saved predictions and the metrics read its result.
+    ``labels`` make the prompt and parse the answers. True labels are those of
+    ``mapping``, such as ``resolve_labels`` gives, or else of ``labels`` too; unknown
+    ones become its class 0. Outputs repeat the prompt, so what stands behind the last
+    answer marker is parsed; with ``continuation`` they do not, and are parsed whole.
+
+    A task gets about ``prompts_per_task`` prompts, since a model call is by far the
+    dearest step. Its result is written once to the shared folder: both the saved
+    predictions and the metrics read it.
     """
     text = F.coalesce("text", F.lit(MISSING_TEXT))
-    true_label = decode_label(encode_label(F.col("label"), labels), labels)
-    rows = first_n(df.select("row_id", text.alias("text"), true_label.alias("true_label")), max_samples)
-    if max_samples:
-        # a top-n ends in one partition: spread it again before the slow step
-        rows = rows.repartition(-(-max_samples // rows_per_task), "row_id")
+    chosen = first_n(df, max_samples)
+    if mapping is None:
+        chosen = chosen.withColumn("label", decode_label(encode_label(F.col("label"), labels), labels))
+    else:
+        chosen = resolved_label(chosen, mapping)
+    rows = chosen.select("row_id", text.alias("text"), F.col("label").alias("true_label"))
+    rows = rows.repartition(max(1, -(-rows.count() // prompts_per_task)), "row_id")
     prompts = rows.withColumn("prompt", build_prompt(F.col("text"), mode, labels, examples))
     outputs = generate(prompts, fn).drop("prompt")
-    outputs = outputs.withColumn("raw_output", extract_response(F.col("raw_output")))
+    if not continuation:
+        outputs = outputs.withColumn("raw_output", extract_response(F.col("raw_output")))
     parsed = truncate_output(parse_outputs(outputs, labels))
     return materialize(
         parsed.select(F.lit(model).alias("model"), "row_id", "text", "true_label", "pred_label", "raw_output")

@@ -64,5 +64,6 @@ def comparison_report(comparison: DataFrame, title: str = "EVALUATION REPORT") -
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """One text file in line order, from a report of one model or one comparison."""
-    lines.orderBy("line_no").coalesce(1).select("line").write.text(path)
+    """One text file: the lines of each model in order, models by name, or a comparison's lines."""
+    order = ["model", "line_no"] if "model" in lines.columns else ["line_no"]
+    lines.orderBy(*order).coalesce(1).select("line").write.text(path)

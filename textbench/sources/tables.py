@@ -1,19 +1,23 @@
 """Labelled texts and predictions in CSV or Parquet.
 
-A CSV with quoted newlines can only be read by one task per file. Keep such data
-in many files, or convert it to Parquet when it arrives.
+Columns of a CSV are found by the header of each file, whatever its order. Records
+with more fields than the header fail, unless they are asked for. A CSV with quoted
+newlines can only be read by one task per file: keep such data in many files, say
+``multi_line=False`` if it has none, or convert it to Parquet with ``ingest``.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbench.functions.text import missing_to_nan
+from textbench.functions.text import missing_to_nan, null_to_nan
 from textbench.operators.predictions import truncate_output
 
 # a quote inside a field is doubled; blanks around a field belong to it
@@ -26,20 +30,80 @@ CSV_FORMAT = {
 }
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """All columns of a CSV as strings, or a Parquet table."""
-    if fmt == "csv":
-        return spark.read.options(**CSV_FORMAT, multiLine="true", inferSchema="false").csv(path)
-    return spark.read.format(fmt).load(path)
+SURPLUS = "_surplus_field"
 
 
-def read_labelled(spark: SparkSession, path: str, fmt: str = "csv", keep: Sequence[str] = ()) -> DataFrame:
-    """(*keep, text, label); columns are found by name, missing values become ``nan``."""
-    table = read_table(spark, path, fmt)
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header. The driver gets one line per file, as it lists them anyway."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    first = lines.withColumn("at", F.monotonically_increasing_id()).filter("trim(value) != ''")
+    found = first.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect()
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")])))
+        files.setdefault(names, []).append(unquote(row["path"]))
+    return files
+
+
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns as strings, and in SURPLUS what stands behind the last named one."""
+    parts = []
+    for names, files in _headers(spark, path).items():
+        kinds = ", ".join(f"`{name}` string" for name in (*names, SURPLUS))
+        reader = spark.read.schema(kinds).options(**CSV_FORMAT, multiLine=str(multi_line).lower())
+        parts.append(reader.csv(files))
+    if not parts:
+        return spark.read.options(**CSV_FORMAT).csv(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_table(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True, malformed: str = "fail"
+) -> DataFrame:
+    """All columns of a CSV as strings, or a Parquet table.
+
+    A CSV record with fewer fields than its header has missing values. One with more is
+    malformed: ``malformed`` is 'fail' (an error when it is read), 'drop', or 'mark',
+    which keeps it and adds a boolean column ``malformed`` to count or filter by.
+    """
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    table = _read_csv(spark, path, multi_line)
+    if SURPLUS not in table.columns:
+        return table
+    surplus = F.col(SURPLUS).isNotNull()
+    if malformed == "mark":
+        return table.withColumn("malformed", surplus).drop(SURPLUS)
+    if malformed == "drop":
+        return table.filter(~surplus).drop(SURPLUS)
+    if malformed != "fail":
+        raise ValueError("malformed is 'fail', 'drop' or 'mark'")
+    wrong = F.raise_error(F.concat(F.lit("a record has more fields than its header: "), F.col(SURPLUS)))
+    names = [c for c in table.columns if c != SURPLUS]
+    return table.select(*(F.when(surplus, wrong).otherwise(F.col(f"`{c}`")).alias(c) for c in names))
+
+
+def ingest(spark: SparkSession, path: str, target: str, multi_line: bool = True, malformed: str = "fail") -> None:
+    """A CSV folder as Parquet, which many tasks can read whatever its fields hold."""
+    read_table(spark, path, "csv", multi_line, malformed).write.parquet(target)
+
+
+def read_labelled(
+    spark: SparkSession, path: str, fmt: str = "csv", keep: Sequence[str] = (), multi_line: bool = True, malformed: str = "fail"
+) -> DataFrame:
+    """(*keep, text, label); columns are found by name, missing values become ``nan``.
+
+    In a CSV so do the strings that its readers take for missing; in a typed source
+    such as Parquet they are texts like others.
+    """
+    table = read_table(spark, path, fmt, multi_line, malformed)
+    marked = ["malformed"] if fmt == "csv" and malformed == "mark" else []
+    known = missing_to_nan if fmt == "csv" else null_to_nan
     return table.select(
         *keep,
-        missing_to_nan(F.col("text").cast("string")).alias("text"),
-        missing_to_nan(F.col("label").cast("string")).alias("label"),
+        known(F.col("text").cast("string")).alias("text"),
+        known(F.col("label").cast("string")).alias("label"),
+        *marked,
     )
 
 
