@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbench.llm.language import held_out
+from textbench.llm.language import held_out, thinned
 from textbench.session import materialize
 
 
@@ -18,8 +18,10 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int)
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", F.col(label).cast("int").alias("label")).distinct()
-    order = F.xxhash64("doc_id")
-    chosen = [usable.filter(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
+    usable = usable.filter("label in (0, 1)")
+    totals = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = thinned(usable, "label", totals, per_class, F.xxhash64("doc_id")) if totals else usable.withColumn("draw", F.lit(0.0))
+    chosen = [near.filter(F.col("label") == c).orderBy("draw", "doc_id").limit(per_class).drop("draw") for c in (0, 1)]
     chosen = materialize(chosen[0].unionByName(chosen[1]))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")

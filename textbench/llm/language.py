@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.llm.words import mix
+from textbench.llm.words import known_id, mix, with_missing_ids
 from textbench.session import materialize
 
 DIMENSIONS = 2**15
@@ -37,6 +38,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def thinned(rows: DataFrame, column: str, totals: dict, wanted: int, hashed: Column) -> DataFrame:
+    """About four times ``wanted`` rows of each value of ``column``, all where there are fewer.
+
+    A row stays if its ``draw``, a number from 0 to 1 that follows from ``hashed``, is
+    below its value's share; so few rows are ranked afterwards, however many there are.
+    """
+    draw = F.shiftrightunsigned(hashed, 11) / F.lit(2.0**53)
+    share = F.create_map(*(F.lit(x) for value, n in totals.items() for x in (value, min(1.0, 4.0 * wanted / n))))
+    return rows.withColumn("draw", draw).filter(F.col("draw") <= F.element_at(share, F.col(column)))
+
+
 def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
@@ -163,12 +175,15 @@ def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tupl
     ``per_language`` texts.
     """
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = rows.select("lang", "text").withColumn("place", place).filter(F.col("place") <= per_language)
-    sample = materialize(sample)
-    labels = [r["lang"] for r in sample.select("lang").distinct().limit(LANGUAGES_AT_MOST + 1).collect()]
-    if len(labels) > LANGUAGES_AT_MOST:
+    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES_AT_MOST + 1).collect()
+    if len(totals) > LANGUAGES_AT_MOST:
         raise ValueError(f"more than {LANGUAGES_AT_MOST} languages")
+    if not totals:
+        return None
+    near = thinned(rows, "lang", {r["lang"]: r["n"] for r in totals}, per_language, F.xxhash64("text", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    sample = near.select("lang", "text", "draw").withColumn("place", place).filter(F.col("place") <= per_language)
+    sample = materialize(sample)
     counts = document_frequencies(rows).toPandas().set_index("feature")["n"]
     total = int(counts.get(-1, 0))
     if not total:
@@ -208,27 +223,33 @@ def identify(documents: DataFrame, trained: tuple[Ftrl, np.ndarray] | None = Non
             out = batch.drop(columns="text")
             out["lang_pred"] = [x for x, _ in found]
             out["score"] = [x for _, x in found]
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, held_out boolean, text_hash bigint, lang_pred string, score double")
+    rows = documents.select(
+        known_id(F.col("doc_id")),
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        "text",
+    )
+    kinds = "doc_id bigint, held_out boolean, text_hash bigint, lang_pred string, score double"
+    return with_missing_ids(rows.mapInPandas(run, kinds))
 
 
 def keep_accepted(documents: DataFrame, accepted: float = ACCEPTED_SCORE) -> DataFrame:
     """``documents`` without those of unknown language or a score below ``accepted``."""
     model = train(documents)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for text in batch["text"]:
-                v = vector(text, model[1]) if model else None
+            for text in batch.column("text"):
+                v = vector(text.as_py(), model[1])
                 keep.append(v is not None and model[0].predict(*v)[1] >= accepted)
-            yield batch[np.array(keep, dtype=bool)]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     if model is None:
         return documents.limit(0)
-    return documents.mapInPandas(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbench.llm.words import IS_WORD, TO_LOWER, spans
+from textbench.llm.words import IS_WORD, TO_LOWER, known_id, spans, with_missing_ids
 
 # fixed values: the base's phrases and labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -202,10 +202,10 @@ def scan(documents: DataFrame) -> DataFrame:
             names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, KINDS)
+    rows = documents.select(known_id(F.col("doc_id")), F.coalesce("text", F.lit("")).alias("text"))
+    return with_missing_ids(rows.mapInPandas(run, KINDS))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.llm.words import known_id, with_missing_ids
 from textbench.session import materialize
 
 CAPACITY = 2048
@@ -173,10 +174,9 @@ def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAP
                     placed[k] += 1
                     start += length
             columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "place"]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(known_id(F.col("doc_id")), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(make, PIECES)
 
 
@@ -228,7 +228,7 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPAC
     )
     rest = numbered.filter("not full").select(*own, F.lit(0).alias("one"))
     rest = rest.groupBy("one").applyInPandas(lambda x: longest_first(x, capacity).drop(columns="one"), PLACED)
-    return full.unionByName(rest)
+    return with_missing_ids(full.unionByName(rest))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textbench.llm.labelled import sample
 from textbench.llm.language import held_out
+from textbench.llm.words import known_id, with_missing_ids
 
 #: Labelled documents of each class that the network is fitted on.
 SAMPLE_PER_CLASS = 800
@@ -174,12 +175,12 @@ def score(documents: DataFrame, labels: DataFrame, network: Network | None = Non
         tables = network.tables() if network else None
         for batch in batches:
             scores = [network.probability(as_bytes(t), tables) if network else 0.5 for t in batch["text"]]
-            yield batch[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).assign(score=scores)
+            yield batch[["doc_id", "held_out"]].assign(score=scores)
 
     rows = documents.select(
-        F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")
+        known_id(F.col("doc_id")), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return rows.mapInPandas(run, "doc_id bigint, held_out boolean, score double")
+    return with_missing_ids(rows.mapInPandas(run, "doc_id bigint, held_out boolean, score double"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

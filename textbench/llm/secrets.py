@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textbench.llm.words import known_id, with_missing_ids
 from textbench.session import materialize
 
 # fixed values: kinds and patterns of the base, in the order of the contract
@@ -91,13 +92,13 @@ def find(documents: DataFrame, owner: str = "source") -> DataFrame:
             names = ("kind", "start", "end", "value", "random")
             out = batch[["doc_id", "text_hash", "owner"]].copy()
             out["spans"] = [[dict(zip(names, s, strict=True)) for s in row] for row in spans]
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(
-        F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("text_hash"), F.col(owner).cast("string").alias("owner"), text.alias("text")
+        known_id(F.col("doc_id")), F.xxhash64(text).alias("text_hash"), F.col(owner).cast("string").alias("owner"), text.alias("text")
     )
-    return rows.mapInPandas(run, FOUND)
+    return with_missing_ids(rows.mapInPandas(run, FOUND))
 
 
 def ownership(found: DataFrame) -> DataFrame:

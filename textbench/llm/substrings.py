@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.llm.packing import chunks
-from textbench.llm.words import IS_SPACE, mix, spans, window_hashes, word_hashes
+from textbench.llm.words import IS_SPACE, known_id, mix, spans, window_hashes, with_missing_ids, word_hashes
 
 WINDOW = 35
 ANCHOR = 12
@@ -213,7 +213,7 @@ def _without_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass")))
         out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
         out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield out.astype({"doc_id": "Int64"})
+        yield out
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +225,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _marked(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     """(doc_id, text, starts, ends): each row's text with its ranges to remove."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.xxhash64(text, F.length(text)).alias("key"), text.alias("text"))
+    rows = documents.select(known_id(F.col("doc_id")), F.xxhash64(text, F.length(text)).alias("key"), text.alias("text"))
     found = rows.select("key", "text").mapInPandas(_anchors(window, anchor), "group bigint, key bigint, n int")
     total = F.sum("n").over(Window.partitionBy("group"))
     found = found.withColumn("total", total).filter("total > 1 and n < 3")
@@ -251,12 +251,12 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     Other columns are ignored; an empty table gives no rows.
     """
     rows = _marked(documents, window, anchor)
-    return rows.mapInPandas(_without_ranges, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return with_missing_ids(rows.mapInPandas(_without_ranges, "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     rows = _marked(spark.read.parquet(f"{sf_dir}/documents.parquet"), WINDOW, ANCHOR)
-    return rows.mapInPandas(_digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return with_missing_ids(rows.mapInPandas(_digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

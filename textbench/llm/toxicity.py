@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from textbench.llm.labelled import sample
 from textbench.llm.language import held_out
-from textbench.llm.words import IS_WORD, TO_LOWER
+from textbench.llm.words import IS_WORD, TO_LOWER, known_id, with_missing_ids
 from textbench.session import materialize
 
 #: Labelled documents of each class that the model is fitted on.
@@ -232,14 +232,13 @@ def score(documents: DataFrame, labels: DataFrame, model: Model | None = None) -
                 scores.append(model.probability(n, found) if model else 0.0)
                 told = [(a, b, model.expected(n, s)) for a, b, s in found]
                 passages.append([{"start": a, "end": b, "expected": e} for a, b, e in told if e < SIGNIFICANT])
-            out = batch[["doc_id", "held_out"]].astype({"doc_id": "Int64"})
-            yield out.assign(score=scores, passages=passages)
+            yield batch[["doc_id", "held_out"]].assign(score=scores, passages=passages)
 
     rows = documents.select(
-        F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")
+        known_id(F.col("doc_id")), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")
     )
     kinds = "doc_id bigint, held_out boolean, score double, passages array<struct<start:int,end:int,expected:double>>"
-    return rows.mapInPandas(run, kinds)
+    return with_missing_ids(rows.mapInPandas(run, kinds))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +40,19 @@ def document_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")]
 
 
+#: Stands for a missing id where rows are in pandas, which would make all ids of the batch inexact.
+NO_ID = -(2**63)
+
+
+def known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID)).alias("doc_id")
+
+
+def with_missing_ids(df: DataFrame) -> DataFrame:
+    """``df`` with NULL for the ids that ``known_id`` filled in."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def table(bytes_in: bytes) -> np.ndarray:
     """A lookup over byte values: True for those in ``bytes_in``."""
     found = np.zeros(256, dtype=bool)
