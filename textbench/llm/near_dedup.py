@@ -5,8 +5,8 @@ weight, to random slots; a slot keeps the shingle that came first, and a text is
 when no later point can win a slot. Two texts agree in a slot with a probability that
 is the probability Jaccard similarity of their weighted shingles. Slots are cut into
 bands; texts that share a band meet in its bucket. A bucket isn't paired in full: each
-member is compared with the bucket's pivot, its best-connected member. Pairs are
-verified on the exact shingle sets, and verified pairs are joined into groups.
+member is compared with the bucket's pivots, its best and its least connected members.
+Pairs are verified on the exact shingle sets, and verified pairs are joined into groups.
 """
 
 from __future__ import annotations
@@ -102,12 +102,14 @@ def _mark(documents: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each representative with the pivot of each of its buckets, both orders once.
+    """(a, b): each representative with the pivots of each of its buckets, both orders once.
 
     ``members`` (id, bands). Buckets are those of single bands and of pairs of
-    neighbouring bands, which hold closer texts. The pivot is the member with the most
-    company over all its buckets: an original has more than its edited copies. Work
-    and rows are in proportion to the members, whatever the size of a bucket.
+    neighbouring bands, which hold closer texts. Each has two pivots: the member with
+    the most company over all its buckets, as an original has more than its edited
+    copies, and the one with the least, so that a text at the edge of a group meets all
+    that share its bucket. Rows are in proportion to the members, whatever the size of
+    a bucket.
     """
     both = F.concat(
         F.transform("bands", lambda h, i: F.xxhash64(i, h)),
@@ -118,9 +120,11 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     shared = materialize(keys.join(sizes, "bucket"))
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
     shared = shared.select("id", "bucket").join(company, "id")
-    pivots = shared.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("best"))
-    pivots = pivots.select("bucket", (-F.col("best.id")).alias("pivot"))
-    pairs = shared.join(pivots, "bucket").filter("id != pivot")
+    ends = shared.groupBy("bucket").agg(
+        F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("most"), F.min(F.struct("company", "id")).alias("least")
+    )
+    ends = ends.select("bucket", F.array(-F.col("most.id"), F.col("least.id")).alias("pivots"))
+    pairs = shared.join(ends, "bucket").select("id", F.explode("pivots").alias("pivot")).filter("id != pivot")
     return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
