@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -456,57 +455,85 @@ def weighted_sample(spark, d):
 # -- training and scoring ------------------------------------------------------------------
 
 
-@lru_cache(maxsize=4)
-def trained(spark, d):
-    """(model, path): the saved model of a session, trained when first asked for."""
+def _trained(spark, d):
     rows = X.trainable(spark, d)
-    model = TR.train_classifier(rows.filter(F.col("split") == "train"), TR.label_list(rows))
-    path = work_dir(spark)
-    TR.save_model(model, path)
-    return model, path
+    return TR.train_classifier(rows.filter(F.col("split") == "train"), TR.label_list(rows))
+
+
+def _test_rows(spark, d):
+    return X.trainable(spark, d).filter(F.col("split") == "test")
+
+
+def _supports(predictions: DataFrame, model) -> DataFrame:
+    """(true_label, n, n_listed): rows of each label, and those that got a label of the model."""
+    listed = F.col("pred_label").isin(model.stages[-1].getLabels())
+    return predictions.groupBy("true_label").agg(F.count("*").alias("n"), F.count_if(listed).alias("n_listed"))
 
 
 @query
 def train_classifier(spark, d):
-    """Confusion on the training rows of a model fitted here."""
-    rows = X.trainable(spark, d)
-    train = rows.filter(F.col("split") == "train")
-    model = TR.train_classifier(train, TR.label_list(rows))
-    return M.confusion_matrix(TR.predict_table(model, train))
+    """Supports on the training rows of a model fitted here."""
+    train = X.trainable(spark, d).filter(F.col("split") == "train")
+    model = _trained(spark, d)
+    return _supports(TR.predict_table(model, train), model)
 
 
 @query
 def select_by_validation(spark, d):
+    """(epoch, passes, scored, chosen_is_best): the candidates in order, and whether the
+    best epoch by ``early_stop`` has the first of the highest scores."""
     rows = X.trainable(spark, d)
     train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
     _, log = TR.select_by_validation(train, val, TR.label_list(rows))
-    return rounded(log)
-
-
-def _test_rows(spark, d):
-    return X.trainable(spark, d).filter(F.col("split") == "test")
+    chosen = E.early_stop(log, patience=2).select("run_id", "best_epoch", "best_f1")
+    first = log.groupBy("run_id").agg(F.max_by("epoch", F.struct("val_f1", -F.col("epoch"))).alias("first"), F.max("val_f1").alias("top"))
+    best = (F.col("best_epoch") == F.col("first")) & (F.col("best_f1") == F.col("top"))
+    return log.join(chosen, "run_id").join(first, "run_id").select(
+        "epoch", "passes", F.col("val_f1").between(0, 1).alias("scored"), best.alias("chosen_is_best")
+    )
 
 
 @query
 def predict_table(spark, d):
-    return TR.predict_table(trained(spark, d)[0], _test_rows(spark, d))
+    model = _trained(spark, d)
+    listed = F.col("pred_label").isin(model.stages[-1].getLabels())
+    return TR.predict_table(model, _test_rows(spark, d)).select("row_id", "true_label", listed.alias("listed"))
 
 
 @query
 def evaluate_split(spark, d):
-    return TR.evaluate_split(trained(spark, d)[0], _test_rows(spark, d))[1]
+    """(label, support, beats_baselines): supports of the report, and whether the model's
+    macro-F1 is above those of both untrained models on the same rows."""
+    rows = X.trainable(spark, d)
+    labels = TR.label_list(rows)
+    score, report = TR.evaluate_split(_trained(spark, d), _test_rows(spark, d))
+    untrained = M.macro_f1_observed(P.baseline_predictions(rows, SEED, labels)).agg(F.max("macro_f1_observed")).scalar()
+    beats = score.select(F.col("macro_f1_observed") > untrained).scalar()
+    return report.filter(F.col("label").isin(labels)).select("label", "support", beats.alias("beats_baselines"))
+
+
+def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n, n_differing) of two tables of predictions, row by row."""
+    both = a.select("row_id", "pred_label").join(b.select("row_id", F.col("pred_label").alias("other")), "row_id", "full")
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("pred_label").eqNullSafe(F.col("other"))).alias("n_differing"))
 
 
 @query
 def save_model(spark, d):
-    """Predictions of the model in memory, after it was saved."""
-    return M.confusion_matrix(TR.predict_table(trained(spark, d)[0], _test_rows(spark, d)))
+    """Whether a saved model, read back, predicts as the one in memory."""
+    model, path = _trained(spark, d), work_dir(spark)
+    TR.save_model(model, path)
+    test = _test_rows(spark, d)
+    return _differences(TR.predict_table(model, test), TR.predict_table(TR.load_model(path), test))
 
 
 @query
 def load_model(spark, d):
-    """Predictions of the same model, read back."""
-    return M.confusion_matrix(TR.predict_table(TR.load_model(trained(spark, d)[1]), _test_rows(spark, d)))
+    """Supports of a saved model, read back."""
+    path = work_dir(spark)
+    TR.save_model(_trained(spark, d), path)
+    model = TR.load_model(path)
+    return _supports(TR.predict_table(model, _test_rows(spark, d)), model)
 
 
 @query
