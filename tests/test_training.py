@@ -7,6 +7,7 @@ from textbench.operators.epochs import early_stop
 from textbench.operators.predictions import baseline_predictions
 from textbench.plans import training as TR
 from textbench.session import work_dir
+from textbench.sources.tables import read_predictions
 
 SF = "/root/testdata/sf0.001"
 SETTINGS = TR.Settings(features=2**12, passes=(1, 3), patience=1)
@@ -77,9 +78,20 @@ def test_weighted_sampling(data):
     assert TR.predict_table(sampled, test).count() == test.count()
 
 
-def test_whole_run(spark, data):
+def test_whole_run(spark, data, monkeypatch):
     path = work_dir(spark)
-    log, f1, report = TR.train_and_evaluate(X.trainable(spark, SF), SETTINGS, path)
+    scored, score = [], TR.scored_split
+    monkeypatch.setattr(TR, "scored_split", lambda *args: scored.append(args) or score(*args))
+    saved = {"predictions_path": f"{path}/predictions", "report_path": f"{path}/report"}
+    log, f1, report = TR.train_and_evaluate(X.trainable(spark, SF), SETTINGS, path, **saved)
+    assert len(scored) == 1
+    kept = read_predictions(spark, saved["predictions_path"], "classifier", keep=["row_id"])
+    assert kept.count() == data[2].count()
+    assert M.macro_f1_observed(kept).first()["macro_f1_observed"] == pytest.approx(f1.first()["macro_f1_observed"])
+    lines = [r["value"] for r in spark.read.text(saved["report_path"]).collect()]
+    assert lines[1] == "EVALUATION METRICS" and len(lines) > 10
+    ranking = TR.against_untrained(kept.withColumn("row_id", F.col("row_id").cast("bigint")), X.trainable(spark, SF), 1, data[3])
+    assert [r["model"] for r in ranking.orderBy("rank").collect()][0] == "classifier" and ranking.count() == 3
     assert log.count() >= 1 and report.count() == len(data[3]) + 3
     want = M.macro_f1_observed(TR.predict_table(TR.load_model(path), data[2])).first()["macro_f1_observed"]
     assert f1.first()["macro_f1_observed"] == pytest.approx(want)

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from textbench.fixed import LABELS, MISSING_TEXT
 from textbench.functions.labels import decode_label, encode_label
 from textbench.operators.balance import attach_class_weight, class_weights, weighted_sample
+from textbench.operators.compare import compare_models
 from textbench.operators.labels import resolve_labels
 from textbench.operators.metrics import classification_report, macro_f1_observed
+from textbench.operators.predictions import baseline_predictions, truncate_output
 from textbench.session import materialize
+from textbench.sources.reports import metrics_report, write_report
+from textbench.sources.tables import write_predictions
 
 
 @dataclass(frozen=True)
@@ -107,19 +111,52 @@ def predict_table(model: PipelineModel, df: DataFrame, name: str = "classifier")
     )
 
 
-def evaluate_split(model: PipelineModel, df: DataFrame, name: str = "classifier") -> tuple[DataFrame, DataFrame]:
-    """Macro-F1 over the observed labels, and the report. The split is scored once."""
+def scored_split(model: PipelineModel, df: DataFrame, name: str = "classifier") -> DataFrame:
+    """Predictions as they are saved, texts cut, scored and written to the shared folder once."""
+    return materialize(truncate_output(predict_table(model, df, name)))
+
+
+def evaluate_split(
+    model: PipelineModel,
+    df: DataFrame,
+    name: str = "classifier",
+    predictions_path: str | None = None,
+    report_path: str | None = None,
+    fmt: str = "csv",
+) -> tuple[DataFrame, DataFrame]:
+    """Macro-F1 over the observed labels, and the report.
+
+    The split is scored once, and what is asked for is made of that: the saved
+    predictions (row_id, text, true_label, pred_label) and the metrics report.
+    """
     labels = model.stages[-1].getLabels()
-    predictions = materialize(predict_table(model, df, name).drop("text"))
+    predictions = scored_split(model, df, name)
+    if predictions_path:
+        write_predictions(predictions, predictions_path, fmt, keep=["row_id"])
+    if report_path:
+        write_report(metrics_report(predictions, labels), report_path)
     return macro_f1_observed(predictions), classification_report(predictions, labels)
 
 
+def against_untrained(predictions: DataFrame, df: DataFrame, seed: int, labels: Sequence[str], score_split: str = "test") -> DataFrame:
+    """The ranking of ``compare_models`` with both untrained models on the same split of (row_id, label, split)."""
+    columns = ["model", "row_id", "true_label", "pred_label"]
+    untrained = baseline_predictions(df, seed, labels, score_split)
+    return compare_models(predictions.select(*columns).unionByName(untrained.select(*columns)), labels=labels)
+
+
 def train_and_evaluate(
-    df: DataFrame, settings: Settings = Settings(), path: str | None = None, listed: Sequence[str] = LABELS
+    df: DataFrame,
+    settings: Settings = Settings(),
+    path: str | None = None,
+    listed: Sequence[str] = LABELS,
+    predictions_path: str | None = None,
+    report_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole run over (row_id, text, label, split): resolve the labels, select by validation, save, score test.
 
-    Returns the log, the macro-F1 on the test split and its report.
+    Returns the log, the macro-F1 on the test split and its report; saves the model, the
+    predictions and the metrics report where a path is given, all from one scoring.
     """
     labels = label_list(df, listed)
     train, val, test = (df.filter(F.col("split") == s) for s in ("train", "val", "test"))
@@ -128,7 +165,7 @@ def train_and_evaluate(
         model = train_classifier(train, labels, settings)
     if path:
         save_model(model, path)
-    return log, *evaluate_split(model, test)
+    return log, *evaluate_split(model, test, predictions_path=predictions_path, report_path=report_path)
 
 
 def select_by_validation(
