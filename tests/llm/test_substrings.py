@@ -24,7 +24,7 @@ def test_against_brute_force(documents, odd_rows, monkeypatch):
     rows = odd_rows + [(500 + i, t, "en", "z") for i, t in enumerate(texts)]
     want = [(str(r[0]), *w) for r, w in zip(rows, brute([r[1] for r in rows], 35), strict=True)]
     for parts, chunk in ((1, 1_000_000), (6, 500)):
-        monkeypatch.setattr(S, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(S, "CHUNK_BYTES", chunk)
         got = S.remove_repeats(documents(rows).repartition(parts)).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
 

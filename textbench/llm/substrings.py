@@ -17,6 +17,8 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,23 @@ from textbench.llm.words import IS_SPACE, known_id, mix, spans, window_hashes, w
 
 WINDOW = 35
 ANCHOR = 12
-CHUNK_CHARS = 1_000_000
+#: UTF-8 bytes of texts that a worker looks at together.
+CHUNK_BYTES = 300_000
 
 
-def _split(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in chunks of about CHUNK_BYTES of text, one row at least."""
+    for batch in batches:
+        for a, b in chunks(pc.binary_length(batch.column("text")).to_pylist(), CHUNK_BYTES):
+            yield batch.slice(a, b - a)
+
+
+def _texts(part: pa.RecordBatch) -> list[bytes]:
+    return part.column("text").cast(pa.binary()).to_pylist()
+
+
+def _split(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and where each text's words begin (with the end)."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
     joined = np.frombuffer(b"\n".join(data), dtype=np.uint8)
     starts, ends = spans(~IS_SPACE[joined])
     at = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
@@ -40,7 +53,7 @@ def _split(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Suffixes:
     """The windows of some texts: text number, start, hash, and hash of the anchor."""
 
-    def __init__(self, texts: list[str], window: int, anchor: int):
+    def __init__(self, texts: list[bytes], window: int, anchor: int):
         words, first = _split(texts)
         self.first = first
         if len(words) < window:
@@ -72,24 +85,23 @@ def _anchors(window: int, anchor: int):
     texts share adds one row per chunk to its group.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in chunks(batch["text"].str.len().tolist(), CHUNK_CHARS):
-                part = batch.iloc[a:b]
-                key = part["key"].to_numpy()
-                s = Suffixes(list(part["text"]), window, anchor)
-                if not len(s.text):
-                    continue
-                places, at = np.unique(s.place, return_index=True)
-                values, inverse, counts = np.unique(s.anchor[at], return_inverse=True, return_counts=True)
-                keys = key[s.text[at]]
-                twice = counts[inverse] > 1
-                known = np.unique(_apart(s.anchor[at][twice], keys[twice]), return_index=True)
-                told = values[counts > 1]
-                groups = [s.anchor[at][~twice], known[0], told]
-                owners = [keys[~twice], keys[twice][known[1]], np.zeros(len(told), dtype=np.int64)]
-                ns = [np.repeat(n, len(g)) for n, g in zip((1, 2, 3), groups, strict=True)]
-                yield pd.DataFrame({"group": np.concatenate(groups), "key": np.concatenate(owners), "n": np.concatenate(ns)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            key = part.column("key").to_numpy()
+            s = Suffixes(_texts(part), window, anchor)
+            if not len(s.text):
+                continue
+            places, at = np.unique(s.place, return_index=True)
+            values, inverse, counts = np.unique(s.anchor[at], return_inverse=True, return_counts=True)
+            keys = key[s.text[at]]
+            twice = counts[inverse] > 1
+            known = np.unique(_apart(s.anchor[at][twice], keys[twice]), return_index=True)
+            told = values[counts > 1]
+            groups = [s.anchor[at][~twice], known[0], told]
+            owners = [keys[~twice], keys[twice][known[1]], np.zeros(len(told), dtype=np.int64)]
+            ns = [np.repeat(np.int32(n), len(g)) for n, g in zip((1, 2, 3), groups, strict=True)]
+            columns = (np.concatenate(groups), np.concatenate(owners), np.concatenate(ns))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["group", "key", "n"])
 
     return run
 
@@ -101,39 +113,42 @@ def _runs(window: int, anchor: int):
     rows without tell a range of words that is known to repeat within the chunk.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in chunks(batch["text"].str.len().tolist(), CHUNK_CHARS):
-                part = batch.iloc[a:b]
-                key = part["key"].to_numpy()
-                s = Suffixes(list(part["text"]), window, anchor)
-                repeated = np.zeros(len(s.text), dtype=bool)
-                edges = np.searchsorted(s.text, np.arange(b - a + 1))
-                for i, groups in enumerate(part["groups"]):
-                    own = s.anchor[edges[i] : edges[i + 1]]
-                    wanted = np.asarray(groups, dtype=np.int64)
-                    repeated[edges[i] : edges[i + 1]] = np.isin(own, wanted) | np.isin(
-                        _apart(own, np.repeat(key[i], len(own))), wanted
-                    )
-                text, start, place = s.text[repeated], s.start[repeated], s.place[repeated]
-                hashes, anchors = s.window[repeated], s.anchor[repeated]
-                if not len(text):
-                    continue
-                _, index, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                twice = counts[inverse] > 1
-                rows = []
-                for lo, hi in _consecutive(text[~twice], start[~twice], place[~twice]):
-                    at = np.flatnonzero(~twice)[lo]
-                    rows.append((anchors[at], key[text[at]], start[at], -1, hashes[~twice][lo:hi]))
-                known = np.flatnonzero(twice)
-                for lo, hi in _consecutive(text[known], start[known]):
-                    at, last = known[lo], known[hi - 1]
-                    rows.append((_apart(anchors[at : at + 1], key[text[at]][None])[0], key[text[at]], start[at], start[last] + window, None))
-                told = index[counts > 1]
-                told = told[np.argsort(anchors[told], kind="stable")]
-                for lo, hi in _consecutive(anchors[told]):
-                    rows.append((anchors[told[lo]], 0, -1, -1, hashes[told[lo:hi]]))
-                yield pd.DataFrame(rows, columns=["anchor", "key", "start", "end", "windows"])
+    kinds = pa.schema(
+        [("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("windows", pa.list_(pa.int64()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            key = part.column("key").to_numpy()
+            s = Suffixes(_texts(part), window, anchor)
+            repeated = np.zeros(len(s.text), dtype=bool)
+            edges = np.searchsorted(s.text, np.arange(len(part) + 1))
+            for i, groups in enumerate(part.column("groups")):
+                own = s.anchor[edges[i] : edges[i + 1]]
+                wanted = groups.values.to_numpy()
+                apart = _apart(own, np.repeat(key[i], len(own)))
+                repeated[edges[i] : edges[i + 1]] = np.isin(own, wanted) | np.isin(apart, wanted)
+            text, start, place = s.text[repeated], s.start[repeated], s.place[repeated]
+            hashes, anchors = s.window[repeated], s.anchor[repeated]
+            if not len(text):
+                continue
+            _, index, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            twice = counts[inverse] > 1
+            rows = []
+            once, known = np.flatnonzero(~twice), np.flatnonzero(twice)
+            for lo, hi in _consecutive(text[once], start[once], place[once]):
+                at = once[lo]
+                rows.append((anchors[at], key[text[at]], start[at], -1, hashes[once[lo:hi]]))
+            for lo, hi in _consecutive(text[known], start[known]):
+                at, last = known[lo], known[hi - 1]
+                own = _apart(anchors[at : at + 1], key[text[at : at + 1]])[0]
+                rows.append((own, key[text[at]], start[at], start[last] + window, None))
+            told = index[counts > 1]
+            told = told[np.argsort(anchors[told], kind="stable")]
+            for lo, hi in _consecutive(anchors[told]):
+                rows.append((anchors[told[lo]], 0, -1, -1, hashes[told[lo:hi]]))
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return run
 
@@ -197,41 +212,47 @@ def _repeats(window: int):
     return run
 
 
-def _without_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text, starts, ends in zip(batch["text"], batch["starts"], batch["ends"], strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
-            kept, removed = words, 0
-            if starts is not None and len(starts):
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(gone, np.asarray(starts), 1)
-                np.add.at(gone, np.asarray(ends), -1)
-                stay = np.cumsum(gone[:-1]) == 0
-                kept = list(compress(words, stay.tolist()))
-                removed = len(words) - len(kept)
-            rows.append((len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass")))
-        out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-        out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield out
-
-
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in _without_ranges(batches):
-        batch["kept_sha256"] = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in batch["kept"]]
-        yield batch.drop(columns="kept")
+def _kept(part: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+    """Of each text: its words, those removed, and what is kept."""
+    n_words, n_removed, kept = [], [], []
+    for text, starts, ends in zip(_texts(part), part.column("starts"), part.column("ends"), strict=True):
+        words = left = text.split()
+        if starts.is_valid:
+            gone = np.zeros(len(words) + 1, dtype=np.int64)
+            np.add.at(gone, starts.values.to_numpy(), 1)
+            np.add.at(gone, ends.values.to_numpy(), -1)
+            left = list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
+        n_words.append(len(words))
+        n_removed.append(len(words) - len(left))
+        kept.append(b" ".join(left))
+    return n_words, n_removed, kept
+
+
+def _without_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        n_words, n_removed, kept = _kept(part)
+        columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        n_words, n_removed, kept = _kept(part)
+        digests = [hashlib.sha256(text).hexdigest() for text in kept]
+        columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _marked(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     """(doc_id, text, starts, ends): each row's text with its ranges to remove."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(known_id(F.col("doc_id")), F.xxhash64(text, F.length(text)).alias("key"), text.alias("text"))
-    found = rows.select("key", "text").mapInPandas(_anchors(window, anchor), "group bigint, key bigint, n int")
+    found = rows.select("key", "text").mapInArrow(_anchors(window, anchor), "group bigint, key bigint, n int")
     total = F.sum("n").over(Window.partitionBy("group"))
     found = found.withColumn("total", total).filter("total > 1 and n < 3")
     groups = found.groupBy("key").agg(F.collect_set("group").alias("groups"))
     asked = rows.join(groups, "key").select("doc_id", "key", "text", "groups")
-    runs = asked.mapInPandas(
+    runs = asked.mapInArrow(
         _runs(window, anchor), "anchor bigint, key bigint, start int, end int, windows array<bigint>"
     )
     runs = runs.repartition("anchor").sortWithinPartitions("anchor")
@@ -251,12 +272,12 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     Other columns are ignored; an empty table gives no rows.
     """
     rows = _marked(documents, window, anchor)
-    return with_missing_ids(rows.mapInPandas(_without_ranges, "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
+    return with_missing_ids(rows.mapInArrow(_without_ranges, "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     rows = _marked(spark.read.parquet(f"{sf_dir}/documents.parquet"), WINDOW, ANCHOR)
-    return with_missing_ids(rows.mapInPandas(_digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
+    return with_missing_ids(rows.mapInArrow(_digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
