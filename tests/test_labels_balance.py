@@ -32,6 +32,13 @@ def test_unknown_labels_stay_countable(spark):
     assert [(r["label_id"], r["known"]) for r in encoded.orderBy("row_id").collect()] == [(4, True), (0, False), (0, False)]
 
 
+def test_a_mapping_follows_the_order_of_the_labels(spark):
+    names = ["b", "a", "", "ab", "aa", "aab", "Z", "é", "zz", "z\U0001f642", "z\ufb01", "a b"]
+    got = LB.label_mapping(frame(spark, names + names)).orderBy("label_id").collect()
+    assert [r["label"] for r in got] == sorted(names, key=lambda x: x.encode())
+    assert [r["label_id"] for r in got] == list(range(len(names)))
+
+
 def test_encoding_by_a_mapping(spark):
     df = frame(spark, ["love", "fear", None, "love"])
     mapping = LB.label_mapping(df.filter("row_id in (0, 1)"))

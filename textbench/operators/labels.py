@@ -33,10 +33,18 @@ def unseen_labels(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
 
 
 def label_mapping(df: DataFrame) -> DataFrame:
-    """Sorted distinct labels with ids from 0. The window runs over distinct labels, not over rows."""
-    return label_union(df).select(
-        (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("label_id"), "label"
-    )
+    """Sorted distinct labels with ids from 0.
+
+    Labels are numbered within blocks of equal first two characters, which stand in the
+    order of the labels; so the window without a partition sees one row per block.
+    """
+    blocked = label_union(df).withColumn("_block", F.substring("label", 1, 2))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
+    offsets = per_block.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("label")) - 1
+    rows = blocked.withColumn("_place", place).join(offsets, "_block")
+    return rows.select((F.col("_offset") + F.col("_place")).cast("bigint").alias("label_id"), "label")
 
 
 def resolve_labels(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
