@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,15 +90,14 @@ def row_id(doc_id: Column, text: Column) -> Column:
 
 
 def _mark(documents: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[["id", "copy"]].copy()
-            out["bands"] = [bands_of(text) for text in batch["text"]]
-            yield out
+            bands = pa.array([bands_of(text.as_py()) for text in batch.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), bands], ["id", "copy", "bands"])
 
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), F.md5(text).alias("copy"), text.alias("text"))
-    return rows.mapInPandas(run, MARKED)
+    return rows.mapInArrow(run, MARKED)
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
@@ -131,17 +130,18 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose texts have at least that exact similarity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [alike(a, b) >= similarity for a, b in zip(batch["a_text"], batch["b_text"], strict=True)]
-            yield batch.loc[near, ["a", "b"]]
+            texts = zip(batch.column("a_text"), batch.column("b_text"), strict=True)
+            near = pa.array([alike(a.as_py(), b.as_py()) >= similarity for a, b in texts], pa.bool_())
+            yield batch.select(["a", "b"]).filter(near)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = documents.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # the ids grow with the input, so the same shuffle serves every size
     texts = materialize(texts.join(asked.hint("merge"), "id", "left_semi"))
     a, b = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInPandas(run, "a bigint, b bigint")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
