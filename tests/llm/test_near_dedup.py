@@ -64,3 +64,18 @@ def test_components_follow_long_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = {r["id"]: r["group"] for r in N.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_members_of_a_bucket_that_meet_no_pivot(spark, documents, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 2)
+    rows = [(i, prose(400 + i, 100), "en", "s") for i in range(8)]
+    for i in (5, 6, 7):  # a chain of edits from row 4, far from the pivots
+        words = rows[i - 1][1].split()
+        words[i * 10] = "edited"
+        rows[i] = (i, " ".join(words), "en", "s")
+    sizes = {i: len(shingle_set(t)) for i, t, *_ in rows}
+    members = spark.createDataFrame([(i, sizes[i], [7]) for i in sizes], "id bigint, size int, bands array<bigint>")
+    asked = {(r["a"], r["b"]) for r in N.pivot_pairs(N.buckets(members)).collect()}
+    assert not asked & {(4, 5), (5, 6), (6, 7)}
+    got = {r["id"]: r["group"] for r in N.linked(members, documents(rows)).collect()}
+    assert got == {4: 4, 5: 4, 6: 4, 7: 4}

@@ -4,8 +4,10 @@ Every shingle of a text sends points of a Poisson process, at a rate that is its
 weight, to random slots; a slot keeps the shingle that came first, and a text is done
 when no later point can win a slot. Two texts agree in a slot with a probability that
 is the probability Jaccard similarity of their weighted shingles. Slots are cut into
-bands; texts that share a band meet in its bucket. A bucket isn't paired in full: each
-member is compared with the bucket's pivots, its best and its least connected members.
+bands; texts that share a band meet in its bucket. First each member is compared with
+the bucket's pivots, its best and its least connected members, which joins most groups.
+Then, in every bucket whose members are still in several groups, all members of
+different groups are compared, so that no link between texts that share a bucket is lost.
 Pairs are verified on the exact shingle sets, and verified pairs are joined into groups.
 """
 
@@ -26,7 +28,9 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 SLOTS = BANDS * ROWS
-MARKED = "id bigint, copy string, bands array<bigint>"
+MARKED = "id bigint, copy string, size int, bands array<bigint>"
+#: Members of a bucket that meet in one task.
+BLOCK = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,16 +68,16 @@ def signature(elements: np.ndarray, weights: np.ndarray, slots: int = SLOTS) ->
     return winner
 
 
-def bands_of(text: str) -> np.ndarray:
-    """One hash per band; none for a text without words."""
+def bands_of(text: str) -> tuple[int, np.ndarray]:
+    """The number of different shingles, and one hash per band; none for a text without words."""
     found, counts = np.unique(shingles(text), return_counts=True)
     if not len(found):
-        return np.zeros(0, dtype=np.int64)
+        return 0, np.zeros(0, dtype=np.int64)
     slots = signature(found, 1 + np.log(counts)).reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         out = mix(out * _STEP + slots[:, i])
-    return out.view(np.int64)
+    return len(found), out.view(np.int64)
 
 
 def alike(a: str, b: str) -> float:
@@ -92,31 +96,45 @@ def row_id(doc_id: Column, text: Column) -> Column:
 def _mark(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = pa.array([bands_of(text.as_py()) for text in batch.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), bands], ["id", "copy", "bands"])
+            found = [bands_of(text.as_py()) for text in batch.column("text")]
+            size = pa.array([n for n, _ in found], pa.int32())
+            bands = pa.array([hashes for _, hashes in found], pa.list_(pa.int64()))
+            columns = [batch.column("id"), batch.column("copy"), size, bands]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "size", "bands"])
 
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), F.md5(text).alias("copy"), text.alias("text"))
     return rows.mapInArrow(run, MARKED)
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each representative with the pivots of each of its buckets, both orders once.
+def buckets(members: DataFrame) -> DataFrame:
+    """(id, size, bucket, wide, n) of buckets with n > 1 members, of ``members`` (id, size, bands).
 
-    ``members`` (id, bands). Buckets are those of single bands and of pairs of
-    neighbouring bands, which hold closer texts. Each has two pivots: the member with
-    the most company over all its buckets, as an original has more than its edited
-    copies, and the one with the least, so that a text at the edge of a group meets all
-    that share its bucket. Rows are in proportion to the members, whatever the size of
-    a bucket.
+    Buckets are those of single bands and, ``wide``, of pairs of neighbouring bands, which
+    hold closer texts.
     """
     both = F.concat(
-        F.transform("bands", lambda h, i: F.xxhash64(i, h)),
-        F.transform("bands", lambda h, i: F.xxhash64(i + BANDS, h, F.get(F.col("bands"), (i + 1) % BANDS))),
+        F.transform("bands", lambda h, i: F.struct(F.xxhash64(i, h).alias("bucket"), F.lit(False).alias("wide"))),
+        F.transform(
+            "bands",
+            lambda h, i: F.struct(
+                F.xxhash64(i + BANDS, h, F.get(F.col("bands"), (i + 1) % BANDS)).alias("bucket"), F.lit(True).alias("wide")
+            ),
+        ),
     )
-    keys = members.select("id", F.explode(both).alias("bucket"))
+    keys = members.select("id", "size", F.explode(both).alias("key")).select("id", "size", "key.*")
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(keys.join(sizes, "bucket"))
+    return keys.join(sizes, "bucket").select("id", "size", "bucket", "wide", "n")
+
+
+def pivot_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each member of ``shared`` (see ``buckets``) with the pivots of its buckets.
+
+    A bucket has two pivots: the member with the most company over all its buckets, as
+    an original has more than its edited copies, and the one with the least, so that a
+    text at the edge of a group meets all that share its bucket. Rows are in proportion
+    to the members, whatever the size of a bucket.
+    """
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
     shared = shared.select("id", "bucket").join(company, "id")
     ends = shared.groupBy("bucket").agg(
@@ -127,6 +145,29 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def open_pairs(shared: DataFrame, groups: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): all pairs of members of one bucket and of different ``groups`` (id, group).
+
+    Without the pairs ``done`` and those whose numbers of shingles alone rule out the
+    similarity. Texts of a wide bucket share a single one as well, and both members of a
+    pair that is alone in its bucket are pivots. A large bucket is cut into blocks, and
+    every two of them meet in a row group of their own.
+    """
+    rows = shared.filter("not wide and n > 2").join(groups, "id", "left")
+    rows = materialize(rows.select("id", "size", "bucket", "n", F.coalesce("group", "id").alias("group")))
+    still = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = rows.join(still.select("bucket"), "bucket", "left_semi")
+    rows = rows.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    a = rows.select("bucket", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), "id", "size", "group")
+    b = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("x"), F.col("block").alias("y"), "id", "size", "group")
+    a, b = a.toDF("bucket", "x", "y", "a", "a_size", "a_group"), b.toDF("bucket", "x", "y", "b", "b_size", "b_group")
+    met = a.join(b, ["bucket", "x", "y"]).filter("a_group != b_group and (x < y or a < b)")
+    met = met.filter(F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity)
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.join(done, ["a", "b"], "left_anti")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose texts have at least that exact similarity."""
 
@@ -164,6 +205,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def linked(members: DataFrame, documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, group) of the members that have a link; see the module.
+
+    The second round compares every pair that shares a bucket and that the first left in
+    different groups, so no third can add a link.
+    """
+    shared = materialize(buckets(members))
+    pairs = materialize(pivot_pairs(shared))
+    groups = components(materialize(verified(pairs, documents, similarity)))
+    rest = materialize(open_pairs(shared, groups, pairs, similarity))
+    links = verified(rest, documents, similarity)
+    for end in ("a", "b"):
+        links = links.join(groups.toDF(end, "group"), end, "left").withColumn(end, F.coalesce("group", end)).select("a", "b")
+    merged = components(materialize(links))
+    met = groups.unionByName(merged.select("id", F.col("id").alias("group"))).groupBy("id").agg(F.min("group").alias("group"))
+    return met.join(merged.toDF("group", "least"), "group", "left").select("id", F.coalesce("least", "group").alias("group"))
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``documents``: id, group, n_in_group of texts, keep.
 
@@ -174,11 +233,10 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     Other columns are ignored; an empty table gives no rows.
     """
     marked = materialize(_mark(documents))
-    copies = marked.groupBy("copy").agg(F.min("id").alias("first"), F.min("bands").alias("bands"))
+    copies = marked.groupBy("copy").agg(F.min("id").alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     copies = materialize(copies)
-    members = copies.filter(F.size("bands") > 0).select(F.col("first").alias("id"), "bands")
-    links = verified(materialize(candidate_pairs(members)), documents, similarity)
-    groups = components(materialize(links))
+    members = copies.filter(F.size("bands") > 0).select(F.col("first").alias("id"), "size", "bands")
+    groups = linked(members, documents, similarity)
     named = copies.select("copy", F.col("first").alias("id")).join(groups, "id", "left")
     named = named.select("copy", F.coalesce("group", "id").alias("group"))
     out = marked.select("id", "copy").join(named, "copy")
