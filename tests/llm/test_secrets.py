@@ -50,3 +50,10 @@ def test_overlapping_spans_are_masked_once(documents):
 
 def test_empty_table(empty):
     assert S.judge(empty).count() == 0 and S.redact(empty).count() == 0
+
+
+def test_copies_of_one_text_give_one_owner(documents):
+    text, other = f"see {KEY}", f"key {KEY}"
+    docs = documents([(1, text, "en", "a"), (2, text, "en", "b"), (3, other, "en", "b"), (4, other, "en", None)])
+    assert {(s["verdict"], s["n_owners"], s["n_texts"]) for r in S.judge(docs).collect() for s in r["spans"]} == {("live", 1, 2)}
+    assert {r["text"] for r in S.redact(docs).collect()} == {"see <secret>", "key <secret>"}

@@ -104,13 +104,21 @@ def find(documents: DataFrame, owner: str = "source") -> DataFrame:
 def ownership(found: DataFrame) -> DataFrame:
     """(value, n_texts, n_owners) of each candidate value over the whole corpus.
 
+    A distinct text gives one owner, however many sources copy it: if some owner has all
+    texts of a value it is the only one, else each text counts for its least owner.
     Counted in steps that combine before each shuffle, so neither an owner with a third
     of the rows nor a value that many rows have is gathered in one task.
     """
     values = found.select("text_hash", "owner", F.explode("spans.value").alias("value")).distinct()
     texts = values.select("value", "text_hash").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_texts"))
-    owners = values.select("value", "owner").distinct().groupBy("value").agg(F.count("owner").alias("n_owners"))
-    return texts.join(owners, "value")
+    owned = values.filter("owner is not null")
+    first = owned.groupBy("value", "text_hash").agg(F.min("owner").alias("owner"))
+    first = first.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy("value").agg(F.sum("n").alias("n_owned"), F.count(F.lit(1)).alias("n_first"))
+    most = owned.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max("n").alias("most"))
+    one = F.when(F.col("most") == F.col("n_owned"), F.lit(1)).otherwise(F.col("n_first"))
+    owners = first.join(most, "value").select("value", one.cast("bigint").alias("n_owners"))
+    return texts.join(owners, "value", "left").select("value", "n_texts", F.coalesce("n_owners", F.lit(0)).cast("bigint").alias("n_owners"))
 
 
 def judge(documents: DataFrame, owner: str = "source") -> DataFrame:
