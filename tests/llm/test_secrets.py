@@ -57,3 +57,15 @@ def test_copies_of_one_text_give_one_owner(documents):
     docs = documents([(1, text, "en", "a"), (2, text, "en", "b"), (3, other, "en", "b"), (4, other, "en", None)])
     assert {(s["verdict"], s["n_owners"], s["n_texts"]) for r in S.judge(docs).collect() for s in r["spans"]} == {("live", 1, 2)}
     assert {r["text"] for r in S.redact(docs).collect()} == {"see <secret>", "key <secret>"}
+
+
+def test_private_keys_are_values_of_their_own(documents):
+    def pem(c, end):
+        body = "\n".join((c + "3kQ9/zTfR1+bYw7LpXn0VdEoGuHs2Mj8") * 2 for _ in range(5))
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n" + "-----END RSA PRIVATE KEY-----" * end
+
+    docs = documents([(1, f"a {pem('A', 1)} b", "en", "a"), (2, f"c {pem('B', 1)} d", "en", "b"), (3, f"e {pem('C', 0)}", "en", "c")])
+    spans = {r["doc_id"]: [s["verdict"] for s in r["spans"] if s["kind"] == "private_key"] for r in S.judge(docs).collect()}
+    assert spans == {1: ["live"], 2: ["live"], 3: ["live"]}
+    texts = {r["doc_id"]: r["text"].strip() for r in S.redact(docs).collect()}
+    assert texts == {1: "a <secret> b", 2: "c <secret> d", 3: "e <secret>"}

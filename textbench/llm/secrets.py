@@ -28,9 +28,18 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
+# between the runs of base64 of a key: spaces, quoting and escaped line ends
+_GAP = r"""(?:[\s"',>#*|]|\\[nrt])"""
+#: A key up to its END line; without one, its header lines and the runs of base64 that follow.
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"(?:([^-]*(?:-(?!----)[^-]*)*)-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|((?:{_GAP}*(?:Proc-Type|DEK-Info|Comment|Version):[^\n\\]*(?:\n|\\n))*(?:{_GAP}*[A-Za-z0-9+/]{{16,}}={{0,2}})*"
+    rf"(?:{_GAP}+(?:[A-Za-z0-9+/]+={{1,2}}|(?=[A-Za-z]*[0-9+/])[A-Za-z0-9+/]+))?))"
+)
+_GAPS = re.compile(_GAP + "+")
 # patterns of this operator: (kind, what must be in the text, pattern, group with the value)
 MORE = [
-    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), 0),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
     ("forge_token", "_", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{30,}"), 0),
     ("chat_token", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0),
@@ -39,7 +48,7 @@ MORE = [
     ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:([^\s/:@]{4,200})@"), 1),
     ("bearer", "earer", re.compile(r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{16,})"), 1),
 ]
-KINDS = [*BASE, *(kind for kind, *_ in MORE)]
+KINDS = [*BASE, "private_key", *(kind for kind, *_ in MORE)]
 MIN_VALUE = 6
 #: Owners from which on a value counts as widely copied.
 MANY_OWNERS = 2
@@ -71,6 +80,8 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
         out += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text)]
     if _HEX_RUN.search(text.encode("utf-8", "surrogatepass").translate(_AS_HEX)):
         out += [("hex", *m.span(), m[0]) for m in HEX.finditer(text)]
+    if "-----BEGIN" in text:  # the value is the key without its line ends, so that one key is one value
+        out += [("private_key", *m.span(), _GAPS.sub("", m[1] if m[1] is not None else m[2])) for m in PRIVATE_KEY.finditer(text)]
     for kind, needed, pattern, group in MORE:
         if needed in text:
             out += [(kind, *m.span(), m[group]) for m in pattern.finditer(text)]
