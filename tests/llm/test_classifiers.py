@@ -121,3 +121,17 @@ def test_gradients_of_the_network():
         down = loss()
         value[at] = before
         assert abs((up - down) / 2e-3 - gradient[at]) < 0.05 * abs(gradient[at]) + 1e-3
+
+
+def test_toxic_scores_do_not_follow_the_sample(documents, labels):
+    r, rows, marks = random.Random(9), [], []
+    for i in range(3000, 3800):
+        toxic = r.random() < 0.15
+        text = prose(i, 60).split()
+        if r.random() < (0.6 if toxic else 0.1):
+            text.insert(r.randrange(60), "vilewretch")
+        rows.append((i, " ".join(text), "en", "s"))
+        marks.append((i, 1, int(toxic)))
+    docs, marks = documents(rows), labels(marks)
+    whole, some = (np.mean([x["score"] for x in T.score(docs, marks, T.train(docs, marks, n)).collect()]) for n in (3000, 60))
+    assert abs(whole - some) < 0.08

@@ -10,7 +10,9 @@ from textbench.session import materialize
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(label, text) of at most ``per_class`` labelled documents of each class 0 and 1.
+    """(label, text, weight) of at most ``per_class`` labelled documents of each class 0 and 1.
+
+    ``weight`` is how many labelled rows of its class a sampled row stands for.
 
     Chosen by a hash of the id from the rows that are not held out; labels of NULL or
     other values, and ids without a document, are passed over. The ids are sent to the
@@ -23,6 +25,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int)
     near = thinned(usable, "label", totals, per_class, F.xxhash64("doc_id")) if totals else usable.withColumn("draw", F.lit(0.0))
     chosen = [near.filter(F.col("label") == c).orderBy("draw", "doc_id").limit(per_class).drop("draw") for c in (0, 1)]
     chosen = materialize(chosen[0].unionByName(chosen[1]))
+    sampled = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    weights = [F.when(F.col("label") == c, totals[c] / n) for c, n in sampled.items()]
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", F.coalesce(*weights, F.lit(1.0)).alias("weight"))
     return materialize(joined)

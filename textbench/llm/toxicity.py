@@ -127,11 +127,15 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_odds(counts: pd.DataFrame) -> pd.DataFrame:
-    """token, n0, n1, delta, z: log-odds in class 1 against 0 under the Dirichlet prior."""
+def log_odds(counts: pd.DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> pd.DataFrame:
+    """token, n0, n1, delta, z: log-odds in class 1 against 0 under the Dirichlet prior.
+
+    ``weights`` of the classes' texts: how often a token occurs at all follows from them.
+    """
     n = counts["n0"].sum(), counts["n1"].sum()
     weight = PRIOR_SHARE * max(1, n[0] + n[1])
-    prior = PRIOR_SHARE * (counts["n0"] + counts["n1"])
+    mix = weights[0] * counts["n0"] + weights[1] * counts["n1"]
+    prior = weight * mix / mix.sum()
     a = counts["n1"] + prior
     b = counts["n0"] + prior
     delta = np.log(a / (n[1] + weight - a)) - np.log(b / (n[0] + weight - b))
@@ -141,7 +145,8 @@ def log_odds(counts: pd.DataFrame) -> pd.DataFrame:
 def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
     """A model from labels.toxic of rows that are not held out; None without both classes."""
     rows = sample(documents, labels, "toxic", per_class)
-    if rows.select("label").distinct().count() < 2:
+    weights = {r["label"]: r["weight"] for r in rows.groupBy("label").agg(F.first("weight").alias("weight")).collect()}
+    if len(weights) < 2:
         return None
     counts = materialize(token_counts(rows))
     totals = counts.agg(F.sum("n0"), F.sum("n1")).first()
@@ -150,7 +155,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
     frame = counts.orderBy((F.col("n0") + F.col("n1")).desc(), "token").limit(4 * VOCABULARY).toPandas()
     rest = pd.DataFrame({"token": [b""], "n0": [max(1, int(totals[0]) - frame["n0"].sum())], "n1": [max(1, int(totals[1]) - frame["n1"].sum())]})
     frame["token"] = [bytes(t) for t in frame["token"]]
-    frame = log_odds(pd.concat([frame, rest], ignore_index=True))
+    frame = log_odds(pd.concat([frame, rest], ignore_index=True), (weights[0], weights[1]))
     # a score is what the log-odds are at least, within one standard error
     frame["delta"] -= frame["delta"] / frame["z"].abs().clip(lower=1.0)
     frame = frame[frame["z"].abs() > LEAST_Z].sort_values("z", key=abs, ascending=False).head(VOCABULARY)
@@ -164,7 +169,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
             words[token] = float(delta)
     model = Model(words, stems)
     model.rate = _rate(frame["p0"].to_numpy(), frame["delta"].to_numpy())
-    _fit(model, rows)
+    _fit(model, rows, weights)
     return model
 
 
@@ -184,9 +189,11 @@ def _rate(p: np.ndarray, delta: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _fit(model: Model, rows: DataFrame) -> None:
+def _fit(model: Model, rows: DataFrame, weights_of: dict[int, float]) -> None:
     """The scale of the extreme-value law by maximum likelihood, then the calibration.
 
+    Rows count by the weight of their class, so that the calibration keeps the classes'
+    shares in all labelled rows; the law is one of class 0 alone, where all weigh the same.
     The driver receives a few numbers per sampled document.
     """
 
@@ -206,11 +213,12 @@ def _fit(model: Model, rows: DataFrame) -> None:
     model.scale = float(len(other) / expected.sum())
     x = np.array([model.features(n, [(0, 0, s) for s in scores]) for n, scores in zip(found["n"], found["scores"], strict=True)])
     y = found["label"].to_numpy(dtype=float)
+    share = found["label"].map(weights_of).to_numpy(dtype=float)
     weights = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps of a logistic regression with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - y) + 0.1 * weights
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(weights))
+        gradient = x.T @ (share * (p - y)) + 0.1 * weights
+        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(weights))
         weights -= np.linalg.solve(hessian, gradient)
     model.weights = tuple(float(w) for w in weights)
 
