@@ -16,6 +16,7 @@ from textbench.llm.quality import op7_quality
 from textbench.llm.secrets import op5_secrets
 from textbench.llm.substrings import OP8_SQL, op8_substring_dedup
 from textbench.llm.toxicity import op9_toxicity
+from textbench.llm.vector_dedup import OP12_SQL, op12_vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op12_vector_dedup": op12_vector_dedup,
 }
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op12_vector_dedup": OP12_SQL}
