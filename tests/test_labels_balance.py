@@ -129,3 +129,10 @@ def test_sample_leaves_out_ids_out_of_range(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 77), (4, None)], "row_id bigint, label_id bigint")
     got = B.weighted_sample(df, 5).collect()
     assert len(got) == 2 and {r["row_id"] for r in got} <= {1, 2}
+
+
+def test_a_mapping_of_many_labels_of_one_beginning(spark):
+    names = [f"class_{i:05d}" for i in range(20_000)]
+    df = spark.range(60_000).selectExpr("format_string('class_%05d', id % 20000) as label", "'train' as split")
+    got = {r["label"]: r["label_id"] for r in LB.label_mapping(df).collect()}
+    assert got == {name: i for i, name in enumerate(names)}

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textbench.operators import rows as R
+from textbench.session import materialize
 
 
 @pytest.fixture
@@ -102,3 +103,33 @@ def test_shuffle_is_seeded_and_whole(spark):
     one, same, other = ([r["row_id"] for r in R.shuffle_rows(f, s).collect()] for f, s in ((df, 1), (df.repartition(7), 1), (df, 2)))
     assert one == same != other and sorted(one) == list(range(100)) and one != sorted(one)
     assert one == sorted(range(100), key=lambda i: hashlib.md5(f"1:{i}".encode()).hexdigest())
+
+
+def test_numbers_of_strewn_and_equal_values(spark, rows):
+    rnd = random.Random(8)
+    ids = sorted({rnd.randrange(-(2**62), 2**62) for _ in range(3000)}, key=lambda i: i % 997)
+    df = spark.createDataFrame([(i, "hot" if n % 3 else "cold") for n, i in enumerate(ids)], "id bigint, k string").repartition(5)
+    got = {r["id"]: r["ordinal"] for r in R.ordinal_within(df, "id").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(ids))}
+    want = {}
+    for key in ("hot", "cold"):
+        own = sorted(i for n, i in enumerate(ids) if ("hot" if n % 3 else "cold") == key)
+        want.update({(key, i): n for n, i in enumerate(own)})
+    assert {(r["k"], r["id"]): r["ordinal"] for r in R.ordinal_within(df, "id", ["k"]).collect()} == want
+    twice = spark.createDataFrame([(v,) for v in (2, 1, None, 2, 1, 1)], "v int")
+    assert [r["v"] for r in R.sorted_numbers(twice, ["v"]).orderBy("number").collect()] == [None, 1, 1, 1, 2, 2]
+    assert R.sorted_numbers(twice.limit(0), ["v"]).count() == 0
+
+
+def test_a_hot_value_is_numbered_in_many_ranges(spark, monkeypatch):
+    """No range holds the rows of a key that has all of them."""
+    written = []
+    monkeypatch.setattr(R, "materialize", lambda df: written.append(materialize(df)) or written[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000).select(F.lit("hot").alias("k"), ((F.col("id") * 7919) % 40_009 * 10**12).alias("id"))
+        assert R.sorted_numbers(df, ["k", "id"]).count() == 40_000
+        sizes = [r["count"] for r in written[0].groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) > 2 and max(sizes) < 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbench.fixed import LABELS, MISSING_TEXT, UNKNOWN_CLASS
 from textbench.functions.labels import encode_label, is_known_label, label_array
+from textbench.operators.rows import sorted_numbers
 
 
 def labels_frame(spark: SparkSession, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -33,28 +34,15 @@ def unseen_labels(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
 
 
 def label_mapping(df: DataFrame) -> DataFrame:
-    """Sorted distinct labels with ids from 0.
-
-    Labels are numbered within blocks of equal first two characters, which stand in the
-    order of the labels; so the window without a partition sees one row per block.
-    """
-    blocked = label_union(df).withColumn("_block", F.substring("label", 1, 2))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    offsets = per_block.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("label")) - 1
-    rows = blocked.withColumn("_place", place).join(offsets, "_block")
-    return rows.select((F.col("_offset") + F.col("_place")).cast("bigint").alias("label_id"), "label")
+    """Sorted distinct labels with ids from 0, however many and however alike."""
+    return sorted_numbers(label_union(df), ["label"], "label_id").select("label_id", "label")
 
 
 def resolve_labels(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """The listed labels if the data of all splits have no other; else those of the train split, sorted."""
-    unseen = unseen_labels(df, labels).agg(F.count("*")).scalar()
-    listed = labels_frame(df.sparkSession, labels).filter(unseen == 0).withColumn("mapping", F.lit("listed"))
-    derived = (
-        label_mapping(df.filter(F.col("split") == "train")).filter(unseen > 0).withColumn("mapping", F.lit("derived"))
-    )
-    return listed.unionByName(derived)
+    if unseen_labels(df, labels).isEmpty():
+        return labels_frame(df.sparkSession, labels).withColumn("mapping", F.lit("listed"))
+    return label_mapping(df.filter(F.col("split") == "train")).withColumn("mapping", F.lit("derived"))
 
 
 def encode_by_mapping(df: DataFrame, mapping: DataFrame) -> DataFrame:

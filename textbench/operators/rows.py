@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.session import materialize
+
 BLOCK_ROWS = 65536
 #: Ranges that one step of ``nth_value`` counts, and so the rows that the driver gets.
 RANGES = 4096
@@ -69,10 +71,45 @@ def running_totals(
 def ordinal_within(
     df: DataFrame, order: str, keys: list[str] | None = None, name: str = "ordinal", block: Column | None = None
 ) -> DataFrame:
-    """Position 0, 1, 2, ... of a row among the rows of its keys, by a unique integer column."""
-    one = F.lit(1).cast("bigint")
-    counted = running_totals(df, keys or [], order, {name: (one, "sum")}, block)
-    return counted.withColumn(name, F.col(name) - 1)
+    """Position 0, 1, 2, ... of a row among the rows of its keys, by a unique integer column.
+
+    The order may be strewn over the whole number range. Keys must not be NULL. Given
+    ``block``, any fixed order will do; see ``running_totals``.
+    """
+    if block is not None:
+        one = F.lit(1).cast("bigint")
+        counted = running_totals(df, keys or [], order, {name: (one, "sum")}, block)
+        return counted.withColumn(name, F.col(name) - 1)
+    if not keys:
+        return sorted_numbers(df, [order], name)
+    for key in keys:
+        known = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is NULL"))).otherwise(F.col(key))
+        df = df.withColumn(key, known)
+    numbered = sorted_numbers(df, [*keys, order], "_number")
+    first = numbered.groupBy(*keys).agg(F.min("_number").alias("_first"))
+    joined = numbered.join(first, keys)
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_number") - F.col("_first")).alias(name))
+
+
+def sorted_numbers(df: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:
+    """Position 0, 1, 2, ... of a row in the given order of the whole frame, whatever its values.
+
+    Sampled splitters cut the order into ranges of about equal size, so that many rows
+    of one value of the first columns are many ranges too; only rows equal in all of them
+    stay together, and those stand in no particular order. A range numbers its rows as
+    they come, and a count per range, of which there are as many as partitions, gives the
+    offsets. The sorted rows are written once to the shared folder.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits of this id are the partition's number, the lower ones count its rows
+    placed = materialize(ranges.withColumn("_at", F.monotonically_increasing_id()))
+    of_range = F.shiftright("_at", 33)
+    sizes = placed.groupBy(of_range.alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.withColumn("_range", of_range).join(offsets, "_range")
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + at).alias(name))
 
 
 def row_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
