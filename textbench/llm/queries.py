@@ -12,6 +12,7 @@ from textbench.llm.language import op10_language
 from textbench.llm.licenses import op2_licenses
 from textbench.llm.near_dedup import op3_near_dedup
 from textbench.llm.packing import op4_packing
+from textbench.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from textbench.llm.quality import op7_quality
 from textbench.llm.secrets import op5_secrets
 from textbench.llm.substrings import OP8_SQL, op8_substring_dedup
@@ -30,6 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
     "op12_vector_dedup": op12_vector_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op12_vector_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op12_vector_dedup": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
+}
