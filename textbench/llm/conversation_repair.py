@@ -32,6 +32,7 @@ REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 PART = 256
 #: Conversations of up to so many rows are looked up if the same pattern was searched before.
 REMEMBERED_ROWS, REMEMBERED = 32, 50_000
+BATCH_ROWS = 5000
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 # roles so far: none, system, up to a user's turn, up to an assistant's
@@ -41,7 +42,7 @@ ENDS = (START, ASSISTANT)
 NEXT_ROLE = ("u", "u", "a", "u")
 NEXT = (USER, USER, ASSISTANT, USER)
 
-# how a row may be kept: initial of its role (u, a, s, else -), or must go, and whether it is truncated
+# a row is a letter: the initial of its role (u, a, s, o for others), in upper case if it is truncated
 MUST_GO = "x"
 
 
@@ -92,7 +93,7 @@ def _moves(row: str, state: int) -> list[tuple[str, int, int, int]]:
     return moves
 
 
-MOVES = {(row, state): _moves(row, state) for row in ["", MUST_GO, *"uasUAS-_"] for state in range(4)}
+MOVES = {(row, state): _moves(row, state) for row in ["", MUST_GO, *"uasoUASO"] for state in range(4)}
 
 
 def within(rows: str, least: np.ndarray, bound: int) -> tuple[str | None, int]:
@@ -124,8 +125,8 @@ def within(rows: str, least: np.ndarray, bound: int) -> tuple[str | None, int]:
 
 
 def repair(rows: str) -> tuple[int, str]:
-    """(cost, edits) of the cheapest repair. ``rows`` has a letter for each row: u, a, s or -
-    for the initial of its role, in upper case (and _) if it is truncated; x for one that must go."""
+    """(cost, edits) of the cheapest repair. ``rows`` has a letter for each row: u, a, s, or o
+    for other roles, in upper case if it is truncated; x for one that must go."""
     least = rest_costs(rows)
     bound = int(least[0, START])
     while True:
@@ -158,7 +159,7 @@ def turns_of(rows: str, edits: str) -> list[tuple[str, str]]:
 
 # -- rows --------------------------------------------------------------------------------
 
-_SPACE = r"\x20\x09-\x0D"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
@@ -184,14 +185,17 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def _fault(seen: Column) -> tuple[Column, Column]:
     """(fault, letter) of a row; see ``repair``. The first fault counts."""
-    text = F.col("text")
-    last = F.regexp_extract(text, rf"([^{_SPACE}])[{_SPACE}]*\z", 1)
-    fault = F.when(~text.rlike(f"[^{_SPACE}]"), "blank").when(seen, "duplicate").when(~last.isin(".", "!", "?"), "truncated")
+    text = F.rtrim(F.col("text"), F.lit(SPACE))
+    fault = (
+        F.when(text == "", "blank")
+        .when(seen, "duplicate")
+        .when(~F.substring(text, -1, 1).isin(".", "!", "?"), "truncated")
+    )
     initial = F.substring("role", 1, 1)
-    plain = F.when(initial.isin("u", "a", "s"), initial).otherwise("-")
+    plain = F.when(initial.isin("u", "a", "s"), initial).otherwise("o")
     letter = (
         F.when(fault.isin("blank", "duplicate"), MUST_GO)
-        .when(fault == "truncated", F.translate(plain, "uas-", "UAS_"))
+        .when(fault == "truncated", F.upper(plain))
         .otherwise(plain)
     )
     return fault, letter
@@ -219,24 +223,31 @@ _COUNTS = ["blank", "duplicate", "truncated", "illegal", "cost"]
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edits of each row, and with that behind the last row the conversation's counts."""
     known = lru_cache(REMEMBERED)(repair)
+    legal = {("s", "u"), ("u", "a"), ("a", "u")}
+    names = ["conv", "place", "ahead", "changed", *_COUNTS, "audit"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * len(_COUNTS), pa.string()]
+    out: list[list] = [[] for _ in names]
+
+    def flushed() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
+        for values in out:
+            values.clear()
+        return batch
+
     for rows in groups(batches, ["conv"]):
         letters = "".join(rows.column("letter").to_pylist())
         cost, audit = known(letters) if len(letters) <= REMEMBERED_ROWS else repair(letters)
         edits = turns_of(letters, audit)
         faults, initials = rows.column("fault").to_pylist(), rows.column("initial").to_pylist()
-        legal = {("s", "u"), ("u", "a"), ("a", "u")}
         illegal = sum(pair not in legal for pair in zip(initials, initials[1:], strict=False))
         n = len(letters)
-        counts = [faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost]
-        columns = [
-            pa.array([rows.column("conv")[0].as_py()] * (n + 1), pa.string()),
-            pa.array(range(n + 1), pa.int64()),
-            pa.array([a for a, _ in edits], pa.string()),
-            pa.array([c for _, c in edits], pa.string()),
-            *(pa.array([None] * n + [v], pa.int64()) for v in counts),
-            pa.array([None] * n + [audit], pa.string()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["conv", "place", "ahead", "changed", *_COUNTS, "audit"])
+        counts = [faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit]
+        new = [[rows.column("conv")[0].as_py()] * (n + 1), range(n + 1), [a for a, _ in edits], [c for _, c in edits]]
+        for values, more in zip(out, [*new, *([None] * n + [v] for v in counts)], strict=True):
+            values.extend(more)
+        if len(out[0]) >= BATCH_ROWS:
+            yield flushed()
+    yield flushed()
 
 
 def _line(role: Column, text: Column) -> Column:

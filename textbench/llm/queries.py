@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textbench.llm.conversation_repair import op11_conversation_repair
 from textbench.llm.decontaminate import OP6_SQL, op6_decontamination
 from textbench.llm.fingerprints import op1_fingerprints
 from textbench.llm.language import op10_language
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_dedup": op12_vector_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
