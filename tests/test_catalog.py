@@ -27,8 +27,8 @@ def duck():
     return connection
 
 
-def test_every_query_has_sql():
-    assert set(ORACLES) == set(QUERIES)
+def test_every_query_has_sql_that_does_not_show_what_a_model_learned():
+    assert set(ORACLES) == set(QUERIES) - TRAINED | {"save_model"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -464,52 +464,37 @@ def _test_rows(spark, d):
     return X.trainable(spark, d).filter(F.col("split") == "test")
 
 
-def _supports(predictions: DataFrame, model) -> DataFrame:
-    """(true_label, n, n_listed): rows of each label, and those that got a label of the model."""
-    listed = F.col("pred_label").isin(model.stages[-1].getLabels())
-    return predictions.groupBy("true_label").agg(F.count("*").alias("n"), F.count_if(listed).alias("n_listed"))
+def _confusion(model, rows: DataFrame) -> DataFrame:
+    return M.confusion_matrix(TR.predict_table(model, rows))
 
 
 @query
 def train_classifier(spark, d):
-    """Supports on the training rows of a model fitted here."""
-    train = X.trainable(spark, d).filter(F.col("split") == "train")
-    model = _trained(spark, d)
-    return _supports(TR.predict_table(model, train), model)
+    """Confusion table on the training rows of a model fitted here."""
+    return _confusion(_trained(spark, d), X.trainable(spark, d).filter(F.col("split") == "train"))
 
 
 @query
 def select_by_validation(spark, d):
-    """(epoch, passes, scored, chosen_is_best): the candidates in order, and whether the
-    best epoch by ``early_stop`` has the first of the highest scores."""
+    """The log, a row per pass, and which epoch ``early_stop`` takes."""
     rows = X.trainable(spark, d)
     train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
     _, log = TR.select_by_validation(train, val, TR.label_list(rows))
-    chosen = E.early_stop(log, patience=2).select("run_id", "best_epoch", "best_f1")
-    first = log.groupBy("run_id").agg(F.max_by("epoch", F.struct("val_f1", -F.col("epoch"))).alias("first"), F.max("val_f1").alias("top"))
-    best = (F.col("best_epoch") == F.col("first")) & (F.col("best_f1") == F.col("top"))
-    return log.join(chosen, "run_id").join(first, "run_id").select(
-        "epoch", "passes", F.col("val_f1").between(0, 1).alias("scored"), best.alias("chosen_is_best")
-    )
+    chosen = E.early_stop(log, TR.Settings().patience)
+    return rounded(log.join(chosen, "run_id").select("epoch", "train_loss", "val_f1", "best_epoch", "best_f1", "stopped_early"))
 
 
 @query
 def predict_table(spark, d):
-    model = _trained(spark, d)
-    listed = F.col("pred_label").isin(model.stages[-1].getLabels())
-    return TR.predict_table(model, _test_rows(spark, d)).select("row_id", "true_label", listed.alias("listed"))
+    return TR.predict_table(_trained(spark, d), _test_rows(spark, d)).select("row_id", "true_label", "pred_label")
 
 
 @query
 def evaluate_split(spark, d):
-    """(label, support, beats_baselines): supports of the report, and whether the model's
-    macro-F1 is above those of both untrained models on the same rows."""
-    rows = X.trainable(spark, d)
-    labels = TR.label_list(rows)
+    """The report on the test split, with the macro-F1 over observed labels as a row of its own."""
     score, report = TR.evaluate_split(_trained(spark, d), _test_rows(spark, d))
-    untrained = M.macro_f1_observed(P.baseline_predictions(rows, SEED, labels)).agg(F.max("macro_f1_observed")).scalar()
-    beats = score.select(F.col("macro_f1_observed") > untrained).scalar()
-    return report.filter(F.col("label").isin(labels)).select("label", "support", beats.alias("beats_baselines"))
+    macro = score.select(F.lit("macro_f1_observed").alias("label"), F.col("macro_f1_observed").alias("f1"))
+    return report.unionByName(macro, allowMissingColumns=True)
 
 
 def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -529,11 +514,10 @@ def save_model(spark, d):
 
 @query
 def load_model(spark, d):
-    """Supports of a saved model, read back."""
+    """Confusion table on the test rows of a saved model, read back."""
     path = work_dir(spark)
     TR.save_model(_trained(spark, d), path)
-    model = TR.load_model(path)
-    return _supports(TR.predict_table(model, _test_rows(spark, d)), model)
+    return _confusion(TR.load_model(path), _test_rows(spark, d))
 
 
 @query

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbench.fixed import LABELS, MISSING_TEXT
@@ -16,6 +15,7 @@ from textbench.functions.labels import decode_label, encode_label
 from textbench.operators.balance import attach_class_weight, class_weights, weighted_sample
 from textbench.operators.compare import compare_models
 from textbench.operators.labels import resolve_labels
+from textbench.operators.linear import SoftmaxModel, Steps, document_frequencies, inverse_frequencies, one_pass, terms
 from textbench.operators.metrics import classification_report, macro_f1_observed
 from textbench.operators.predictions import baseline_predictions, truncate_output
 from textbench.session import materialize
@@ -25,20 +25,26 @@ from textbench.sources.tables import write_predictions
 
 @dataclass(frozen=True)
 class Settings:
-    """What training can be told. ``passes`` are the iterations of the candidates, in order."""
+    """What training can be told. The last of ``passes`` is how many passes over the
+    training rows it makes at most; each gives weights that can be validated."""
 
     features: int = 2**14
-    passes: tuple[int, ...] = (2, 5, 10)
+    passes: tuple[int, ...] = (10,)
     patience: int = 2
-    regularization: float = 0.01
+    regularization: float = 1e-4
     use_class_weights: bool = True
     use_weighted_sampling: bool = False
     seed: int = 42
 
 
-def label_list(df: DataFrame, listed: Sequence[str] = LABELS) -> list[str]:
-    """The labels that ``resolve_labels`` settles on, as a plan-time list; one value per class, never per row."""
-    return [row["label"] for row in resolve_labels(df, listed).orderBy("label_id").collect()]
+def label_list(df: DataFrame, listed: Sequence[str] = LABELS, most: int = 1000) -> list[str]:
+    """The labels that ``resolve_labels`` settles on, as a plan-time list; one value per class,
+    never per row. More than ``most`` are an error: they are hardly classes, and a model
+    has a column of weights for each."""
+    found = resolve_labels(df, listed).filter(F.col("label_id") <= most).orderBy("label_id").collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels")
+    return [row["label"] for row in found]
 
 
 def _encoded(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -57,67 +63,56 @@ def _training_rows(train: DataFrame, labels: Sequence[str], settings: Settings)
     return rows.withColumn("weight", F.lit(1.0))
 
 
-def _term_stages(settings: Settings) -> list[Transformer]:
-    """Text to term counts. Hashing needs no pass over the data and no shared vocabulary."""
-    return [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\p{L}+", gaps=False, toLowercase=True),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=settings.features),
-    ]
-
-
 def _terms(df: DataFrame, settings: Settings, *columns: str) -> DataFrame:
-    """Term counts, written once: the fits that follow read vectors and not texts."""
-    for stage in _term_stages(settings):
-        df = stage.transform(df)
-    return materialize(df.select(*columns, "tf"))
-
-
-def _classifier(settings: Settings, passes: int) -> LogisticRegression:
-    return LogisticRegression(
-        featuresCol="features",
-        labelCol="label_id",
-        weightCol="weight",
-        predictionCol="pred_id",
-        family="multinomial",
-        maxIter=passes,
-        regParam=settings.regularization,
-    )
+    """Hashed terms, written once: the passes that follow read numbers and not texts."""
+    return materialize(df.select(*columns, terms(F.col("text"), settings.features).alias("terms")))
 
 
-def _names(labels: Sequence[str]) -> IndexToString:
-    return IndexToString(inputCol="pred_id", outputCol="pred_label", labels=list(labels))
+def epochs(
+    train: DataFrame, labels: Sequence[str] = LABELS, settings: Settings = Settings()
+) -> Iterator[tuple[float, SoftmaxModel]]:
+    """After each pass over (row_id, text, label): the mean loss that it found, penalty
+    included, and the model that it leaves. Class weights are on by default."""
+    rows = _terms(_training_rows(train, labels, settings), settings, "label_id", "weight")
+    idf = inverse_frequencies(*document_frequencies(rows, settings.features))
+    weights, steps = np.zeros((settings.features + 1, len(labels))), Steps()
+    while True:
+        loss, gradient = one_pass(rows, idf, weights, settings.regularization)
+        weights = steps.next(weights, loss, gradient)
+        yield loss, SoftmaxModel(tuple(labels), idf, weights)
 
 
 def train_classifier(
     train: DataFrame, labels: Sequence[str] = LABELS, settings: Settings = Settings(), passes: int | None = None
-) -> PipelineModel:
-    """Fit on (row_id, text, label). Class weights are on by default."""
-    terms = _terms(_training_rows(train, labels, settings), settings, "label_id", "weight")
-    idf = IDF(inputCol="tf", outputCol="features").fit(terms)
-    fitted = _classifier(settings, passes or settings.passes[-1]).fit(idf.transform(terms))
-    return PipelineModel(stages=[*_term_stages(settings), idf, fitted, _names(labels)])
+) -> SoftmaxModel:
+    """Fit on (row_id, text, label) in so many passes, without validation."""
+    *_, (_, model) = islice(epochs(train, labels, settings), passes or settings.passes[-1])
+    return model
 
 
-def predict_table(model: PipelineModel, df: DataFrame, name: str = "classifier") -> DataFrame:
+def predict_table(model: SoftmaxModel, df: DataFrame, name: str = "classifier") -> DataFrame:
     """(model, row_id, text, true_label, pred_label), one row per input row.
 
-    The label list travels in the model's last stage; a true label outside it
-    counts as class 0, as everywhere.
+    The label list belongs to the model; a true label outside it counts as class 0, as
+    everywhere. Only hashed terms go to Python, and class numbers come back.
     """
-    labels = model.stages[-1].getLabels()
-    scored = model.transform(_encoded(df, labels))
-    return scored.select(
-        F.lit(name).alias("model"), "row_id", "text", decode_label(F.col("label_id"), labels).alias("true_label"), "pred_label"
+    rows = _encoded(df, model.labels)
+    return rows.select(
+        F.lit(name).alias("model"),
+        "row_id",
+        "text",
+        decode_label(F.col("label_id"), model.labels).alias("true_label"),
+        model.predicted(F.col("text")).alias("pred_label"),
     )
 
 
-def scored_split(model: PipelineModel, df: DataFrame, name: str = "classifier") -> DataFrame:
+def scored_split(model: SoftmaxModel, df: DataFrame, name: str = "classifier") -> DataFrame:
     """Predictions as they are saved, texts cut, scored and written to the shared folder once."""
     return materialize(truncate_output(predict_table(model, df, name)))
 
 
 def evaluate_split(
-    model: PipelineModel,
+    model: SoftmaxModel,
     df: DataFrame,
     name: str = "classifier",
     predictions_path: str | None = None,
@@ -129,7 +124,7 @@ def evaluate_split(
     The split is scored once, and what is asked for is made of that: the saved
     predictions (row_id, text, true_label, pred_label) and the metrics report.
     """
-    labels = model.stages[-1].getLabels()
+    labels = model.labels
     predictions = scored_split(model, df, name)
     if predictions_path:
         write_predictions(predictions, predictions_path, fmt, keep=["row_id"])
@@ -170,43 +165,37 @@ def train_and_evaluate(
 
 def select_by_validation(
     train: DataFrame, val: DataFrame, labels: Sequence[str] = LABELS, settings: Settings = Settings()
-) -> tuple[PipelineModel | None, DataFrame]:
-    """Train the candidates in order, keep the best on ``val``, stop when patience runs out.
+) -> tuple[SoftmaxModel | None, DataFrame]:
+    """Train pass by pass, validate after each, keep the best, stop when patience runs out.
 
-    Returns the best model (None if no candidate scores above 0) and the log
-    (run_id, epoch, passes, val_f1), which ``early_stop`` accepts. Features are
-    computed once for all candidates; the driver sees one score per candidate.
+    Returns the best model (None if none scores above 0) and the log (run_id, epoch,
+    train_loss, val_f1), which ``early_stop`` accepts. An epoch is one pass over the
+    training rows and goes on where the one before it ended; ``train_loss`` is what the
+    pass found, ``val_f1`` the macro-F1 over observed labels that its step leads to.
     """
-    spark = train.sparkSession
-    terms = _terms(_training_rows(train, labels, settings), settings, "label_id", "weight")
-    idf = IDF(inputCol="tf", outputCol="features").fit(terms)
-    train_features = idf.transform(terms)
-    val_features = idf.transform(_terms(_encoded(val, labels), settings, "label_id"))
-
+    val_rows = _terms(_encoded(val, labels), settings, "label_id")
     log, best, best_score, waited = [], None, 0.0, 0
-    for epoch, passes in enumerate(settings.passes, start=1):
-        fitted = _classifier(settings, passes).fit(train_features)
-        predictions = fitted.transform(val_features).select(
+    for epoch, (loss, model) in enumerate(islice(epochs(train, labels, settings), settings.passes[-1]), start=1):
+        predictions = val_rows.select(
             F.lit("candidate").alias("model"),
             F.col("label_id").cast("string").alias("true_label"),
-            F.col("pred_id").cast("bigint").cast("string").alias("pred_label"),
+            model.scored(F.col("terms")).cast("string").alias("pred_label"),
         )
-        score = macro_f1_observed(predictions).first()["macro_f1_observed"]
-        log.append((0, epoch, passes, float(score)))
+        found = macro_f1_observed(predictions).first()
+        score = float(found["macro_f1_observed"]) if found else 0.0
+        log.append((0, epoch, loss, score))
         if score > best_score:
-            best, best_score, waited = fitted, score, 0
+            best, best_score, waited = model, score, 0
         else:
             waited += 1
             if 0 < settings.patience <= waited:
                 break
-    frame = spark.createDataFrame(log, "run_id bigint, epoch bigint, passes bigint, val_f1 double")
-    model = PipelineModel(stages=[*_term_stages(settings), idf, best, _names(labels)]) if best else None
-    return model, frame
+    return best, train.sparkSession.createDataFrame(log, "run_id bigint, epoch bigint, train_loss double, val_f1 double")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: SoftmaxModel, path: str) -> None:
+    model.save(SparkSession.active(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> SoftmaxModel:
+    return SoftmaxModel.load(SparkSession.active(), path)
