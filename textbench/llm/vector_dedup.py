@@ -31,16 +31,18 @@ from textbench.session import materialize
 
 SIMILARITY = 0.95
 #: Collisions that a pair needs to be verified.
-COLLISIONS = 3
+COLLISIONS = 2
 #: Probability that a pair just at the threshold has fewer.
-MISSED = 1e-7
+MISSED = 1e-6
 #: Share of such pairs that a window holds along its line.
 WITHIN = 0.9
 #: Vectors that stand on one side of all planes of a table, about.
-SIDE = 64
+SIDE = 256
 #: Vectors of one side that meet in one task, and pairs whose collisions are counted at once.
 BLOCK = 1000
 PAIRS = 20_000
+#: Groups whose links are returned together.
+GROUPS = 200
 #: Columns that vectors that meet in a task share: length, table, side of its planes, blocks.
 MEETING = ["d", "table", "side", "x", "y"]
 _SEED = 20240612
@@ -169,14 +171,17 @@ def _sides(lines: Projections):
                 rows = np.flatnonzero(sizes == d)
                 sides[rows] = lines.of(unit(np.stack([vectors[k] for k in rows])))[0]
             ends = pa.array(np.arange(len(vectors) + 1) * lines.tables, pa.int32())
-            out = [batch.column("code"), pa.ListArray.from_arrays(ends, pa.array(sides.ravel()))]
-            yield pa.RecordBatch.from_arrays(out, ["code", "sides"])
+            out = [batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(sides.ravel()))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "sides"])
 
     return run
 
 
 def _links(lines: Projections, similarity: float):
+    names = ["id", "other", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
         for rows in groups(batches, MEETING):
             table, x, y = (rows.column(c)[0].as_py() for c in ("table", "x", "y"))
             block = None if x == y else rows.column("block").to_numpy()
@@ -186,31 +191,35 @@ def _links(lines: Projections, similarity: float):
             weight, n = rows.column("weight").to_numpy(), np.zeros(rows.num_rows, dtype=np.int64)
             np.add.at(n, i, weight[j])
             np.add.at(n, j, weight[i])
-            some, code = np.flatnonzero(n), rows.column("code")
-            other = code.take(pa.array(forest(rows.num_rows, i, j)[some]))
-            yield pa.RecordBatch.from_arrays([code.take(pa.array(some)), other, pa.array(n[some])], ["code", "other", "n"])
+            some, ids = np.flatnonzero(n), rows.column("id").to_numpy()
+            found.append([ids[some], ids[forest(rows.num_rows, i, j)[some]], n[some]])
+            if len(found) == GROUPS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
 
     return run
 
 
 def links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(code, other, n): of linked ones among ``distinct`` (code, weight, v): how many rows
-    each is linked to, added up over the rows of a code, and links that tie the groups together."""
+    """(id, other, n): of linked ones among ``distinct`` (id, weight, v): how many rows each
+    is linked to, added up over the rows of an id, and links that tie the groups together."""
     lines = Projections(distinct.count(), similarity)
-    sides = distinct.select("code", "v").mapInArrow(_sides(lines), "code string, sides array<bigint>")
-    sides = materialize(distinct.select("code", F.size("v").alias("d")).join(sides, "code"))
-    places = sides.select("code", "d", F.posexplode("sides").alias("table", "side"))
+    sides = distinct.select("id", "v").mapInArrow(_sides(lines), "id bigint, sides array<bigint>")
+    sides = materialize(distinct.select("id", F.size("v").alias("d")).join(sides, "id"))
+    places = sides.select("id", "d", F.posexplode("sides").alias("table", "side"))
     met = places.groupBy("d", "table", "side").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     places = places.join(met, ["d", "table", "side"]).withColumn("blocks", blocks)
-    places = places.withColumn("block", F.pmod(F.xxhash64("code"), "blocks").cast("int"))
+    places = places.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # a block meets itself and each other one
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    places = places.select("code", "d", "table", "side", "block", other)
+    places = places.select("id", "d", "table", "side", "block", other)
     places = places.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    rows = places.join(distinct, "code").repartition(*MEETING).sortWithinPartitions(*MEETING)
-    return rows.select(*MEETING, "block", "code", "weight", "v").mapInArrow(
-        _links(lines, similarity), "code string, other string, n bigint"
+    rows = places.join(distinct, "id").repartition(*MEETING).sortWithinPartitions(*MEETING)
+    return rows.select(*MEETING, "block", "id", "weight", "v").mapInArrow(
+        _links(lines, similarity), "id bigint, other bigint, n bigint"
     )
 
 
@@ -238,14 +247,15 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY) -> DataF
     """
     coded = materialize(_coded(embeddings))
     distinct = coded.filter("code is not null").groupBy("code").agg(
-        F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.min("v").alias("v")
+        F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.first("v").alias("v")
     )
-    distinct = materialize(distinct)
-    found = materialize(links(distinct.select("code", "weight", "v"), similarity))
-    counts = found.groupBy("code").agg(F.sum("n").alias("n"))
-    groups = components(found.filter("code != other").select(F.col("code").alias("a"), F.col("other").alias("b")))
-    named = distinct.select("code", "weight", "least").join(counts, "code", "left")
-    named = named.join(groups.toDF("code", "group"), "code", "left").withColumn("group", F.coalesce("group", "code"))
+    # the numbers hold because they are written once
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
+    found = materialize(links(distinct.select("id", "weight", "v"), similarity))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    groups_of = components(found.filter("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    named = distinct.select("id", "code", "weight", "least").join(counts, "id", "left")
+    named = named.join(groups_of.toDF("id", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
     named = materialize(named.withColumn("n", F.coalesce("n", F.lit(0)) + F.col("weight") - 1))
     lowest = named.groupBy("group").agg(F.min("least").alias("component"))
     named = named.filter("n > 0").join(lowest, "group").select("code", "n", "component")
