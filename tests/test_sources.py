@@ -130,3 +130,40 @@ def test_an_empty_folder_of_predictions_is_ranked_last(spark, tmp_path):
     ranking, _, missing = compare_saved(spark, {"none": empty, "gone": str(tmp_path / "gone"), "some": full})
     assert missing == ["gone"]
     assert [(r["model"], r["n"]) for r in ranking.orderBy("rank").collect()] == [("some", 1), ("none", 0)]
+
+
+def test_headers_are_found_without_reading_the_files(spark, tmp_path, monkeypatch):
+    """Each file is opened once for its header, and no job runs before the rows are asked for."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("text,label\n" + "x,joy\n" * 1000)
+    asked, first = [], S._first_line
+    monkeypatch.setattr(S, "_first_line", lambda spark, file: asked.append(file) or first(spark, file))
+    spark.sparkContext.setJobGroup("headers", "headers")
+    table = S.read_labelled(spark, str(tmp_path), multi_line=False)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    assert len(asked) == len(set(asked)) == 3
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert table.count() == 3000
+
+
+def test_headers_of_many_and_of_empty_files(spark, tmp_path):
+    names = ["text,label", "label,text", "more,label,text"]
+    for k in range(40):
+        row = {"text": f"t{k}", "label": "joy", "more": "x"}
+        header = names[k % 3]
+        (tmp_path / f"part {k}%20.csv").write_text(f"{header}\n" + ",".join(row[c] for c in header.split(",")) + "\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    got = sorted(r["text"] for r in S.read_labelled(spark, str(tmp_path)).collect())
+    assert got == sorted(f"t{k}" for k in range(40))
+
+
+def test_headers_of_compressed_files(spark, tmp_path):
+    import gzip
+
+    for k, header in enumerate(("text,label", "label,text")):
+        with gzip.open(tmp_path / f"{k}.csv.gz", "wt", encoding="utf-8-sig") as file:
+            file.write(f"{header}\n" + ",".join({"text": f"é{k}", "label": "joy"}[c] for c in header.split(",")) + "\n")
+    got = sorted((r["text"], r["label"]) for r in S.read_labelled(spark, str(tmp_path)).collect())
+    assert got == [("é0", "joy"), ("é1", "joy")]

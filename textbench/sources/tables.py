@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -33,16 +34,39 @@ CSV_FORMAT = {
 SURPLUS = "_surplus_field"
 
 
+#: Files that are opened at once to read their headers.
+OPENED_AT_ONCE = 32
+
+
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is not blank, without what stands behind it."""
+    java, settings = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = java.org.apache.hadoop.fs.Path(java.java.net.URI(file))
+    stream = path.getFileSystem(settings).open(path)
+    try:
+        codec = java.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(path)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = java.java.io.BufferedReader(java.java.io.InputStreamReader(stream, "UTF-8"))
+        while (line := reader.readLine()) is not None:
+            if line.lstrip("\ufeff").strip():
+                return line.lstrip("\ufeff")
+        return None
+    finally:
+        stream.close()
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header. The driver gets one line per file, as it lists them anyway."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    first = lines.withColumn("at", F.monotonically_increasing_id()).filter("trim(value) != ''")
-    found = first.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect()
-    files: dict[tuple[str, ...], list[str]] = {}
-    for row in found:
-        names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")])))
-        files.setdefault(names, []).append(unquote(row["path"]))
-    return files
+    """The files of each header. Each file that Spark has listed is opened once, many at
+    a time, and only its first bytes are read."""
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(OPENED_AT_ONCE) as pool:
+        lines = list(pool.map(lambda file: _first_line(spark, file), files))
+    files_of: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(files, lines, strict=True):
+        if line is not None:
+            files_of.setdefault(tuple(next(csv.reader([line]))), []).append(unquote(file))
+    return files_of
 
 
 def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
