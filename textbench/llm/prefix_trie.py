@@ -28,6 +28,7 @@ SHARED = 6
 HUNDRED = 100
 #: Range of ids whose digest parts are joined by one task ahead of the digest.
 PART = 1024
+NODES = "conv_id bigint, depth bigint, parent bigint, n bigint, points bigint, ending bigint"
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -182,7 +183,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     points = F.substring_index("name", ":", -1).cast("bigint")
     nodes = nodes.select(F.col("least").alias("conv_id"), "depth", F.col("prefix").alias("parent"), "n", points.alias("points"), "ending")
     top = [(root, 0, None, total, 0, without)] if total else []
-    nodes = materialize(nodes.unionByName(sizes.sparkSession.createDataFrame(top, nodes.schema)))
+    nodes = materialize(nodes.unionByName(sizes.sparkSession.createDataFrame(top, NODES)))
     ends = ends.unionByName(sizes.filter("length = 0").select("conv_id", F.lit(without).cast("bigint").alias("ending")))
 
     children = nodes.filter("parent is not null").groupBy("parent", (F.col("depth") - 1).alias("depth")).agg(F.count(F.lit(1)).alias("children"))
