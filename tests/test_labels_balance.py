@@ -3,6 +3,7 @@ import itertools
 from collections import Counter
 
 import pytest
+from plans import exchanged, nodes
 from pyspark.sql import functions as F
 
 from textbench.fixed import LABELS
@@ -136,3 +137,19 @@ def test_a_mapping_of_many_labels_of_one_beginning(spark):
     df = spark.range(60_000).selectExpr("format_string('class_%05d', id % 20000) as label", "'train' as split")
     got = {r["label"]: r["label_id"] for r in LB.label_mapping(df).collect()}
     assert got == {name: i for i, name in enumerate(names)}
+
+
+def test_a_sample_moves_texts_once(spark):
+    """Windows and draws see keys only; the texts go through the last join alone."""
+    data = [(i, "joy" if i % 50 else "fear", "t" * 100) for i in range(1000)]
+    df = LB.encode_table(spark.createDataFrame(data, "row_id bigint, label string, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sample = B.weighted_sample(df, 3, columns=["text"])
+        moved = exchanged(sample)
+        assert sum("text" in columns for columns in moved) == 1
+        windows = [n for n in nodes(sample) if n.nodeName() == "Window"]
+        assert windows and not any("text" in n.output().toString() for n in windows)
+        assert sample.count() == 1000 and sample.filter("text is null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from plans import exchanged, names
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -133,3 +134,26 @@ def test_a_hot_value_is_numbered_in_many_ranges(spark, monkeypatch):
         assert len(sizes) > 2 and max(sizes) < 20_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_offsets_of_a_million_files_move_no_row(spark, monkeypatch):
+    offsets = materialize(spark.range(1_000_000).select(F.xxhash64("id").alias("_path"), (F.col("id") * 10).alias("_offset")))
+    placed = spark.range(500).select(F.xxhash64(F.col("id") * 1999).alias("_path"), F.lit(3).alias("_index"), F.lit("t").alias("text"))
+    joined = R.at_offsets(placed, offsets)
+    assert "BroadcastHashJoin" in names(joined) and not exchanged(joined)
+    assert {r["_offset"] for r in joined.collect()} == {19990 * i for i in range(500)}
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 1000 * R.OFFSET_BYTES)
+    assert R.at_offsets(placed, offsets).count() == 500
+
+
+def test_running_totals_evaluate_the_input_once(spark, small_blocks):
+    counted = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).selectExpr("'k' as k", "id as i", "double(id) as v").mapInArrow(passing, "k string, i bigint, v double")
+    got = R.running_totals(df, ["k"], "i", {"s": (F.col("v"), "sum")}).collect()
+    assert counted.value == 100 and {r["i"]: r["s"] for r in got} == {i: i * (i + 1) / 2 for i in range(100)}

@@ -2,11 +2,12 @@ import math
 from collections import Counter
 
 import pytest
+from plans import exchanged
 from pyspark.sql import functions as F
 
 from textbench.fixed import LABELS
 from textbench.operators import tokens as TK
-from textbench.operators.generation import generate
+from textbench.operators.generation import generate, generate_stored, stored_outputs
 from textbench.operators.labels import resolve_labels
 from textbench.operators.predictions import baseline_predictions, parse_counts, parse_outputs
 from textbench.plans.prompted import prompted_predictions
@@ -135,7 +136,7 @@ def test_baselines_encode_labels_as_everywhere(spark):
 
 
 def test_prompts_are_spread_over_tasks(spark):
-    df = spark.range(1200).select(F.col("id").alias("row_id"), F.lit("t").alias("text"), F.lit("joy").alias("label"))
+    df = spark.range(1200).selectExpr("id as row_id", "concat('t', id) as text", "'joy' as label")
 
     def echo(prompts):
         from pyspark import TaskContext
@@ -144,6 +145,76 @@ def test_prompts_are_spread_over_tasks(spark):
 
     got = prompted_predictions(df, echo, "m", max_samples=1000, continuation=True).collect()
     assert len(got) == 1000 and len({r["raw_output"] for r in got}) > 5
+    bounded = prompted_predictions(df, echo, "m", continuation=True, tasks=3).collect()
+    assert len(bounded) == 1200 and len({r["raw_output"] for r in bounded}) <= 3
+
+
+def noting(marks, killed_by=None):
+    """Notes each prompt in a file of its own; ends the worker at the prompt ``killed_by``."""
+
+    def answer(prompts):
+        import os
+        import uuid
+
+        for p in prompts:
+            if p == killed_by:
+                os._exit(1)
+            with open(os.path.join(marks, uuid.uuid4().hex), "w") as file:
+                file.write(p)
+        return prompts.str.upper()
+
+    return answer
+
+
+def test_a_second_run_asks_what_the_first_left(spark, tmp_path):
+    """A task is killed; what the others have answered is not asked again."""
+    rows = [(i, f"p{i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id bigint, prompt string").repartition(4)
+    store, (first, second) = str(tmp_path / "store"), (tmp_path / "1", tmp_path / "2")
+    first.mkdir(), second.mkdir()
+    with pytest.raises(Exception, match="(?i)worker|crash|abort"):
+        generate_stored(df, noting(str(first), "p17"), store, prompts_per_task=5)
+    kept = {r["output"].lower() for r in stored_outputs(spark, store).collect()}
+    assert 0 < len(kept) < 40
+    got = generate_stored(df, noting(str(second)), store, prompts_per_task=5).collect()
+    assert sorted((r["row_id"], r["raw_output"]) for r in got) == sorted((i, p.upper()) for i, p in rows)
+    asked = sorted(f.read_text() for f in second.iterdir())
+    assert asked == sorted({p for _, p in rows} - kept)  # each missing prompt, once
+    third = tmp_path / "3"
+    third.mkdir()
+    assert generate_stored(df, noting(str(third)), store).count() == 120
+    assert not list(third.iterdir())
+
+
+def test_refused_prompts_are_asked_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, "good"), (2, "bad one"), (3, None), (4, "good")], "row_id bigint, prompt string")
+    store = str(tmp_path / "store")
+    got = {r["row_id"]: r["raw_output"] for r in generate_stored(df, picky(), store).collect()}
+    assert {k: got[k] for k in (1, 2, 4)} == {1: "GOOD", 2: "neutral", 4: "GOOD"}
+    later = lambda prompts: prompts.map(lambda p: "now")
+    got = {r["row_id"]: r["raw_output"] for r in generate_stored(df, later, store).collect()}
+    assert {k: got[k] for k in (1, 2, 4)} == {1: "GOOD", 2: "now", 4: "GOOD"}
+    assert generate_stored(df.limit(0), picky(), str(tmp_path / "none")).count() == 0
+
+
+def test_encoding_moves_no_text(spark):
+    df = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate([*TEXTS, None, "", "b a c"])], "row_id bigint, text string, label_id int")
+    encoded = TK.encode_tokens(df, TK.token_vocabulary(df, 3), 5, columns=["label_id"])
+    moved = exchanged(encoded)
+    assert moved and not any("text" in columns for columns in moved)
+    got = {r["row_id"]: r for r in encoded.collect()}
+    assert len(got) == df.count()
+    assert {i: r["label_id"] for i, r in got.items()} == {r["row_id"]: r["label_id"] for r in df.collect()}
+    assert all(len(r["input_ids"]) == len(r["attention_mask"]) == 5 for r in got.values())
+
+
+def test_key_tokens_of_thousands_of_labels(spark):
+    df = spark.range(30_000).selectExpr("concat('l', id % 3000) as label", "concat('own', id % 3000 % 26, ' shared tok', id % 7) as text")
+    df = df.withColumn("text", F.translate("text", "0123456789", "abcdefghij"))
+    got = TK.key_tokens(df, None, 2).collect()
+    assert len({r["label"] for r in got}) == 3000 and max(r["rank"] for r in got) == 2
+    some = TK.key_tokens(df, [f"l{i}" for i in range(2500)], 1)
+    assert some.count() == 2500
 
 
 def test_prompted_true_labels_stay(spark):

@@ -584,3 +584,4 @@ from dirty where split = 'test'"""
 
 # a model read back predicts as the one that was saved; SQL cannot say what a model has learned
 ORACLES["save_model"] = sql("select count(*) as n, 0::bigint as n_differing from labelled where split = 'test'")
+ORACLES["generate_stored"] = ORACLES["generate"]

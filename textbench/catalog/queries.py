@@ -23,6 +23,7 @@ from textbench.operators import predictions as P
 from textbench.operators import rows as R
 from textbench.operators import tokens as TK
 from textbench.operators.generation import generate
+from textbench.operators.generation import generate_stored as generate_with_store
 from textbench.plans import prompted as PR
 from textbench.plans import training as TR
 from textbench.session import work_dir
@@ -388,7 +389,7 @@ def early_stop(spark, d):
 @query
 def key_tokens(spark, d):
     rows = X.trainable(spark, d)
-    return TK.key_tokens(rows, TR.label_list(rows), top=10)
+    return TK.key_tokens(rows, None, top=10)
 
 
 # -- sort, limit, sets, sampling -------------------------------------------------------
@@ -538,6 +539,15 @@ def stub_generator():
     return continue_prompts
 
 
+def refusing_generator():
+    """Fails for every prompt."""
+
+    def refuse(prompts):
+        raise RuntimeError("a prompt was asked")
+
+    return refuse
+
+
 @query
 def baseline_predictions_unlisted(spark, d):
     """Where the data have missing texts and a label that is not listed."""
@@ -551,6 +561,16 @@ def generate_(spark, d):
     return generate(prompts, stub_generator()).select("row_id", "raw_output")
 
 
+@query
+def generate_stored(spark, d):
+    """Outputs that a store keeps; a second call finds them all there."""
+    prompts = X.labelled(spark, d).select("row_id", build_prompt(F.col("text"), "few-shot").alias("prompt"))
+    store = work_dir(spark)
+    asked_again = refusing_generator()
+    generate_with_store(prompts, stub_generator(), store)
+    return generate_with_store(prompts, asked_again, store).select("row_id", "raw_output")
+
+
 def _prompted(spark, d):
     test = X.labelled(spark, d).filter(F.col("split") == "test")
     return PR.prompted_predictions(test, stub_generator(), "stub", "few-shot")

@@ -98,11 +98,13 @@ def weighted_sample(
     on any number of partitions. Positions are counted in hash buckets of the row
     id, so no task holds a class. A row of a rare class is drawn very often, so
     its join key is salted: the expected number of copies per key stays below
-    COPIES_PER_KEY however rare the class is. Counting the classes is a job of its
-    own, run when the sample is defined.
+    COPIES_PER_KEY however rare the class is. All of this moves keys only; ``columns``
+    are joined to the drawn ids at the end. Counting the classes is a job of its own,
+    run when the sample is defined.
     """
     k = len(labels)
-    rows = label_in_range(df, k).select("row_id", "label_id", *columns)
+    listed = label_in_range(df, k)
+    rows = listed.select("row_id", "label_id")
     if num_samples is None:
         draw_ids = rows.select(F.col("row_id").alias("draw_id"))
     else:
@@ -142,6 +144,10 @@ def weighted_sample(
         "_salt", F.explode(F.expr(f"sequence(0L, {of_class(salts)} - 1)"))
     )
     # every draw has its row; an inner join would add null checks that compute the draw many times over
-    return draws.join(positioned, ["label_id", "_position", "_salt"], "left").select(
-        "draw_id", "label_id", "row_id", *columns
-    )
+    drawn = draws.join(positioned, ["label_id", "_position", "_salt"], "left").select("draw_id", "label_id", "row_id", "_salt")
+    if not columns:
+        return drawn.drop("_salt")
+    # only keys were sampled; what is carried along is moved once, rows of rare classes in as many copies as they have salts
+    salts_of = F.explode(F.expr(f"sequence(0L, {of_class(salts)} - 1)")).alias("_salt")
+    carried = listed.select("label_id", "row_id", *columns).select("row_id", *columns, salts_of)
+    return drawn.join(carried, ["row_id", "_salt"], "left").select("draw_id", "label_id", "row_id", *columns)

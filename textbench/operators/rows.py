@@ -34,10 +34,11 @@ def running_totals(
     (then it may be a hash, and the order is by block first). Keys must not be NULL.
     Without it, the order column should be dense over long stretches, as row numbers
     and partition-wise ids are: ids strewn over the whole number range would make
-    almost as many blocks as rows.
+    almost as many blocks as rows (``sorted_numbers`` makes them dense).
 
-    The rows are shuffled and sorted once: the join with the offsets needs the
-    partitioning and order that the window has.
+    The input is evaluated once: rows with the totals inside their blocks are written to
+    the shared folder, and the last row of a block has the total of the block. Offsets
+    are a row per block, which adaptive planning broadcasts by their measured size.
     """
     functions = {"sum": F.sum, "max": F.max}
     block = block_of(order) if block is None else block
@@ -45,18 +46,17 @@ def running_totals(
         block = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is NULL"))).otherwise(block)
     blocked = df.withColumn("_block", block)
 
-    per_block = blocked.groupBy(*keys, "_block").agg(
-        *[functions[how](expr).alias(f"_before_{name}") for name, (expr, how) in totals.items()]
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = materialize(
+        blocked.select("*", *[functions[how](expr).over(inside).alias(f"_in_{name}") for name, (expr, how) in totals.items()])
     )
+    per_block = rows.groupBy(*keys, "_block").agg(*[F.max_by(f"_in_{name}", order).alias(f"_before_{name}") for name in totals])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
         *keys,
         "_block",
         *[functions[how](f"_before_{name}").over(earlier).alias(f"_before_{name}") for name, (_, how) in totals.items()],
     )
-
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = blocked.select("*", *[functions[how](expr).over(inside).alias(f"_in_{name}") for name, (expr, how) in totals.items()])
     joined = rows.join(offsets, [*keys, "_block"], "left")  # an inner join would filter the NULL keys away first
 
     def combined(name: str, how: str) -> Column:
@@ -112,14 +112,26 @@ def sorted_numbers(df: DataFrame, order: list[Column | str], name: str = "number
     return numbered.select(*[F.col(c) for c in df.columns], (F.col("_offset") + at).alias(name))
 
 
+#: Bytes of a file's offset, and of all offsets that may be sent to every executor.
+OFFSET_BYTES, BROADCAST_BYTES = 64, 512 * 2**20
+
+
+def at_offsets(placed: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``placed`` with the offset of its file, from ``offsets`` (_path, _offset), a materialized frame.
+
+    Their bytes follow from their number, which is known before the plan is made: up to
+    BROADCAST_BYTES, eight million files, they are sent to the executors and no row is moved.
+    """
+    small = offsets.count() * OFFSET_BYTES <= BROADCAST_BYTES
+    return placed.join(F.broadcast(offsets) if small else offsets, "_path")
+
+
 def row_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """Position of a row in the files of a Parquet source, files in path order.
 
-    Takes a frame straight from ``spark.read.parquet``. The reader knows the
-    position inside the file, so only one row count per file has to be summed up
-    (the window sees one row per file). A file is joined by a hash of its path: 16
-    bytes per file, which adaptive planning broadcasts by their measured size, so that
-    no row is moved.
+    Takes a frame straight from ``spark.read.parquet``. The reader knows the position
+    inside the file, so only one row count per file has to be summed up (the window sees
+    one row per file). Files are joined by a hash of their path; see ``at_offsets``.
     """
     path = F.xxhash64(F.col("_metadata.file_path"))
     placed = df.select("*", path.alias("_path"), F.col("_metadata.row_index").alias("_index"))
@@ -128,7 +140,8 @@ def row_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     offsets = per_file.select(
         F.xxhash64("_path").alias("_path"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    return placed.join(offsets, "_path").withColumn(name, F.col("_offset") + F.col("_index")).drop("_path", "_index", "_offset")
+    numbered = at_offsets(placed, materialize(offsets)).withColumn(name, F.col("_offset") + F.col("_index"))
+    return numbered.drop("_path", "_index", "_offset")
 
 
 def nth_value(df: DataFrame, n: int, order: str) -> int | None:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.functions.labels import label_array
 from textbench.functions.text import tokens
 
 PADDING_ID = 0
@@ -38,55 +37,59 @@ def token_vocabulary(df: DataFrame, size: int) -> DataFrame:
     return top.select("token", (F.row_number().over(by_rank) - 1 + FIRST_ID).cast("bigint").alias("token_id"), "n")
 
 
-def encode_tokens(df: DataFrame, vocabulary: DataFrame, max_length: int, key: str = "row_id") -> DataFrame:
-    """Add input_ids and attention_mask, cut and right-padded to ``max_length``.
+def encode_tokens(
+    df: DataFrame, vocabulary: DataFrame, max_length: int, key: str = "row_id", columns: Sequence[str] = ()
+) -> DataFrame:
+    """(key, *columns, input_ids, attention_mask), ids cut and right-padded to ``max_length``.
 
     ``key`` is unique and not NULL. The first ``max_length`` tokens of each row are
     joined with the vocabulary, whose size the caller chose: the adaptive planner
     broadcasts it if it is small and splits frequent tokens if not. The ids are then
-    gathered by row, at most ``max_length`` of them, with the token's place.
+    gathered by row, at most ``max_length`` of them, with the token's place; a row without
+    tokens has one place without. Texts are read and not moved; ``columns``, small ones
+    such as a label's id, travel with the first place.
     """
-    first = df.select(key, F.posexplode(F.slice(tokens(F.col("text")), 1, max_length)).alias("_place", "token"))
+    parts = F.posexplode_outer(F.slice(tokens(F.col("text")), 1, max_length)).alias("_place", "token")
+    first = df.select(key, *columns, parts)
+    leading = F.coalesce("_place", F.lit(0)) == 0
+    first = first.select(key, "_place", "token", *[F.when(leading, F.col(c)).alias(c) for c in columns])
     known = vocabulary.select("token", F.col("token_id").cast("int").alias("_id"))
-    placed = F.struct("_place", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"))
-    found = first.join(known, "token", "left").groupBy(key).agg(F.sort_array(F.collect_list(placed))["_id"].alias("_ids"))
-    ids = F.coalesce("_ids", F.array().cast("array<int>"))
-    encoded = df.join(found, key, "left").withColumn("_ids", ids)
+    placed = F.when(F.col("_place").isNotNull(), F.struct("_place", F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id")))
+    encoded = first.join(known, "token", "left").groupBy(key).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in columns], F.sort_array(F.collect_list(placed))["_id"].alias("_ids")
+    )
     pad = F.lit(max_length) - F.size("_ids")
-    return encoded.withColumn("input_ids", F.concat("_ids", F.array_repeat(F.lit(PADDING_ID), pad))).withColumn(
-        "attention_mask",
-        F.concat(F.array_repeat(F.lit(1), F.size("_ids")), F.array_repeat(F.lit(0), pad)),
-    ).drop("_ids")
+    return encoded.select(
+        key,
+        *columns,
+        F.concat("_ids", F.array_repeat(F.lit(PADDING_ID), pad)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size("_ids")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
+    )
 
 
-def key_tokens(df: DataFrame, labels: Sequence[str], top: int) -> DataFrame:
-    """The ``top`` most telling tokens of each listed label.
+def key_tokens(df: DataFrame, labels: Sequence[str] | None, top: int) -> DataFrame:
+    """The ``top`` most telling tokens of each listed label, or of each label there is.
 
     Score: log of the odds of the token inside the label over those outside, each
     count plus one. Rounded before ranking, so that equal scores are equal on any
-    engine; ties go in token order. One shuffle by token; scores are ranked in parts of
-    a label first, so that no task sees all tokens of a label, whatever ``top`` is.
+    engine; ties go in token order. Counts are rows (label, token), so plans are the same
+    for six labels and for thousands. They are shuffled by token once, whose rows, one per
+    label, give its total; scores are ranked in parts of a label first, so that no task
+    sees all tokens of a label, whatever ``top`` is.
     """
-    places = range(len(labels))
-    exploded = df.select(
-        (F.array_position(label_array(labels), F.col("label")) - 1).alias("place"), F.explode(tokens(F.col("text"))).alias("token")
-    ).filter("place >= 0")
-    per_token = exploded.groupBy("token").agg(*[F.expr(f"sum(if(place = {i}, 1L, 0L)) as n_{i}") for i in places])
-    totals = per_token.selectExpr(f"struct({', '.join(f'sum(n_{i}) as n_{i}' for i in places)})").scalar()
-
-    n_all, total_all = (" + ".join(f"{prefix}n_{i}" for i in places) for prefix in ("", "totals."))
-    cells = ", ".join(f"struct(labels[{i}] as label, n_{i} as n, totals.n_{i} as label_total)" for i in places)
-    scored = (
-        per_token.select("*", totals.alias("totals"), label_array(labels).alias("labels"))
-        .selectExpr("token", f"{n_all} as n_all", f"{total_all} as all_total", f"inline(array({cells}))")
-        .filter("n > 0")
-        .selectExpr(
-            "label",
-            "token",
-            "n",
-            """round(ln((n + 1.0D) / (label_total - n + 1.0D))
-               - ln((n_all - n + 1.0D) / (all_total - label_total - (n_all - n) + 1.0D)), 6) as score""",
-        )
+    rows = df if labels is None else df.filter(F.col("label").isin(list(labels)))
+    cells = rows.filter("label is not null").select("label", F.explode(tokens(F.col("text"))).alias("token"))
+    cells = cells.groupBy("label", "token").agg(F.count("*").alias("n"))
+    counted = cells.withColumn("n_all", F.sum("n").over(Window.partitionBy("token")))
+    label_totals = cells.groupBy("label").agg(F.sum("n").alias("label_total"))
+    total = label_totals.agg(F.sum("label_total").alias("n")).scalar()
+    scored = counted.join(label_totals, "label").withColumn("all_total", total)
+    scored = scored.selectExpr(
+        "label",
+        "token",
+        "n",
+        """round(ln((n + 1.0D) / (label_total - n + 1.0D))
+           - ln((n_all - n + 1.0D) / (all_total - label_total - (n_all - n) + 1.0D)), 6) as score""",
     )
     best = Window.partitionBy("label").orderBy(F.desc("score"), "token")
     part = F.pmod(F.xxhash64("token"), F.lit(RANKING_PARTS))
