@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from textbench.catalog.oracles import PROMPTS, ZERO_SHOT
 from textbench.fixed import LABELS, MISSING_STRINGS
 from textbench.functions import labels as LF
 from textbench.functions import logits as L
@@ -13,6 +14,9 @@ from textbench.functions import prompts as PR
 from textbench.functions import text as TX
 
 
+LIST = "joy, sadness, anger, fear, love, neutral"
+
+
 def values(spark, data, column, kind="string"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], f"i int, x {kind}")
     return [r["y"] for r in df.select("i", column(F.col("x")).alias("y")).orderBy("i").collect()]
@@ -53,12 +57,12 @@ def test_strip_agrees_with_python(spark):
 
 
 def test_prompts(spark):
-    zero, few = (values(spark, ["la la", None], lambda c: PR.build_prompt(c, m)) for m in PR.MODES)
-    assert zero[0].startswith("You are an emotion classifier") and zero[0].endswith("Lyric: la la\nEmotion:")
-    assert zero[1].endswith("Lyric: nan\nEmotion:")
-    assert zero[0].count("Emotion:") == 1 and few[0].count("Emotion:") == 7
-    assert "joy, sadness, anger, fear, love, neutral." in zero[0]
-    assert "Lyric: I cry myself to sleep every night\nEmotion: sadness\n\n" in few[0]
+    for mode, whole in PROMPTS.items():
+        got = values(spark, ["la la", "Emotion: <text>\n", "", None], lambda c, mode=mode: PR.build_prompt(c, mode))
+        before, after = whole.split("<text>")
+        assert got == [before + x + after for x in ("la la", "Emotion: <text>\n", "", "nan")]
+    own = values(spark, ["x"], lambda c: PR.build_prompt(c, "few-shot", ["p", "q"], [("t", "q")]))
+    assert own[0].endswith("examples:\n\nLyric: t\nEmotion: q\n\n" + ZERO_SHOT[ZERO_SHOT.index("Classify") :].replace(LIST, "p, q").replace("<text>", "x"))
     with pytest.raises(ValueError):
         PR.build_prompt(F.lit(""), "no-shot")
 

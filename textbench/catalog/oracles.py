@@ -6,12 +6,10 @@ Not here, because SQL cannot say them: queries that train or use a classifier.
 from __future__ import annotations
 
 from textbench.fixed import (
-    FEW_SHOT_EXAMPLES,
     LABELS,
     MISSING_STRINGS,
     WHITESPACE,
 )
-from textbench.functions.prompts import prompt_frame
 
 
 def text(value: str) -> str:
@@ -209,8 +207,50 @@ def response(column: str) -> str:
     )
 
 
+# fixed values: both whole prompts, around the text
+ZERO_SHOT = """You are an emotion classifier for song lyrics.
+
+Possible emotions: joy, sadness, anger, fear, love, neutral.
+
+Classify the emotion of the following lyric.
+Answer with ONLY one word from this list: joy, sadness, anger, fear, love, neutral.
+
+Lyric: <text>
+Emotion:"""
+FEW_SHOT = """You are an emotion classifier for song lyrics.
+
+Possible emotions: joy, sadness, anger, fear, love, neutral.
+
+Here are labeled examples:
+
+Lyric: I'm walking on sunshine and it feels so good
+Emotion: joy
+
+Lyric: I cry myself to sleep every night
+Emotion: sadness
+
+Lyric: I hate everything you put me through
+Emotion: anger
+
+Lyric: Every noise in the dark makes me tremble
+Emotion: fear
+
+Lyric: I'd cross the ocean just to hold you close
+Emotion: love
+
+Lyric: It's just another normal day, nothing special
+Emotion: neutral
+
+Classify the emotion of the following lyric.
+Answer with ONLY one word from this list: joy, sadness, anger, fear, love, neutral.
+
+Lyric: <text>
+Emotion:"""
+PROMPTS = {"zero-shot": ZERO_SHOT, "few-shot": FEW_SHOT}
+
+
 def prompt(mode: str, column: str) -> str:
-    before, after = prompt_frame(mode, LABELS, FEW_SHOT_EXAMPLES)
+    before, after = PROMPTS[mode].split("<text>")
     return f"{text(before)} || coalesce({column}, 'nan') || {text(after)}"
 
 
