@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from llm_helpers import prose, shingle_set
 
@@ -66,16 +68,66 @@ def test_components_follow_long_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_members_of_a_bucket_that_meet_no_pivot(spark, documents, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 2)
-    rows = [(i, prose(400 + i, 100), "en", "s") for i in range(8)]
+def test_members_of_a_bucket_that_meet_no_pivot(spark):
+    rows = [(i, prose(400 + i, 100)) for i in range(8)]
     for i in (5, 6, 7):  # a chain of edits from row 4, far from the pivots
         words = rows[i - 1][1].split()
         words[i * 10] = "edited"
-        rows[i] = (i, " ".join(words), "en", "s")
-    sizes = {i: len(shingle_set(t)) for i, t, *_ in rows}
-    members = spark.createDataFrame([(i, sizes[i], [7]) for i in sizes], "id bigint, size int, bands array<bigint>")
-    asked = {(r["a"], r["b"]) for r in N.pivot_pairs(N.buckets(members)).collect()}
+        rows[i] = (i, " ".join(words))
+    members = spark.createDataFrame([(i, len(shingle_set(t)), [7]) for i, t in rows], "id bigint, size int, bands array<bigint>")
+    shared = N.buckets(members)
+    asked = {(r["a"], r["b"]) for r in N.pivot_pairs(shared).collect()}
     assert not asked & {(4, 5), (5, 6), (6, 7)}
-    got = {r["id"]: r["group"] for r in N.linked(members, documents(rows)).collect()}
+    sets = N.shingle_sets(spark.createDataFrame(rows, "id bigint, text string"))
+    got = {r["id"]: r["group"] for r in N.linked(shared, sets).collect()}
     assert got == {4: 4, 5: 4, 6: 4, 7: 4}
+
+
+def _sets(spark, seed, n):
+    """Sets around a few bases, some far and some near; groups at random."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        base, size = r.randrange(3), r.choice([1, 4, 5, 20, 21, 40])
+        own = {1000 * base + k for k in range(size)}
+        for k in range(r.randrange(0, 1 + size // 4)):
+            own.discard(r.choice(sorted(own)))
+            own.add(10_000 + r.randrange(40))
+        rows.append((i, r.randrange(6), sorted(own)))
+    return rows, spark.createDataFrame(rows, "id bigint, `group` bigint, shingles array<bigint>")
+
+
+def test_candidates_hold_all_links_between_groups(spark):
+    rows, sets = _sets(spark, 5, 150)
+    pairs = N.prefix_pairs(sets)
+    asked = {(r["a"], r["b"]) for r in pairs.collect()}
+    near = set()
+    for i, g, x in rows:
+        for j, h, y in rows:
+            shared = len(set(x) & set(y))
+            if i < j and g != h and shared / (len(x) + len(y) - shared) >= 0.8:
+                near.add((i, j))
+    assert near and near <= asked
+    assert all(rows[a][1] != rows[b][1] for a, b in asked)
+    assert {(r["a"], r["b"]) for r in N.verified(pairs, sets).collect()} == near
+
+
+def test_candidates_of_a_crowd_are_few(spark):
+    """A crowd that is one group, and strangers that share its common shingles: nobody meets the crowd's pairs."""
+    r = random.Random(6)
+    base = list(range(60))
+    rows = [(i, 0, sorted({*base, 1000 + i})) for i in range(400)]
+    rows += [(400 + i, 1 + i, sorted({*r.sample(base, 30), *range(2000 + 40 * i, 2030 + 40 * i)})) for i in range(30)]
+    sets = spark.createDataFrame(rows, "id bigint, `group` bigint, shingles array<bigint>")
+    assert N.prefix_pairs(sets).count() < 1000
+
+
+def test_rows_of_one_id_with_different_texts(documents):
+    rows = [(1, prose(81, 60), "en", "a"), (1, prose(82, 60), "de", "b"), (1, prose(83, 60), "de", "b"), (1, prose(82, 60), "fr", "b"), (2, prose(82, 60), "de", "c")]
+    docs = documents(rows).repartition(3)
+    got = N.near_duplicates(docs).collect()
+    assert len(got) == 5
+    kept = N.keep_one(docs).collect()
+    assert sorted(r["text"] for r in kept) == sorted({t for _, t, *_ in rows})
+    again = N.keep_one(docs.repartition(1)).collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, again))

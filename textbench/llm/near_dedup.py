@@ -6,8 +6,9 @@ when no later point can win a slot. Two texts agree in a slot with a probability
 is the probability Jaccard similarity of their weighted shingles. Slots are cut into
 bands; texts that share a band meet in its bucket. First each member is compared with
 the bucket's pivots, its best and its least connected members, which joins most groups.
-Then, in every bucket whose members are still in several groups, all members of
-different groups are compared, so that no link between texts that share a bucket is lost.
+The members of buckets that are then still in several groups are joined on their rarest
+shingles, of which any two texts of the similarity share one, so that no link between
+texts that share a bucket is lost and rows follow real candidates, not pairs of members.
 Pairs are verified on the exact shingle sets, and verified pairs are joined into groups.
 """
 
@@ -29,8 +30,6 @@ BANDS = 16
 ROWS = 4
 SLOTS = BANDS * ROWS
 MARKED = "id bigint, copy string, size int, bands array<bigint>"
-#: Members of a bucket that meet in one task.
-BLOCK = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,13 +79,6 @@ def bands_of(text: str) -> tuple[int, np.ndarray]:
     return len(found), out.view(np.int64)
 
 
-def alike(a: str, b: str) -> float:
-    """Exact Jaccard similarity of two texts' shingle sets."""
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0
-
-
 def row_id(doc_id: Column, text: Column) -> Column:
     """The id; rows without one get a negative number that follows from their text."""
     own = -F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2) - 1
@@ -145,44 +137,93 @@ def pivot_pairs(shared: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def open_pairs(shared: DataFrame, groups: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): all pairs of members of one bucket and of different ``groups`` (id, group).
-
-    Without the pairs ``done`` and those whose numbers of shingles alone rule out the
-    similarity. Texts of a wide bucket share a single one as well, and both members of a
-    pair that is alone in its bucket are pivots. A large bucket is cut into blocks, and
-    every two of them meet in a row group of their own.
-    """
-    rows = shared.filter("not wide and n > 2").join(groups, "id", "left")
-    rows = materialize(rows.select("id", "size", "bucket", "n", F.coalesce("group", "id").alias("group")))
-    still = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.join(still.select("bucket"), "bucket", "left_semi")
-    rows = rows.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
-    a = rows.select("bucket", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), "id", "size", "group")
-    b = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("x"), F.col("block").alias("y"), "id", "size", "group")
-    a, b = a.toDF("bucket", "x", "y", "a", "a_size", "a_group"), b.toDF("bucket", "x", "y", "b", "b_size", "b_group")
-    met = a.join(b, ["bucket", "x", "y"]).filter("a_group != b_group and (x < y or a < b)")
-    met = met.filter(F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity)
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return met.join(done, ["a", "b"], "left_anti")
+def texts_of(documents: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, text) of ``copies`` (id, copy), each text once."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.md5(text).alias("copy"), text.alias("text"))
+    # the copies grow with the input, so the same shuffle serves every size
+    rows = rows.join(copies.select("copy", "id").hint("merge"), "copy")
+    return rows.groupBy("id").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts have at least that exact similarity."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) of (id, text): the hashes of each text's shingles, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column("a_text"), batch.column("b_text"), strict=True)
-            near = pa.array([alike(a.as_py(), b.as_py()) >= similarity for a, b in texts], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
+            sets = [np.unique(shingles(text.as_py())) for text in batch.column("text")]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def _shared_at_least(similarity: float, total: Column) -> Column:
+    """Shingles that two texts with ``total`` in all must share."""
+    return F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+
+
+def rarest(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, group, size, token, place) of ``sets`` (id, group, shingles): so many of the rarest
+    shingles of each that another set of the similarity must hold one of them. Those that
+    no other set has are left out; ``place`` counts them."""
+    tokens = sets.select("id", F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    order = F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order")
+    ordered = tokens.join(counts, "token").groupBy("id").agg(order)
+    size = F.size("order")
+    first = F.slice("order", 1, size - F.ceil(size * similarity - 1e-9).cast("int") + 1)
+    prefixes = ordered.select("id", size.alias("size"), F.posexplode(first).alias("place", "token"))
+    prefixes = prefixes.filter("token.n > 1").select("id", "size", F.col("token.token").alias("token"), "place")
+    return prefixes.join(sets.select("id", "group"), "id")
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = documents.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    # the ids grow with the input, so the same shuffle serves every size
-    texts = materialize(texts.join(asked.hint("merge"), "id", "left_semi"))
-    a, b = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
+
+def prefix_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): all pairs of different groups among ``sets`` (id, group, shingles) that can have
+    the similarity: they share one of their rarest shingles, and neither their sizes nor
+    what stands behind that shingle rules it out.
+
+    Of each shingle's members those of its largest group meet only the others.
+    """
+    rows = materialize(rarest(sets, similarity))
+    per_group = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = per_group.groupBy("token").agg(
+        F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups")
+    )
+    rows = rows.join(largest.filter("groups > 1").select("token", "largest"), "token")
+    own = ["token", "id", "group", "size", "place"]
+    a = rows.filter("group != largest").select(*own).toDF("token", "a", "a_group", "a_size", "a_place")
+    b = rows.select(*own, (F.col("group") == F.col("largest")).alias("of_largest"))
+    b = b.toDF("token", "b", "b_group", "b_size", "b_place", "of_largest")
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    needed = _shared_at_least(similarity, F.col("a_size") + F.col("b_size"))
+    sizes = F.least("a_size", "b_size") >= F.ceil(F.greatest("a_size", "b_size") * similarity - 1e-9)
+    near = (a["token"] == b["token"]) & (F.col("a_group") != F.col("b_group")) & (F.col("of_largest") | (F.col("a") < F.col("b")))
+    met = a.join(b, near & sizes & (left >= needed))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_sets(shared: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, group, shingles) of members of buckets that hold more than one group.
+
+    Texts of a wide bucket share a single one as well, and both members of a pair that is
+    alone in its bucket are pivots.
+    """
+    rows = shared.filter("not wide and n > 2").select("id", "bucket").join(groups, "id", "left")
+    rows = materialize(rows.select("id", "bucket", F.coalesce("group", "id").alias("group")))
+    still = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
+    members = rows.join(still.select("bucket"), "bucket", "left_semi").select("id", "group").distinct()
+    return sets.join(members, "id")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose shingle sets have at least that exact similarity."""
+    a, b = sets.select("id", "shingles").toDF("a", "x"), sets.select("id", "shingles").toDF("b", "y")
+    both = F.size(F.array_intersect("x", "y"))
+    near = both / (F.size("x") + F.size("y") - both) >= similarity
+    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,17 +246,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(members: DataFrame, documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, group) of the members that have a link; see the module.
+def linked(shared: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, group) of the members of buckets that have a link; see the module.
 
-    The second round compares every pair that shares a bucket and that the first left in
-    different groups, so no third can add a link.
+    The second round finds every link between members of a bucket that the first left in
+    different groups, so no third can add one.
     """
-    shared = materialize(buckets(members))
     pairs = materialize(pivot_pairs(shared))
-    groups = components(materialize(verified(pairs, documents, similarity)))
-    rest = materialize(open_pairs(shared, groups, pairs, similarity))
-    links = verified(rest, documents, similarity)
+    groups = components(materialize(verified(pairs, sets, similarity)))
+    rest = materialize(prefix_pairs(materialize(open_sets(shared, groups, sets)), similarity))
+    links = verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity)
     for end in ("a", "b"):
         links = links.join(groups.toDF(end, "group"), end, "left").withColumn(end, F.coalesce("group", end)).select("a", "b")
     merged = components(materialize(links))
@@ -224,33 +264,48 @@ def linked(members: DataFrame, documents: DataFrame, similarity: float = SIMILAR
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``documents``: id, group, n_in_group of texts, keep.
+    """Per row of ``documents``: id, group, keep, copy (a hash of the text).
 
     ``id`` is doc_id (see ``row_id`` for rows without one) and ``group`` the smallest
     id of its group. Equal texts are one text from the start, NULL counts as ''. Texts
     without words are near only to equal texts; fewer than five words are one shingle.
-    Rows that share an id are one document. ``keep`` holds for the group's smallest id.
-    Other columns are ignored; an empty table gives no rows.
+    Rows of one id with different texts are different documents. ``keep`` holds for one
+    text and id of each group: the smallest id's, of several texts that with the least
+    hash; rows equal in both are all marked. Very long texts cost their shingles. Other
+    columns are ignored; an empty table gives no rows.
     """
     marked = materialize(_mark(documents))
     copies = marked.groupBy("copy").agg(F.min("id").alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"))
-    copies = materialize(copies)
-    members = copies.filter(F.size("bands") > 0).select(F.col("first").alias("id"), "size", "bands")
-    groups = linked(members, documents, similarity)
-    named = copies.select("copy", F.col("first").alias("id")).join(groups, "id", "left")
-    named = named.select("copy", F.coalesce("group", "id").alias("group"))
+    # the numbers hold because they are written once
+    copies = materialize(copies.withColumn("id", F.monotonically_increasing_id()))
+    shared = materialize(buckets(copies.filter(F.size("bands") > 0).select("id", "size", "bands")))
+    asked = copies.select("id", "copy").join(shared.select("id").distinct(), "id", "left_semi")
+    sets = materialize(shingle_sets(texts_of(documents, asked)))
+    groups = linked(shared, sets, similarity)
+    named = copies.select("copy", "first", "id").join(groups, "id", "left")
+    named = materialize(named.select("copy", "first", F.coalesce("group", "id").alias("number")))
+    kept = named.groupBy("number").agg(F.min(F.struct("first", "copy")).alias("kept"))
+    named = named.join(kept, "number").select(
+        "copy", F.col("kept.first").alias("group"), (F.col("copy") == F.col("kept.copy")).alias("kept")
+    )
     out = marked.select("id", "copy").join(named, "copy")
-    return out.select("id", "group", (F.col("id") == F.col("group")).alias("keep"), "copy")
+    return out.select("id", "group", (F.col("kept") & (F.col("id") == F.col("group"))).alias("keep"), "copy")
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``documents`` without all but one document of each group, columns unchanged."""
-    kept = near_duplicates(documents, similarity).filter("keep").select("id").distinct()
+    """``documents`` without all but one document of each group, columns unchanged.
+
+    Of rows equal in id and text the one whose columns have the least hash stays.
+    """
+    kept = near_duplicates(documents, similarity).filter("keep").select("id", "copy").distinct()
+    row = F.struct(*(documents[c] for c in documents.columns))
     rows = documents.select(
-        row_id(documents["doc_id"], documents["text"]).alias("row_id"),
-        F.struct(*(documents[c] for c in documents.columns)).alias("row"),
+        row_id(documents["doc_id"], documents["text"]).alias("id"),
+        F.md5(F.coalesce(documents["text"], F.lit(""))).alias("copy"),
+        row.alias("row"),
+        F.xxhash64(F.to_json(row)).alias("order"),
     )
-    rows = rows.join(kept.toDF("row_id"), "row_id", "left_semi").dropDuplicates(["row_id"])
+    rows = rows.join(kept, ["id", "copy"], "left_semi").groupBy("id", "copy").agg(F.min_by("row", "order").alias("row"))
     return rows.select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
