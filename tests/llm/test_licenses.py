@@ -1,3 +1,7 @@
+import random
+import time
+
+import pytest
 from llm_helpers import alnum
 
 from textbench.llm import licenses as L
@@ -38,3 +42,57 @@ def test_suppression_keeps_the_surest():
 
 def test_empty_table(empty):
     assert L.scan(empty).count() == 0
+
+
+def test_rules_are_written_by_hand():
+    """Hundreds of signatures, no two alike, each behind a keyword that its matches hold."""
+    ordered = L.rules()
+    patterns = [(r.label, r.pattern.pattern) for r in ordered]
+    assert len(set(patterns)) == len(patterns) > 300
+    assert len({r.pattern.pattern for r in ordered}) == len(patterns)
+    for label, signatures in L.SIGNATURES.items():
+        for _, keyword, words in signatures:
+            assert keyword in words, (label, words)
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", {"mit", "apache-2", "bsd-3-clause"}),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", {"gpl-2", "gpl-exception"}),
+    ("SPDX-License-Identifier: LGPL-2.1-only\nMPL-2.0", {"lgpl-2.1", "mpl-2"}),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", {"apache-2"}),
+    ("GNU Lesser General Public License, version 2.1", {"lgpl-2.1"}),
+    ("GNU Affero General Public License v3.0 or later", {"agpl-3"}),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", {"cc-by-nc-sa"}),
+    ("released under a 3-clause BSD license", {"bsd-3-clause"}),
+    ("The Software shall be used for Good, not Evil.", {"json"}),
+    ("a summit, a limit, and transmit", set()),
+])
+def test_signatures(text, labels):
+    assert {d.label for d in L.detect(text.lower().encode(), L.rules())} == labels
+
+
+def test_suppression_by_brute_force():
+    r = random.Random(4)
+    for _ in range(300):
+        found = []
+        for _ in range(r.randrange(15)):
+            a = r.randrange(30)
+            found.append(L.Detection(r.choice("abc"), r.choice([30, 60, 60, 80, 100]), a, a + r.randrange(1, 12), r.random() < 0.1))
+        want = []
+        for i, d in enumerate(found):
+            inside = [
+                e for j, e in enumerate(found)
+                if i != j and e.start <= d.start and d.end <= e.end
+                and (e.priority > d.priority or e.priority == d.priority and ((e.start, e.end) != (d.start, d.end) or j < i))
+            ]
+            if d.base or not inside:
+                want.append(d)
+        got = L.resolve(found)
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_many_detections_take_time_in_proportion():
+    data = b"licensed under the mit license. all rights reserved; apache 2.0 " * 20_000
+    began = time.time()
+    assert len(L.detect(data, L.rules())) >= 60_000
+    assert time.time() - began < 20

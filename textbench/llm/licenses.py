@@ -1,8 +1,10 @@
 """License scans by ordered signature rules.
 
-Every rule is a pattern over lower-cased text with a keyword, a label and a priority.
-A text is searched only by rules whose keyword it contains. Detections that overlap are
-resolved: one inside the span of a detection of at least its priority is suppressed.
+Every rule is a hand-written pattern over lower-cased text with a keyword, a label and a
+priority (``license_rules``). A text is searched only by rules whose keyword it contains.
+Identifiers of a license expression, joined by AND, OR and WITH, are detections each.
+Detections that overlap are resolved: one inside the span of a detection of at least its
+priority is suppressed.
 """
 
 from __future__ import annotations
@@ -10,120 +12,46 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textbench.llm.license_rules import IDENTIFIERS, SIGNATURES
 from textbench.llm.words import IS_WORD, TO_LOWER, known_id, spans, with_missing_ids
 
 # fixed values: the base's phrases and labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# names by which licenses go, words with gaps between them
-NAMES = {
-    "mit": ["mit", "expat", "x11"],
-    "apache-2": ["apache 2", "apache 2 0", "apache license 2 0", "apache software license 2 0", "asl 2 0"],
-    "apache-1.1": ["apache 1 1", "apache software license 1 1"],
-    "bsd-2-clause": ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"],
-    "bsd-3-clause": ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"],
-    "bsd-4-clause": ["bsd 4 clause", "4 clause bsd", "original bsd"],
-    "bsd": ["bsd", "bsd style"],
-    "0bsd": ["0bsd", "zero clause bsd"],
-    "isc": ["isc"],
-    "zlib": ["zlib", "zlib libpng"],
-    "boost-1": ["boost software", "bsl 1 0", "boost 1 0"],
-    "gpl-1": ["gpl 1", "gplv1", "gnu general public license v1", "gnu general public license version 1"],
-    "gpl-2": ["gpl 2", "gplv2", "gpl v2", "gpl 2 0", "gnu gpl v2", "gnu general public license v2", "gnu general public license version 2"],
-    "gpl-3": ["gpl 3", "gplv3", "gpl v3", "gpl 3 0", "gnu gpl v3", "gnu general public license v3", "gnu general public license version 3"],
-    "gpl": ["gpl", "gnu gpl", "gnu general public"],
-    "lgpl-2.1": ["lgpl 2 1", "lgplv2 1", "gnu lesser general public license version 2 1"],
-    "lgpl-3": ["lgpl 3", "lgplv3", "lgpl 3 0", "gnu lesser general public license version 3"],
-    "lgpl": ["lgpl", "gnu lgpl", "gnu lesser general public", "gnu library general public"],
-    "agpl-3": ["agpl 3", "agplv3", "agpl 3 0", "gnu affero general public license version 3"],
-    "agpl": ["agpl", "gnu affero general public"],
-    "mpl-1.1": ["mpl 1 1", "mozilla public license 1 1", "mozilla public license version 1 1"],
-    "mpl-2": ["mpl 2 0", "mpl 2", "mozilla public license 2 0", "mozilla public license version 2 0"],
-    "epl-1": ["epl 1 0", "eclipse public license 1 0", "eclipse public license v1 0"],
-    "epl-2": ["epl 2 0", "eclipse public license 2 0", "eclipse public license v2 0"],
-    "cddl-1": ["cddl", "cddl 1 0", "common development and distribution"],
-    "eupl-1.2": ["eupl", "eupl 1 2", "european union public"],
-    "artistic-2": ["artistic 2 0", "artistic license 2 0"],
-    "unlicense": ["unlicense"],
-    "wtfpl": ["wtfpl", "do what the fuck you want to public"],
-    "cc0-1": ["cc0", "cc0 1 0", "creative commons zero"],
-    "cc-by-4": ["cc by 4 0", "creative commons attribution 4 0", "creative commons attribution 4 0 international"],
-    "cc-by-3": ["cc by 3 0", "creative commons attribution 3 0"],
-    "cc-by-sa": ["cc by sa", "cc by sa 4 0", "cc by sa 3 0", "creative commons attribution sharealike"],
-    "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives"],
-    "cc-by-nc": ["cc by nc 4 0", "creative commons attribution noncommercial"],
-    "cc-by-nc-sa": ["cc by nc sa", "creative commons attribution noncommercial sharealike"],
-    "cc-by-nc-nd": ["cc by nc nd", "creative commons attribution noncommercial noderivatives"],
-    "cc-by": ["cc by", "creative commons attribution"],
-    "odbl": ["odbl", "open database"],
-    "ofl-1.1": ["ofl 1 1", "sil open font", "open font"],
-    "python-2": ["psf", "python software foundation"],
-    "openssl": ["openssl"],
-    "postgresql": ["postgresql"],
-    "ms-pl": ["ms pl", "microsoft public"],
-}
-# how a text names a license: priority, keyword, form; _ stands for a gap between words
-FORMS = [
-    (90, "spdx", "spdx_license_identifier_{name}"),
-    (80, "under", "(?:licensed|released|distributed|available|published|provided|covered)_under_(?:the_)?(?:terms_of_)?(?:the_)?{name}(?:_licen[cs]e)?"),
-    (60, "under", "under_(?:the_)?(?:terms_of_)?(?:the_)?{name}_licen[cs]e"),
-    (50, "licen", "licen[cs]e_{name}"),
-    (40, "licen", "{name}_licen[cs]e"),
-]
-# wording of license texts and notices: label, words
-TEXTS = {
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy", "the above copyright notice and this permission notice shall be included in all"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification", "redistributions of source code must retain the above copyright"],
-    "bsd-3-clause": ["neither the name of", "may be used to endorse or promote products derived from this software"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose"],
-    "apache-2": ["unless required by applicable law or agreed to in writing software", "www apache org licenses license 2 0"],
-    "gpl": ["this program is free software you can redistribute it and or modify", "you should have received a copy of the gnu general public"],
-    "lgpl": ["this library is free software you can redistribute it and or modify"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "public-domain": ["released into the public domain", "dedicated to the public domain", "is in the public domain", "placed in the public domain"],
-    "proprietary": ["all rights reserved", "confidential and proprietary", "unauthorized copying of this file", "may not be reproduced without permission", "no part of this publication may be reproduced"],
-    "cc-by-4": ["creativecommons org licenses by 4 0"],
-    "cc-by-sa": ["creativecommons org licenses by sa"],
-    "cc-by-nc": ["creativecommons org licenses by nc"],
-    "cc0-1": ["creativecommons org publicdomain zero"],
-    "copyright": ["copyright c", "copyright by", "copyright holder"],
-}
-
 GAP = r"[^0-9a-z\x80-\xff]+"
 BEFORE, BEHIND = r"(?<![0-9a-z\x80-\xff])", r"(?![0-9a-z\x80-\xff])"
-BASE_PRIORITY = 100
+BASE_PRIORITY, IDENTIFIER_PRIORITY = 100, 90
+EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n\"'*<>;]{1,400})")
+IDENTIFIER = re.compile(rb"[0-9a-z][0-9a-z.-]*[0-9a-z]|[0-9a-z]")
+OPERATORS = {b"and", b"or", b"with"}
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
-    keywords: tuple[bytes, ...]
+    keyword: bytes
     pattern: re.Pattern[bytes]
     base: bool = False
 
 
-def _rule(label: str, priority: int, form: str, name: str, *keywords: str, base: bool = False) -> Rule:
-    words = form.format(name=name.replace(" ", "_")).replace("_", GAP)
-    longest = max(name.split(), key=len)
-    gates = tuple(k.encode() for k in (longest, *keywords))
-    return Rule(label, priority, gates, re.compile((BEFORE + words + BEHIND).encode()), base)
+def _rule(label: str, priority: int, keyword: str, words: str, base: bool = False) -> Rule:
+    # an optional gap may also be none
+    pattern = words.replace("_?", f"(?:{GAP})?").replace("_", GAP)
+    return Rule(label, priority, keyword.encode(), re.compile(BEFORE.encode() + pattern.encode() + BEHIND.encode()), base)
 
 
 def rules() -> list[Rule]:
-    """All rules in order: the base's, then by priority, then longer names first."""
-    out = [_rule(label, BASE_PRIORITY, "{name}", words, base=True) for words, label in BASE.items()]
-    for priority, keyword, form in FORMS:
-        named = [(label, name) for label, names in NAMES.items() for name in names]
-        out += [_rule(label, priority, form, name, keyword) for label, name in sorted(named, key=lambda x: -len(x[1]))]
-    out += [_rule(label, 70, "{name}", words) for label, texts in TEXTS.items() for words in texts]
+    """All rules in order: the base's, then by priority, then as they are listed."""
+    out = [_rule(label, BASE_PRIORITY, max(words.split(), key=len), words.replace(" ", "_"), True) for words, label in BASE.items()]
+    out += [_rule(label, *signature) for label, signatures in SIGNATURES.items() for signature in signatures]
     return sorted(out, key=lambda rule: -rule.priority)
 
 
@@ -136,27 +64,58 @@ class Detection:
     base: bool
 
 
-def detect(data: bytes, ordered: list[Rule]) -> list[Detection]:
-    """Detections in lower-cased UTF-8, those inside an earlier rule's detection suppressed.
+def identifiers(data: bytes) -> Iterator[Detection]:
+    """The known identifiers of all license expressions, with or without what versions
+    are meant (+, -only, -or-later)."""
+    for m in EXPRESSION.finditer(data):
+        for name in IDENTIFIER.finditer(m[1]):
+            if name[0] in OPERATORS:
+                continue
+            plain = name[0].decode().removesuffix("-only").removesuffix("-or-later")
+            if plain in IDENTIFIERS:
+                yield Detection(IDENTIFIERS[plain], IDENTIFIER_PRIORITY, m.start(1) + name.start(), m.start(1) + name.end(), False)
 
-    Detections of the base are never suppressed.
-    """
+
+def search(data: bytes, ordered: list[Rule]) -> list[Detection]:
+    """Everything that the rules find in lower-cased UTF-8, in their order."""
     present: dict[bytes, bool] = {}
-    kept: list[Detection] = []
+    found = list(identifiers(data)) if b"spdx-license" in data else []
     for rule in ordered:
-        for keyword in rule.keywords:
-            if keyword not in present:
-                present[keyword] = keyword in data
-            if not present[keyword]:
-                break
-        else:
-            for m in rule.pattern.finditer(data):
-                a, b = m.span()
-                if rule.base or not any(d.start <= a and b <= d.end for d in kept):
-                    kept.append(Detection(rule.label, rule.priority, a, b, rule.base))
+        if rule.keyword not in present:
+            present[rule.keyword] = rule.keyword in data
+        if present[rule.keyword]:
+            found += [Detection(rule.label, rule.priority, *m.span(), rule.base) for m in rule.pattern.finditer(data)]
+    return found
+
+
+def resolve(found: list[Detection]) -> list[Detection]:
+    """``found`` without detections inside one of at least their priority, by place.
+
+    Of equal spans and priorities the first stays. Detections of the base always do. One
+    sweep for each priority: the intervals kept so far, by start, with the greatest end
+    up to each, tell what lies inside one of them.
+    """
+    kept: list[Detection] = []
+    starts = ends = np.zeros(0, dtype=np.int64)
+    for _, level in groupby(sorted(found, key=lambda d: -d.priority), key=lambda d: d.priority):
+        level = sorted(level, key=lambda d: (d.start, -d.end))  # what contains another comes first
+        reach = -1
+        for d, at in zip(level, np.searchsorted(starts, [d.start for d in level], side="right"), strict=True):
+            inside = d.end <= reach or at > 0 and d.end <= ends[at - 1]
+            reach = max(reach, d.end)
+            if d.base or not inside:
+                kept.append(d)
+        order = sorted((d.start, d.end) for d in kept)
+        starts = np.array([a for a, _ in order], dtype=np.int64)
+        ends = np.maximum.accumulate(np.array([b for _, b in order], dtype=np.int64))
     return sorted(kept, key=lambda d: (d.start, -d.end))
 
 
+def detect(data: bytes, ordered: list[Rule]) -> list[Detection]:
+    """Detections in lower-cased UTF-8 that are not suppressed."""
+    return resolve(search(data, ordered))
+
+
 _LOWER = bytes(TO_LOWER.tolist())
 KINDS = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
@@ -169,8 +128,9 @@ def scan(documents: DataFrame) -> DataFrame:
 
     Words are counted over the whole text, lower-cased in A-Z only; detections tell
     their first and last word. ``score`` is the surest detection's priority over 100,
-    0 without any. NULL and empty texts have no words and no labels; repeated rows
-    stay; other columns are ignored.
+    0 without any. NULL and empty texts have no words and no labels; very long texts are
+    searched whole, in time about in proportion; ties are resolved as ``resolve`` says;
+    repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     ordered = rules()
 
