@@ -1,4 +1,5 @@
 import re
+import time
 
 from textbench.llm import secrets as S
 
@@ -28,14 +29,14 @@ def test_owners_tell_copied_from_live(documents, odd_rows):
         (20, f"token = {KEY} here", "en", "a"), (21, f"see {KEY}", "en", "b"), (22, f"key {other}", "en", "a"),
         (22, f"key {other}", "en", "a"), (23, f"same {other} again", "en", "a"), (24, "password=aaaaaaaa", "en", None),
     ]
-    got = S.judge(documents(rows).repartition(3))
+    got = S.judge(documents(rows).repartition(3), many_owners=2)
     verdicts = {(r["doc_id"], s["kind"]): s["verdict"] for r in got.collect() for s in r["spans"]}
     assert verdicts == {
         (20, "assign"): "copied", (20, "hex"): "copied", (21, "hex"): "copied", (22, "hex"): "live", (23, "hex"): "live", (24, "assign"): "weak",
     }
     assert got.count() == len(rows)
     docs = documents(rows)
-    masked = S.redact(docs)
+    masked = S.redact(docs, many_owners=2)
     assert masked.columns == docs.columns and masked.count() == len(rows)
     after = {r["doc_id"]: (r["text"], r["n_chars"]) for r in masked.collect() if r["doc_id"] is not None}
     assert after[22] == ("key <secret>", 12) and after[24][0] == "<secret>" and after[20][0] == f"token = {KEY} here"
@@ -69,3 +70,32 @@ def test_private_keys_are_values_of_their_own(documents):
     assert spans == {1: ["live"], 2: ["live"], 3: ["live"]}
     texts = {r["doc_id"]: r["text"].strip() for r in S.redact(docs).collect()}
     assert texts == {1: "a <secret> b", 2: "c <secret> d", 3: "e <secret>"}
+
+
+def test_only_wide_copies_stay(documents):
+    """A real secret in a few texts of a few sources is masked; an example that many have is not."""
+    other = KEY[::-1]
+    rows = [(i, f"text {i} has {KEY} in it", "en", f"s{i}") for i in range(2)]
+    rows += [(10 + i, f"page {i} shows {other} to all", "en", f"s{i}") for i in range(S.MANY_OWNERS)]
+    after = {r["doc_id"]: r["text"] for r in S.redact(documents(rows).repartition(3)).collect()}
+    assert all(after[i] == f"text {i} has <secret> in it" for i in range(2))
+    assert all(after[10 + i] == rows[2 + i][1] for i in range(S.MANY_OWNERS))
+
+
+def test_owners_and_repositories_count_apart(documents):
+    """Many owners of one repository, and one owner of many, are no wide copies."""
+    names = ["fork of one", *(f"r{i}" for i in range(3))]
+    rows = [(i, f"text {i} {KEY}", names[0], f"o{i}") for i in range(3)]
+    rows += [(10 + i, f"text {i} {KEY[::-1]}", names[1 + i], "o") for i in range(3)]
+    rows += [(20 + i, f"text {i} {KEY[2:] + KEY[:2]}", names[1 + i], f"o{i}") for i in range(3)]
+    got = S.judge(documents(rows), repository="lang", many_owners=3).collect()
+    assert {r["doc_id"]: r["spans"][0]["verdict"] for r in got} == {
+        **dict.fromkeys((0, 1, 2, 10, 11, 12), "live"), **dict.fromkeys((20, 21, 22), "copied"),
+    }
+
+
+def test_long_texts_take_time_in_proportion():
+    began = time.time()
+    for text in ("eyJ" * 200_000, "eyJaaaaaaaa." * 50_000, "-----BEGIN " * 30_000, "a://" * 100_000, "AKIA" * 100_000):
+        S.scan(text)
+    assert time.time() - began < 10

@@ -40,7 +40,7 @@ PRIVATE_KEY = re.compile(
 _GAPS = re.compile(_GAP + "+")
 # patterns of this operator: (kind, what must be in the text, pattern, group with the value)
 MORE = [
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
     ("forge_token", "_", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{30,}"), 0),
     ("chat_token", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0),
     ("map_key", "AIza", re.compile(r"AIza[A-Za-z0-9_-]{30,}"), 0),
@@ -50,13 +50,13 @@ MORE = [
 ]
 KINDS = [*BASE, "private_key", *(kind for kind, *_ in MORE)]
 MIN_VALUE = 6
-#: Owners from which on a value counts as widely copied.
-MANY_OWNERS = 2
+#: Owners, and repositories, from which on a value counts as widely copied.
+MANY_OWNERS = 5
 #: Bits per character from which on a value looks random.
 RANDOM_BITS = 2.5
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\.{3,}|example|changeme|your[_-]|dummy|sample|placeholder|^(.)\1*$")
 
-FOUND = "doc_id bigint, text_hash bigint, owner string, spans array<struct<kind:string,start:int,end:int,value:string,random:boolean>>"
+FOUND = "doc_id bigint, text_hash bigint, owner string, repository string, spans array<struct<kind:string,start:int,end:int,value:string,random:boolean>>"
 _HEX_RUN = re.compile(rb"h{24}")
 _AS_HEX = bytes(0x68 if i in b"0123456789abcdef" else 0x20 for i in range(256))
 
@@ -88,8 +88,9 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def find(documents: DataFrame, owner: str = "source") -> DataFrame:
-    """Per row: doc_id, text_hash, owner and its spans; values as hashes."""
+def find(documents: DataFrame, owner: str = "source", repository: str | None = None) -> DataFrame:
+    """Per row: doc_id, text_hash, owner, repository and its spans; values as hashes. Without
+    a column for it a distinct text is a repository of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,26 +102,34 @@ def find(documents: DataFrame, owner: str = "source") -> DataFrame:
                 for text in batch["text"]
             ]
             names = ("kind", "start", "end", "value", "random")
-            out = batch[["doc_id", "text_hash", "owner"]].copy()
+            out = batch[["doc_id", "text_hash", "owner", "repository"]].copy()
             out["spans"] = [[dict(zip(names, s, strict=True)) for s in row] for row in spans]
             yield out
 
     text = F.coalesce("text", F.lit(""))
+    place = F.col(repository) if repository else F.xxhash64(text)
     rows = documents.select(
-        known_id(F.col("doc_id")), F.xxhash64(text).alias("text_hash"), F.col(owner).cast("string").alias("owner"), text.alias("text")
+        known_id(F.col("doc_id")),
+        F.xxhash64(text).alias("text_hash"),
+        F.col(owner).cast("string").alias("owner"),
+        place.cast("string").alias("repository"),
+        text.alias("text"),
     )
     return with_missing_ids(rows.mapInPandas(run, FOUND))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_texts, n_owners) of each candidate value over the whole corpus.
+    """(value, n_texts, n_repositories, n_owners) of each candidate value over the whole corpus.
 
     A distinct text gives one owner, however many sources copy it: if some owner has all
     texts of a value it is the only one, else each text counts for its least owner.
     Counted in steps that combine before each shuffle, so neither an owner with a third
     of the rows nor a value that many rows have is gathered in one task.
     """
-    values = found.select("text_hash", "owner", F.explode("spans.value").alias("value")).distinct()
+    seen = found.select("text_hash", "owner", "repository", F.explode("spans.value").alias("value")).distinct()
+    values = seen.select("text_hash", "owner", "value").distinct()
+    places = seen.filter("repository is not null").select("value", "repository").distinct()
+    places = places.groupBy("value").agg(F.count(F.lit(1)).alias("n_repositories"))
     texts = values.select("value", "text_hash").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_texts"))
     owned = values.filter("owner is not null")
     first = owned.groupBy("value", "text_hash").agg(F.min("owner").alias("owner"))
@@ -129,20 +138,28 @@ def ownership(found: DataFrame) -> DataFrame:
     most = owned.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max("n").alias("most"))
     one = F.when(F.col("most") == F.col("n_owned"), F.lit(1)).otherwise(F.col("n_first"))
     owners = first.join(most, "value").select("value", one.cast("bigint").alias("n_owners"))
-    return texts.join(owners, "value", "left").select("value", "n_texts", F.coalesce("n_owners", F.lit(0)).cast("bigint").alias("n_owners"))
+    joined = texts.join(places, "value", "left").join(owners, "value", "left")
+    counted = (F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_repositories", "n_owners"))
+    return joined.select("value", "n_texts", *counted)
 
 
-def judge(documents: DataFrame, owner: str = "source") -> DataFrame:
+def judge(
+    documents: DataFrame, owner: str = "source", repository: str | None = None, many_owners: int = MANY_OWNERS
+) -> DataFrame:
     """Per row of ``documents``: doc_id, text_hash, spans with a verdict each.
 
-    ``verdict`` is 'live' for random-looking values of one owner (or of rows without
-    one), 'copied' for values that several owners have, and 'weak' for the others.
-    NULL and empty texts have no spans; repeated rows stay; other columns are ignored.
+    ``verdict`` is 'copied' for values that at least ``many_owners`` owners have, in as
+    many repositories, or in as many distinct texts where no column names them; 'live' for
+    other random-looking values, however many rows of a few owners hold them; and 'weak'
+    for the rest. Rows without an owner or a repository add none. NULL and empty texts
+    have no spans, long ones are scanned whole; repeated rows stay; other columns are
+    ignored; an empty table gives no rows.
     """
-    found = materialize(find(documents, owner))
+    found = materialize(find(documents, owner, repository))
     values = found.select(F.explode("spans").alias("s")).select("s.value", "s.random").distinct()
+    copied = F.least("n_owners", "n_repositories") >= many_owners
     verdict = (
-        F.when(F.col("n_owners") >= MANY_OWNERS, "copied").when(F.col("random"), "live").otherwise("weak")
+        F.when(copied, "copied").when(F.col("random"), "live").otherwise("weak")
     )
     verdicts = values.join(ownership(found), "value").select("value", verdict.alias("verdict"), "n_texts", "n_owners")
     keys = ["doc_id", "text_hash"]
@@ -160,12 +177,19 @@ def judge(documents: DataFrame, owner: str = "source") -> DataFrame:
     return rows.join(told, same, "left").select(rows["doc_id"], rows["text_hash"], F.coalesce("spans", none).alias("spans"))
 
 
-def redact(documents: DataFrame, owner: str = "source", mark: str = "<secret>") -> DataFrame:
+def redact(
+    documents: DataFrame,
+    owner: str = "source",
+    mark: str = "<secret>",
+    repository: str | None = None,
+    many_owners: int = MANY_OWNERS,
+) -> DataFrame:
     """``documents`` with every span replaced by ``mark``, unless its value is widely copied.
 
-    ``n_chars`` follows the text; other columns and clean rows stay as they are.
+    ``n_chars`` follows the text; other columns and clean rows stay as they are; an empty
+    table stays empty.
     """
-    spans = judge(documents, owner)
+    spans = judge(documents, owner, repository, many_owners)
     live = spans.select("doc_id", "text_hash", F.filter("spans", lambda s: s["verdict"] != "copied").alias("spans"))
     live = live.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     live = live.select(F.col("doc_id").alias("live_id"), F.col("text_hash").alias("live_hash"), F.col("spans").alias("live"))
