@@ -26,8 +26,8 @@ LONGEST = 3
 #: Rows of each language that weights are fitted on, and of those the share for calibration.
 SAMPLE_PER_LANGUAGE = 400
 CALIBRATION_SHARE = 0.25
-#: Languages that a model can have; more is an error, not a silent cut.
-LANGUAGES_AT_MOST = 500
+#: Languages that a model learns, those with the most rows.
+LANGUAGES = 500
 UNKNOWN = "und"
 #: A document is rejected when its language is unknown or its score lower.
 ACCEPTED_SCORE = 0.5
@@ -167,20 +167,22 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return found.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[Ftrl, np.ndarray] | None:
+def train(
+    documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES
+) -> tuple[Ftrl, np.ndarray] | None:
     """A model and its inverse document frequencies; None if nothing can be learned.
 
     Learns from text and lang of rows that are not held out, have a language and a
-    letter. The driver receives ``DIMENSIONS`` counts at most and, per language,
-    ``per_language`` texts.
+    letter. Of more than ``languages`` values of lang the most frequent are learned, ties
+    in their order: rare ones are hardly languages. The driver receives ``DIMENSIONS``
+    counts at most and, per language, ``per_language`` texts.
     """
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES_AT_MOST + 1).collect()
-    if len(totals) > LANGUAGES_AT_MOST:
-        raise ValueError(f"more than {LANGUAGES_AT_MOST} languages")
+    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not totals:
         return None
-    near = thinned(rows, "lang", {r["lang"]: r["n"] for r in totals}, per_language, F.xxhash64("text", "doc_id"))
+    learned = rows.filter(F.col("lang").isin([r["lang"] for r in totals]))
+    near = thinned(learned, "lang", {r["lang"]: r["n"] for r in totals}, per_language, F.xxhash64("text", "doc_id"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     sample = near.select("lang", "text", "draw").withColumn("place", place).filter(F.col("place") <= per_language)
     sample = materialize(sample)
@@ -210,7 +212,9 @@ def identify(documents: DataFrame, trained: tuple[Ftrl, np.ndarray] | None = Non
     """Per row of ``documents``: doc_id, held_out, text_hash, lang_pred, score.
 
     Texts that are NULL or have no letter get ``und`` and score 0, as do all texts when
-    there is nothing to learn from. Repeated rows stay; whole texts are read.
+    there is nothing to learn from. Of equal scores the language that sorts first is told.
+    Repeated rows stay; whole texts are read; other columns are ignored; an empty table
+    gives no rows.
     """
     model = trained or train(documents)
 
@@ -236,19 +240,24 @@ def identify(documents: DataFrame, trained: tuple[Ftrl, np.ndarray] | None = Non
 
 
 def keep_accepted(documents: DataFrame, accepted: float = ACCEPTED_SCORE) -> DataFrame:
-    """``documents`` without those of unknown language or a score below ``accepted``."""
+    """``documents`` without those of unknown language or a score below ``accepted``.
+
+    With no language to learn from, none is judged, and only texts without a letter go.
+    Columns and rows stay as they are; an empty table stays empty.
+    """
     model = train(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for text in batch.column("text"):
+                if model is None:
+                    keep.append(features(text.as_py()) is not None)
+                    continue
                 v = vector(text.as_py(), model[1])
                 keep.append(v is not None and model[0].predict(*v)[1] >= accepted)
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    if model is None:
-        return documents.limit(0)
     return documents.mapInArrow(run, documents.schema)
 
 
