@@ -111,3 +111,15 @@ def test_wide_confusion(frame):
     wide = {r["true_label"]: r for r in M.confusion_matrix_wide(frame(pairs(FEW_SHOT) + [("joy", "odd"), ("joy", None)])).collect()}
     assert wide["joy"]["pred_joy"] == 18 and wide["joy"]["pred_other"] == 2
     assert wide["neutral"]["pred_neutral"] == 5 and wide["love"]["pred_love"] == 0
+
+
+def test_figures_of_thousands_of_labels(spark):
+    df = spark.range(40_000).selectExpr(
+        "'m' as model", "id as row_id", "concat('l', id % 4000) as true_label", "concat('l', (id + id div 20000) % 4000) as pred_label"
+    )
+    got = {r["label"]: r for r in M.observed_metrics(df).collect()}
+    assert len(got) == 4000 and all(r["precision"] == r["recall"] == r["f1"] == 0.5 and r["support"] == 10 for r in got.values())
+    row = M.macro_f1_observed(df).first()
+    assert (row["n_labels"], row["macro_f1_observed"]) == (4000, 0.5)
+    with pytest.raises(ValueError, match="too many"):
+        M.per_class_metrics(df, [f"l{i}" for i in range(4000)])

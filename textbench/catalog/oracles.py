@@ -459,6 +459,18 @@ from per_class""",
         per_class(),
     ),
     "macro_f1": sql("select model, round(macro_f1, 6) as macro_f1 from summary", per_class()),
+    "observed_metrics": sql(
+        """select model, label, round(coalesce(tp / nullif(predicted, 0), 0), 6) as precision, round(coalesce(tp / nullif(support, 0), 0), 6) as recall,
+  round(2 * tp / (support + predicted), 6) as f1, support::bigint as support, predicted::bigint as predicted
+from (
+  select model, label, count(*) filter (side = 't') as support, count(*) filter (side = 'p') as predicted,
+    count(*) filter (side = 't' and hit) as tp
+  from (
+    select model, true_label as label, 't' as side, true_label = pred_label as hit from predictions
+    union all select model, pred_label, 'p', false from predictions
+  ) group by model, label
+)"""
+    ),
     "macro_f1_observed": sql(
         "select model, count(*) as n_labels, round(avg(f1), 6) as macro_f1_observed from per_class where support + predicted > 0 group by model",
         per_class(),

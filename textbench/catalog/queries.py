@@ -300,6 +300,11 @@ def macro_f1(spark, d):
     return rounded(M.macro_f1(X.predictions(spark, d)))
 
 
+@query
+def observed_metrics(spark, d):
+    return rounded(M.observed_metrics(X.predictions(spark, d)))
+
+
 @query
 def macro_f1_observed(spark, d):
     return rounded(M.macro_f1_observed(X.predictions(spark, d)))

@@ -33,14 +33,22 @@ def confusion_matrix_wide(predictions: DataFrame, labels: Sequence[str] = LABELS
     )
 
 
+#: Labels whose figures may stand in columns: seven for each, in one plan.
+LABELS_IN_COLUMNS = 200
+
+
 def model_figures(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """One wide row per model, from which all metrics are read.
 
     n, the averages, ``outside`` (how many true and predicted labels the list does
     not have), and for the label at place i: precision_i, recall_i, f1_i, support_i.
     The label list is known at plan time, so absent labels need no join, and all
-    sums over the labels are plain compiled arithmetic.
+    sums over the labels are plain compiled arithmetic. That is for lists of up to
+    LABELS_IN_COLUMNS; vocabularies that only the data know can have thousands of
+    labels, and their figures are rows (``observed_metrics``, ``macro_f1_observed``).
     """
+    if len(labels) > LABELS_IN_COLUMNS:
+        raise ValueError(f"{len(labels)} labels are too many for columns; see observed_metrics")
     places = range(len(labels))
 
     def over_labels(term: str) -> str:
@@ -126,15 +134,32 @@ def weighted_f1(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataF
     return metrics_summary(predictions, labels).select("model", "weighted_f1")
 
 
-def macro_f1_observed(predictions: DataFrame) -> DataFrame:
-    """Mean F1 over the labels that occur as true or predicted label of the model; needs no label list."""
+def observed_metrics(predictions: DataFrame) -> DataFrame:
+    """(model, label, precision, recall, f1, support, predicted) of every label that occurs
+    as true or predicted label of the model, however many there are; 0/0 is 0. A missing
+    label is one of its own, and never right."""
     sides = confusion_matrix(predictions).selectExpr(
         "model",
-        """inline(array(struct(true_label as label, n, case when true_label = pred_label then n else 0L end as tp),
-                        struct(pred_label as label, n, 0L as tp)))""",
+        """inline(array(struct(true_label as label, n as support, 0L as predicted, if(true_label = pred_label, n, 0L) as tp),
+                        struct(pred_label as label, 0L as support, n as predicted, 0L as tp)))""",
     )
-    per_label = sides.groupBy("model", "label").agg((2 * F.sum("tp") / F.sum("n")).alias("f1"))
-    return per_label.groupBy("model").agg(F.count("*").alias("n_labels"), F.avg("f1").alias("macro_f1_observed"))
+    sums = sides.groupBy("model", "label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+    ratio = "if({whole} > 0, tp / {whole}, 0.0D) as {name}"
+    return sums.selectExpr(
+        "model",
+        "label",
+        ratio.format(whole="predicted", name="precision"),
+        ratio.format(whole="support", name="recall"),
+        "2 * tp / (support + predicted) as f1",
+        "support",
+        "predicted",
+    )
+
+
+def macro_f1_observed(predictions: DataFrame) -> DataFrame:
+    """Mean F1 over the labels that occur as true or predicted label of the model; needs no label list."""
+    per_label = observed_metrics(predictions).groupBy("model")
+    return per_label.agg(F.count("*").alias("n_labels"), F.avg("f1").alias("macro_f1_observed"))
 
 
 def evaluate_predictions(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:

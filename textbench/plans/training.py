@@ -16,7 +16,7 @@ from textbench.operators.balance import attach_class_weight, class_weights, weig
 from textbench.operators.compare import compare_models
 from textbench.operators.labels import resolve_labels
 from textbench.operators.linear import SoftmaxModel, Steps, document_frequencies, inverse_frequencies, one_pass, terms
-from textbench.operators.metrics import classification_report, macro_f1_observed
+from textbench.operators.metrics import LABELS_IN_COLUMNS, classification_report, macro_f1_observed
 from textbench.operators.predictions import baseline_predictions, truncate_output
 from textbench.session import materialize
 from textbench.sources.reports import metrics_report, write_report
@@ -37,10 +37,10 @@ class Settings:
     seed: int = 42
 
 
-def label_list(df: DataFrame, listed: Sequence[str] = LABELS, most: int = 1000) -> list[str]:
+def label_list(df: DataFrame, listed: Sequence[str] = LABELS, most: int = LABELS_IN_COLUMNS) -> list[str]:
     """The labels that ``resolve_labels`` settles on, as a plan-time list; one value per class,
     never per row. More than ``most`` are an error: they are hardly classes, and a model
-    has a column of weights for each."""
+    has a column of weights and reports have columns for each."""
     found = resolve_labels(df, listed).filter(F.col("label_id") <= most).orderBy("label_id").collect()
     if len(found) > most:
         raise ValueError(f"more than {most} labels")
