@@ -36,18 +36,24 @@ def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"textbench-{application}-")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder named by ``spark.checkpoint.dir``.
+def _work_root(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own; on a
     cluster a missing setting is an error, because executors share no local disk.
     """
+    application = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = _own_folder(spark.sparkContext.applicationId)
-    return f"{shared.rstrip('/')}/textbench/{uuid.uuid4().hex}"
+        shared = _own_folder(application)
+    return f"{shared.rstrip('/')}/textbench/{application}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; see ``clear_work``."""
+    return f"{_work_root(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,3 +66,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = work_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> bool:
+    """Delete everything that this application has written to the shared folder with
+    ``work_dir`` and ``materialize``, and tell whether there was anything.
+
+    For when the results are saved: frames that operators have returned may read from there.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
