@@ -27,8 +27,8 @@ EMBEDDED = 4
 #: A chunk is four blocks of bytes; the next begins three blocks later.
 BLOCK = 64
 PASSES = 8
-#: Bytes of a text, at a random place each time, that one training step reads.
-STEP_BYTES = 3072
+#: Chunks whose answers are held at once, however long a text is.
+CHUNKS_AT_ONCE = 4096
 GOOD_FROM = 0.7
 
 
@@ -70,8 +70,12 @@ class Network:
 
     def chunks(self, data: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The largest answer of each filter in each chunk."""
-        out = self.answers(data, tables)
-        blocks = np.maximum.reduceat(out, np.arange(0, len(out), BLOCK), axis=0)
+        step, n = CHUNKS_AT_ONCE * BLOCK, len(data) - WIDTH + 1
+        parts = []
+        for begin in range(0, n, step):
+            out = self.answers(data[begin : min(begin + step, n) + WIDTH - 1], tables)
+            parts.append(np.maximum.reduceat(out, np.arange(0, len(out), BLOCK), axis=0))
+        blocks = np.concatenate(parts)
         if len(blocks) <= 4:
             return blocks.max(axis=0)[None] + self.bias
         starts = np.append(np.arange(0, len(blocks) - 4, 3), len(blocks) - 4)
@@ -86,16 +90,26 @@ class Network:
         z = float(np.clip(x @ self.head[:-1] + self.head[-1], -30, 30))
         return 1 / (1 + np.exp(-z))
 
-    def step(self, data: np.ndarray, label: float, weight: float) -> list[np.ndarray]:
-        """Gradients of the log loss by all parameters, for one piece of one text."""
-        out = self.answers(data, self.tables())
-        n = len(out)
-        size = 4 * BLOCK
+    def _peaks(self, data: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each filter answers most in each chunk, and its answers there."""
+        n, size = len(data) - WIDTH + 1, 4 * BLOCK
         starts = np.arange(0, max(1, n - size + 1), 3 * BLOCK)
         if starts[-1] + size < n:
             starts = np.append(starts, n - size)
-        at = np.stack([s + out[s : s + size].argmax(axis=0) for s in starts])  # chunk, filter
-        c = np.take_along_axis(out, at, axis=0) + self.bias
+        at, most = [], []
+        for i in range(0, len(starts), CHUNKS_AT_ONCE):
+            some = starts[i : i + CHUNKS_AT_ONCE]
+            out = self.answers(data[some[0] : min(some[-1] + size, n) + WIDTH - 1], tables)
+            first = some - some[0]
+            where = np.stack([s + out[s : s + size].argmax(axis=0) for s in first])
+            at.append(where + some[0])
+            most.append(np.take_along_axis(out, where, axis=0))
+        return np.concatenate(at), np.concatenate(most)
+
+    def step(self, data: np.ndarray, label: float, weight: float, tables: np.ndarray | None = None) -> list[np.ndarray]:
+        """Gradients of the log loss by all parameters, for one whole text."""
+        at, c = self._peaks(data, self.tables() if tables is None else tables)  # chunk, filter
+        c = c + self.bias
         on = c > 0
         c = np.maximum(c, 0)
         x = np.concatenate((c.max(axis=0), c.mean(axis=0), c.min(axis=0), [1.0]))
@@ -116,7 +130,7 @@ class Network:
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network:
-    """Filters by stochastic gradient steps, then the final weights on whole texts."""
+    """Filters by stochastic gradient steps, then the final weights, both on whole texts."""
     r = np.random.default_rng(seed)
     net = Network.random(seed)
     data = [as_bytes(t) for t in texts]
@@ -128,10 +142,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network:
     for _ in range(PASSES):
         order = r.permutation(len(data))
         for group in np.array_split(order, max(1, len(order) // 8)):
-            total = [np.zeros_like(f) for f in first]
+            total, tables = [np.zeros_like(f) for f in first], net.tables()
             for i in group:
-                begin = int(r.integers(0, max(1, len(data[i]) - STEP_BYTES)))
-                found = net.step(data[i][begin : begin + STEP_BYTES + WIDTH], labels[i], 0.5 / share[labels[i]])
+                found = net.step(data[i], labels[i], 0.5 / share[labels[i]], tables)
                 for a, b in zip(total, found, strict=True):
                     a += b / len(group)
             t += 1
@@ -157,7 +170,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network:
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network | None:
     """A network from labels.quality of rows that are not held out; None without both
-    classes. The driver receives at most twice ``per_class`` texts."""
+    classes. The driver receives at most twice ``per_class`` texts, and bounded bytes of
+    them; see ``sample``."""
     rows = sample(documents, labels, "quality", per_class).orderBy("doc_id", "label", "text").collect()
     told = np.array([r["label"] for r in rows], dtype=int)
     if len(set(told)) < 2:
@@ -167,8 +181,9 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
 
 def score(documents: DataFrame, labels: DataFrame, network: Network | None = None) -> DataFrame:
     """Per row: doc_id, held_out, score. NULL counts as an empty text, which is scored as
-    blanks are; with nothing to learn from every score is 0.5. Repeated rows stay;
-    whole texts are read; other columns are ignored."""
+    blanks are; with nothing to learn from every score is 0.5. Repeated rows stay, and equal
+    texts score equal; whole texts are read, long ones in parts; other columns are
+    ignored; an empty table gives no rows."""
     network = network or train(documents, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
