@@ -10,18 +10,19 @@ pieces) is packed together, longest first.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.llm.words import known_id, with_missing_ids
+from textbench.llm.words import known_id, per_process, with_missing_ids
 from textbench.session import materialize
 
 CAPACITY = 2048
@@ -29,9 +30,9 @@ CAPACITY = 2048
 SLACK = 8
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; more only cost time.
-CACHED_WORDS = 600_000
-CHUNK_CHARS = 2_000_000
+#: Pieces of words whose ids a worker keeps, more only cost time, and bytes of texts that are encoded together.
+CACHED_PIECES = 500_000
+CHUNK_CHARS = 8_000_000
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -58,18 +59,45 @@ def cut(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int,
     return pieces
 
 
+class Runs:
+    """Numbered runs of ids, one after the other."""
+
+    def __init__(self, ids: list[int], count: list[int]):
+        self.ids, self.count = np.array(ids, dtype="<u4"), np.array(count, dtype=np.int32)
+        self.first = np.cumsum(self.count, dtype=np.int32) - self.count
+
+    def add(self, ids: np.ndarray, count) -> None:
+        count = np.asarray(count, dtype=np.int32)
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count, dtype=np.int32) - count))
+        self.count = np.concatenate((self.count, count))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of those runs, and where each run ends among them."""
+        count = self.count[numbers]
+        upto = np.cumsum(count, dtype=np.int32)  # a chunk of text is far below 2^31 ids
+        at = np.repeat(self.first[numbers] - (upto - count), count)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], upto
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space, word by word.
+    """Ids of whole texts by a tokenizer that drops white space and case, piece by piece.
 
-    Words between ASCII white space don't depend on each other, so the ids of each
-    are looked up; those not seen yet are encoded together. Equals the tokenizer's
-    own ``encode(text, add_special_tokens=False)``.
+    Words between ASCII white space don't depend on each other, and plain words consist
+    of pieces that don't: runs of letters, single digits, runs of punctuation. Arrow cuts
+    texts into pieces and numbers the different ones; only pieces not seen yet are encoded,
+    many together, and the ids of all are gathered by number. Words that are not plain
+    are pieces as they are. Equals the tokenizer's ``encode(text, add_special_tokens=False)``.
     """
 
-    # words that can be cut into pieces here: no apostrophe, whose contractions the
-    # tokenizer keeps together, and no letters whose lower case depends on others
-    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
-    PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+    # plain words hold no apostrophe, whose contractions the tokenizer keeps together, and
+    # no letters whose lower case depends on others
+    PLAIN = r"A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~"
+    # pieces other than runs of letters
+    BREAKS = r"([0-9]|[!-/:-@\[-`{-~]+)"
+    #: Stands before a word that is a piece as it is; plain words cannot hold it.
+    WHOLE = "\x00"
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -80,57 +108,77 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
 
-    def encode(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
+    def _forget(self) -> None:
+        """No piece known, but number 0, the end of a document, and the empty one."""
+        self.numbers: dict[str, int] = {"": 1}
+        self.runs = Runs([END_ID], [1, 0])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Ids of pieces, each of which ends with a token that says so, many at once."""
-        for i in range(0, len(pieces), 512):
-            some = pieces[i : i + 512]
+    def _learn(self, pieces: list[str]) -> None:
+        """Number ``pieces``, none of which is known. Plain ones end with a token that says
+        so, and are encoded many at once."""
+        whole = [p for p in pieces if p[0] == self.WHOLE]
+        plain = [p for p in pieces if p[0] != self.WHOLE]
+        found, counts = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(plain), 512):
+            some = plain[i : i + 512]
             ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some):
-                data = ids.tobytes()
-                at = [0, *(4 * ends).tolist()]
-                self.pieces.update((w, data[at[j] : at[j + 1]]) for j, w in enumerate(some))
-            else:
-                self.pieces.update((w, self.encode(w)) for w in some)
-
-    def learn(self, words: set[bytes]) -> None:
-        cut, asked = {}, set()
-        for word in words:
-            text = word.decode("utf-8", "surrogatepass")
-            if self.PLAIN.fullmatch(text) and "<|" not in text:
-                cut[word] = found = self.PIECES.findall(text.lower())
-                asked.update(found)
-            else:
-                self.known[word] = self.encode(text)
-        self._learn_pieces(list(asked.difference(self.pieces)))
-        piece = self.pieces.__getitem__
-        for word, found in cut.items():
-            self.known[word] = piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))
+            if len(ends) != len(some):
+                each = [self._ids(w) for w in some]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            found.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        for word in whole:
+            found.append(self._ids(word[1:]))
+            counts.append(np.array([len(found[-1])]))
+        first = len(self.runs.count)
+        self.numbers.update(zip([*plain, *whole], range(first, first + len(pieces)), strict=True))
+        self.runs.add(np.concatenate(found), np.concatenate(counts))
+
+    def _spaced(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of texts without words that are not plain."""
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), self.BREAKS, r" \1 "))
+
+    def _is_plain(self, texts: pa.Array, also: str = "") -> pa.Array:
+        return pc.and_(pc.match_substring_regex(texts, f"^[{self.PLAIN}{also}]*$"), pc.invert(pc.match_substring(texts, "<|")))
+
+    def _pieces(self, texts: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and where each text ends among them."""
+        if pc.all(self._is_plain(texts, r"\x09-\x0D\x20")).as_py():
+            lists = self._spaced(texts)
+            return lists.flatten(), np.diff(lists.offsets.to_numpy()).cumsum()
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten()
+        plain = self._is_plain(words)
+        whole = pc.binary_join_element_wise(self.WHOLE, words, "")
+        lists = pc.ascii_split_whitespace(
+            pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words), self.BREAKS, r" \1 "), whole)
+        )
+        upto = np.concatenate(([0], np.diff(lists.offsets.to_numpy()).cumsum()))
+        return lists.flatten(), upto[np.diff(split.offsets.to_numpy()).cumsum()]
+
+    def encoded(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with its end id, one after the other, and where each ends."""
+        if len(self.numbers) > CACHED_PIECES:
+            self._forget()
+        pieces, ends = self._pieces(texts)
+        coded = pieces.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self._learn([p for p in different if p not in self.numbers])
+        numbers = np.fromiter(map(self.numbers.__getitem__, different), np.int32, len(different))[coded.indices.to_numpy()]
+        ids, upto = self.runs.take(np.insert(numbers, ends, 0))
+        return ids, upto[ends + np.arange(len(ends))].astype(np.int64)
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        for first, last in chunks([len(t) for t in texts], CHUNK_CHARS):
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                self.pieces.clear()
-            split = [t.encode("utf-8", "surrogatepass").split() for t in texts[first:last]]
-            found = [list(map(self.known.get, words)) for words in split]
-            new = set()
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    new.update([w for w, known in zip(words, ids, strict=True) if known is None])
-            self.learn(new)
-            for words, ids in zip(split, found, strict=True):
-                yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
+        ids, ends = self.encoded(pa.array(texts, pa.string()))
+        for first, end in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            yield ids[first : end - 1].tobytes()
 
 
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -146,38 +194,47 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def word_ids(name: str) -> WordIds:
-    """One per worker process and file: kept with the library, which all tasks share."""
-    import tokenizers
+    """One per worker process and file, with the pieces that it has learned."""
+    return per_process(f"word_ids:{name}", lambda: WordIds(name))
+
 
-    kept = tokenizers.__dict__.setdefault("kept_word_ids", {})
-    if name not in kept:
-        kept[name] = WordIds(name)
-    return kept[name]
+def cuts(lengths: list[int], capacity: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, length, class) of the pieces of documents of those lengths."""
+    found = [cut(n, capacity, slack) for n in lengths]
+    owner = np.repeat(np.arange(len(found)), [len(p) for p in found])
+    flat = np.array([piece for p in found for piece in p], dtype=np.int64).reshape(-1, 2)
+    return owner, flat[:, 0], flat[:, 1]
 
 
 def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """The pieces of all documents with their class, and their place among the pieces
     of the class that the same task made."""
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "place"]
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = word_ids(tokenizer)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ids(tokenizer)
         worker, placed = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch["doc_id"], ids.texts(list(batch["text"])), strict=True):
-                view = memoryview(data + end)
-                n, start = len(view) // 4, 0
-                for length, k in cut(n, capacity, slack):
-                    crc = zlib.crc32(view[4 * start : 4 * (start + length)])
-                    rows.append((doc_id, start, length, crc, n, k, worker, placed[k]))
+            sizes = pc.binary_length(batch.column("text")).to_pylist()
+            for a, b in chunks(sizes, CHUNK_CHARS):
+                part = batch.slice(a, b - a)
+                ids, ends = words.encoded(part.column("text"))
+                tokens = np.diff(ends, prepend=0)
+                owner, length, kind = cuts(tokens.tolist(), capacity, slack)
+                upto = np.cumsum(length)  # the pieces follow each other as the ids do
+                view = memoryview(ids.tobytes())
+                crc = [zlib.crc32(view[4 * (end - n) : 4 * end]) for n, end in zip(length.tolist(), upto.tolist(), strict=True)]
+                place = []
+                for k in kind.tolist():
+                    place.append(placed[k])
                     placed[k] += 1
-                    start += length
-            columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "place"]
-            yield pd.DataFrame(rows, columns=columns)
+                start = upto - length - (ends - tokens)[owner]
+                columns = [part.column("doc_id").to_numpy()[owner], start, length, crc, tokens[owner], kind, np.full(len(owner), worker), place]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     rows = documents.select(known_id(F.col("doc_id")), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(make, PIECES)
+    return rows.mapInArrow(make, PIECES)
 
 
 def longest_first(rest: pd.DataFrame, capacity: int) -> pd.DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +32,18 @@ def spaced_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
+def per_process(name: str, make: Callable[[], object]):
+    """What ``make`` returns, made once in each worker process.
+
+    Functions travel to the workers with copies of the modules they belong to, so what
+    all tasks of a process share is kept in a module of its own.
+    """
+    kept = sys.modules.setdefault("textbench_worker", ModuleType("textbench_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row: the optimizer would otherwise
     put its expression inside the lambdas that use it, once per element."""
