@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbench.llm.words import known_id, mix, with_missing_ids
+from textbench.llm.words import known_id, mix, per_process, with_missing_ids
 from textbench.session import materialize
 
 DIMENSIONS = 2**15
@@ -55,9 +55,7 @@ def letter_table() -> np.ndarray:
 
 def letters() -> np.ndarray:
     """Which code points are letters; kept by the worker process."""
-    if "kept_letters" not in np.__dict__:
-        np.__dict__["kept_letters"] = letter_table()
-    return np.__dict__["kept_letters"]
+    return per_process("letters", letter_table)
 
 
 def features(text: str | None) -> np.ndarray | None:
