@@ -7,6 +7,10 @@ the anchor: the run of ``ANCHOR`` words in the window whose hash is least. Conse
 suffixes mostly share an anchor and travel together, and an anchor that occurs once
 needs no group at all. In each group the suffixes are sorted by what identifies their
 node, and nodes with several leaves give the words to remove.
+
+Prefixes have variable lengths: the groups of anchors are counted, and where one would
+not fit into memory its suffixes are partitioned by all their words instead, and travel
+one by one. Sorted, equal ones are neighbours, and no more than one is held at a time.
 """
 
 from __future__ import annotations
@@ -24,11 +28,14 @@ from pyspark.sql import functions as F
 
 from textbench.llm.packing import chunks
 from textbench.llm.words import IS_SPACE, known_id, mix, spans, window_hashes, with_missing_ids, word_hashes
+from textbench.session import materialize
 
 WINDOW = 35
 ANCHOR = 12
 #: UTF-8 bytes of texts that a worker looks at together.
 CHUNK_BYTES = 300_000
+#: Suffixes of a group that one worker holds.
+GROUP_SUFFIXES = 500_000
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +219,48 @@ def _repeats(window: int):
     return run
 
 
+def _neighbours(window: int):
+    """Over rows (anchor, suffix, key, start) sorted by the first two: ranges (key, start,
+    end) of suffixes that have an equal neighbour. A start of -1 says that there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4), dtype=np.int64)  # the last row, and whether an equal one was before it
+        before = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "suffix", "key", "start")], axis=1)
+            rows = np.concatenate((held, new))
+            equal = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+            told = rows[:, 3] < 0  # equal ones follow those, as -1 is the least start
+            repeated = np.concatenate(([before], equal)) | np.append(equal, False) | told
+            yield ranges(rows[:-1][repeated[:-1]])
+            held, before = rows[-1:], bool(repeated[-1])
+        if before:
+            yield ranges(held)
+
+    def ranges(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[rows[:, 3] >= 0]
+        columns = [pa.array(rows[:, 2]), pa.array(rows[:, 3], pa.int32()), pa.array(rows[:, 3] + window, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "start", "end"])
+
+    return run
+
+
+def repeated_ranges(runs: DataFrame, window: int) -> DataFrame:
+    """(key, start, end) of the words that repeat, from ``runs`` (see ``_runs``), materialized."""
+    sizes = runs.groupBy("anchor").agg(F.sum(F.size("windows")).alias("n"))
+    large = sizes.filter(F.col("n") > GROUP_SUFFIXES).select("anchor")
+    small = runs.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    ranges = small.mapInPandas(_repeats(window), "key bigint, start int, end int")
+    asked = runs.filter("windows is not null").join(large, "anchor").select("anchor", "key", "start", F.posexplode("windows").alias("at", "suffix"))
+    asked = asked.withColumn("start", F.when(F.col("start") < 0, -1).otherwise(F.col("start") + F.col("at")))
+    alone = asked.repartition("anchor", "suffix").sortWithinPartitions("anchor", "suffix", "start")
+    found = alone.select("anchor", "suffix", "key", "start").mapInArrow(_neighbours(window), "key bigint, start int, end int")
+    known = runs.filter("windows is null").join(large, "anchor").select("key", "start", "end")
+    return ranges.unionByName(found).unionByName(known)
+
+
 def _kept(part: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
     """Of each text: its words, those removed, and what is kept."""
     n_words, n_removed, kept = [], [], []
@@ -255,9 +304,7 @@ def _marked(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     runs = asked.mapInArrow(
         _runs(window, anchor), "anchor bigint, key bigint, start int, end int, windows array<bigint>"
     )
-    runs = runs.repartition("anchor").sortWithinPartitions("anchor")
-    ranges = runs.mapInPandas(_repeats(window), "key bigint, start int, end int")
-    ranges = ranges.distinct().groupBy("key")
+    ranges = repeated_ranges(materialize(runs), window).distinct().groupBy("key")
     ranges = ranges.agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return rows.join(ranges, "key", "left").select("doc_id", "text", "starts", "ends")
 
@@ -268,8 +315,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     Removes each word covered by a window of ``window`` words that starts anywhere
     else too, in the same document or another, its equal copies included. Windows are
     judged on the input. NULL and empty texts have no words; texts shorter than a
-    window keep all; repeated rows are copies of each other and lose all windows.
-    Other columns are ignored; an empty table gives no rows.
+    window keep all; repeated rows are copies of each other and lose all windows; very
+    long texts are one chunk of their own. Other columns are ignored; an empty table gives no rows.
     """
     rows = _marked(documents, window, anchor)
     return with_missing_ids(rows.mapInArrow(_without_ranges, "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
