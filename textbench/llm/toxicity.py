@@ -19,15 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbench.llm.labelled import sample
+from textbench.llm.labelled import sample, usable_labels, with_labels
 from textbench.llm.language import held_out
 from textbench.llm.words import IS_WORD, TO_LOWER, known_id, with_missing_ids
 from textbench.session import materialize
 
-#: Labelled documents of each class that the model is fitted on.
+#: Labelled documents of each class that the law of other texts and the calibration are fitted on.
 SAMPLE_PER_CLASS = 3000
-#: Tokens of a model, those with the surest log-odds.
+#: Tokens of a model, those with the surest log-odds, of four times as many most frequent ones.
 VOCABULARY = 50_000
+#: Different tokens that a task counts before it hands their counts on.
+TOKENS_AT_ONCE = 400_000
 #: The prior weighs as much as this share of all counted tokens.
 PRIOR_SHARE = 0.05
 #: Standard errors from 0 from which on a token's log-odds count.
@@ -109,56 +111,93 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def _kinds(text: str) -> set[bytes]:
+    """The different words of a text, and the stems of longer words."""
+    words = set(tokens(text))
+    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     """(token, n0, n1): in how many texts of each class each word, and each stem of longer
     words, occurs. A text counts once, so that no text that repeats a word decides."""
 
+    def told(counts: dict[int, Counter]) -> pd.DataFrame:
+        names = [*(counts[0].keys() | counts[1].keys())]
+        return pd.DataFrame({"token": names, "n0": [counts[0][w] for w in names], "n1": [counts[1][w] for w in names]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for label, text in zip(batch["label"], batch["text"], strict=True):
-                words = set(tokens(text))
-                counts[label].update(words)
-                counts[label].update({w[:STEM] + b"*" for w in words if len(w) > STEM})
-            names = [*(counts[0].keys() | counts[1].keys())]
-            yield pd.DataFrame({"token": names, "n0": [counts[0][w] for w in names], "n1": [counts[1][w] for w in names]})
+                counts[label].update(_kinds(text))
+                if len(counts[0]) + len(counts[1]) > TOKENS_AT_ONCE:
+                    yield told(counts)
+                    counts = {0: Counter(), 1: Counter()}
+        yield told(counts)
 
     found = rows.select("label", "text").mapInPandas(run, "token binary, n0 bigint, n1 bigint")
     return found.groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_odds(counts: pd.DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> pd.DataFrame:
-    """token, n0, n1, delta, z: log-odds in class 1 against 0 under the Dirichlet prior.
+def occurrences(documents: DataFrame, asked: list[bytes]) -> dict[bytes, int]:
+    """In how many of all texts each of the tokens ``asked`` occurs, and b"" any token at all,
+    counted as often as it occurs in a text's set. A vocabulary's number of counts is sent
+    to the tasks and by each of them."""
+    known = frozenset(asked)
 
-    ``weights`` of the classes' texts: how often a token occurs at all follows from them.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                found = _kinds(text)
+                counts.update(found & known)
+                counts[b""] += len(found)
+        yield pd.DataFrame({"token": [*counts], "n": [*counts.values()]})
+
+    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.mapInPandas(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    return dict(zip(map(bytes, found["token"]), found["n"].tolist(), strict=True))
+
+
+def log_odds(counts: pd.DataFrame) -> pd.DataFrame:
+    """``counts`` (token, n0, n1, n) with delta, z, p0: log-odds in class 1 against 0 under the
+    Dirichlet prior, which follows from ``n``, how often a token occurs in all documents."""
     n = counts["n0"].sum(), counts["n1"].sum()
     weight = PRIOR_SHARE * max(1, n[0] + n[1])
-    mix = weights[0] * counts["n0"] + weights[1] * counts["n1"]
-    prior = weight * mix / mix.sum()
+    prior = weight * counts["n"] / counts["n"].sum()
     a = counts["n1"] + prior
     b = counts["n0"] + prior
     delta = np.log(a / (n[1] + weight - a)) - np.log(b / (n[0] + weight - b))
     return counts.assign(delta=delta, z=delta / np.sqrt(1 / a + 1 / b), p0=b / (n[0] + weight))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
-    """A model from labels.toxic of rows that are not held out; None without both classes."""
+def train(
+    documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, vocabulary: int = VOCABULARY
+) -> Model | None:
+    """A model from labels.toxic of rows that are not held out; None without both classes.
+
+    Tokens are counted in all labelled rows, and how often they occur at all, the prior, in
+    all documents; ``per_class`` bounds the rows for the law of other texts and the
+    calibration, ``vocabulary`` the tokens that the driver gets.
+    """
     rows = sample(documents, labels, "toxic", per_class)
     weights = {r["label"]: r["weight"] for r in rows.groupBy("label").agg(F.first("weight").alias("weight")).collect()}
     if len(weights) < 2:
         return None
-    counts = materialize(token_counts(rows))
+    counts = materialize(token_counts(with_labels(documents, usable_labels(labels, "toxic"))))
     totals = counts.agg(F.sum("n0"), F.sum("n1")).first()
     counts = counts.filter(F.col("n0") + F.col("n1") >= LEAST_COUNT)
-    # the driver gets the most frequent tokens of the sample, at most four times the model's number
-    frame = counts.orderBy((F.col("n0") + F.col("n1")).desc(), "token").limit(4 * VOCABULARY).toPandas()
-    rest = pd.DataFrame({"token": [b""], "n0": [max(1, int(totals[0]) - frame["n0"].sum())], "n1": [max(1, int(totals[1]) - frame["n1"].sum())]})
+    frame = counts.orderBy((F.col("n0") + F.col("n1")).desc(), "token").limit(4 * vocabulary).toPandas()
     frame["token"] = [bytes(t) for t in frame["token"]]
-    frame = log_odds(pd.concat([frame, rest], ignore_index=True), (weights[0], weights[1]))
+    anywhere = occurrences(documents, frame["token"].tolist())
+    frame["n"] = [anywhere.get(t, 0) for t in frame["token"]]
+    # all other tokens are one
+    left = {"n0": int(totals[0]) - frame["n0"].sum(), "n1": int(totals[1]) - frame["n1"].sum(), "n": anywhere.get(b"", 0) - frame["n"].sum()}
+    rest = pd.DataFrame({"token": [b""], **{c: [max(1, n)] for c, n in left.items()}})
+    frame = log_odds(pd.concat([frame, rest], ignore_index=True))
     # a score is what the log-odds are at least, within one standard error
     frame["delta"] -= frame["delta"] / frame["z"].abs().clip(lower=1.0)
-    frame = frame[frame["z"].abs() > LEAST_Z].sort_values("z", key=abs, ascending=False).head(VOCABULARY)
+    frame = frame[frame["z"].abs() > LEAST_Z].sort_values("z", key=abs, ascending=False, kind="stable").head(vocabulary)
     is_stem = [token.endswith(b"*") for token in frame["token"]]
     pairs = zip(frame["token"], frame["delta"], is_stem, strict=True)
     words, stems = {}, {}
@@ -227,8 +266,9 @@ def score(documents: DataFrame, labels: DataFrame, model: Model | None = None) -
     """Per row: doc_id, held_out, score, passages (start, end in words, expected number).
 
     NULL and empty texts have no passages and the score of a text without any. With
-    nothing to learn from all scores are 0. Repeated rows stay; whole texts are read;
-    other columns are ignored.
+    nothing to learn from all scores are 0. Repeated rows stay, and equal texts score equal;
+    of tokens that are equally sure the more frequent are learned, then those that sort first. Whole texts are
+    read, in linear time; other columns are ignored; an empty table gives no rows.
     """
     model = model or train(documents, labels)
 
