@@ -17,8 +17,10 @@ from textbench.session import materialize
 
 WINDOW = 10
 SHINGLE = 3
-#: Benchmark rows that travel to every task; a larger benchmark is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of benchmark rows that travel to every task; a larger benchmark is joined by a shuffle.
+BROADCAST_BYTES = 256 * 2**20
+#: What a row takes besides its strings.
+ROW_BYTES = 64
 
 
 def _runs(words: Column, most: int) -> Column:
@@ -48,9 +50,9 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return out.select("window", "n", F.size("runs").alias("parts"), F.posexplode("runs").alias("at", "shingle"))
 
 
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """A hint to send ``df`` to every task, if it was counted to have few rows."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, size: int, most: int) -> DataFrame:
+    """A hint to send ``df`` to every task, if its bytes were counted to be few."""
+    return F.broadcast(df) if size <= most else df
 
 
 def overlaps(
@@ -58,7 +60,7 @@ def overlaps(
     benchmark: DataFrame,
     window: int = WINDOW,
     shingle: int = SHINGLE,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(doc_id, text_hash, start, n, window): every place where a document has a window.
 
@@ -66,9 +68,9 @@ def overlaps(
     empty benchmark and items without words match nothing. Neither side is collected.
     """
     parts = materialize(window_shingles(item_windows(benchmark, window), shingle))
-    n_parts = parts.count()
+    size = parts.agg(F.sum(F.octet_length("window") + F.octet_length("shingle") + F.lit(ROW_BYTES))).first()[0] or 0
     widths = [r["w"] for r in parts.select(F.least("n", F.lit(shingle)).alias("w")).distinct().collect()]
-    vocabulary = small(parts.select("shingle").distinct(), n_parts, broadcast_rows)
+    vocabulary = small(parts.select("shingle").distinct(), size, broadcast_bytes)
 
     words = documents.select(*document_key(), word_array(F.col("text")).alias("words"))
     matches = None
@@ -88,12 +90,12 @@ def overlaps(
     )
     start = F.col("place") - F.col("at")
     candidates = (
-        matches.join(small(prefix, n_parts, broadcast_rows), "shingle")
+        matches.join(small(prefix, size, broadcast_bytes), "shingle")
         .withColumn("start", start)
         .filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
         .select("doc_id", "text_hash", "start", "n", "parts", "window")
     )
-    wanted = small(parts.select("window", "at", "shingle"), n_parts, broadcast_rows)
+    wanted = small(parts.select("window", "at", "shingle"), size, broadcast_bytes)
     asked = candidates.join(wanted, "window").withColumn("place", F.col("start") + F.col("at"))
     a, b = asked.alias("a"), matches.alias("b")
     same = (
@@ -112,7 +114,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **settings) -> Dat
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` holds the
     sorted ids of the items with occurring windows. Repeated rows stay; rows without
-    an id keep a NULL id; other columns are ignored.
+    an id keep a NULL id; very long texts are read whole; other columns of either table are
+    ignored; an empty table gives no rows.
     """
     places = overlaps(documents, benchmark, **settings)
     key = ["doc_id", "text_hash"]
@@ -148,7 +151,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **settings) -> Dat
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``documents`` without those that hold any window of the benchmark."""
+    """``documents`` without those that hold any window of the benchmark, columns unchanged;
+    an empty table stays empty."""
     found = overlaps(documents, benchmark, **settings).select("doc_id", "text_hash").distinct()
     rows = documents.select(
         documents["doc_id"].alias("row_id"),
