@@ -15,7 +15,8 @@ from textbench.llm.words import let, spaced_words
 
 K = 128
 SHINGLE = 5
-BLOCKS_AT_MOST = 4096
+#: Bytes of text in a range of ids, about; there are as many ranges as that makes.
+RANGE_BYTES = 256 * 2**20
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -80,9 +81,15 @@ def printed(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(digits, "")))
 
 
+def ranges_for(documents: DataFrame, least: int) -> int:
+    """How many ranges of RANGE_BYTES the texts make, ``least`` at least."""
+    total = documents.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    return max(least, -(-total // RANGE_BYTES))
+
+
 def splits(documents: DataFrame, blocks: int) -> tuple[list[int], int | None]:
     """Ids that cut the documents into about ``blocks`` even ranges, and the id that
-    comes first. At most ``blocks`` numbers reach the driver, and that is a parameter."""
+    comes first. The driver gets a number for each range, that is for RANGE_BYTES of text."""
     shares = [i / blocks for i in range(1, blocks)] or [0.0]
     row = documents.agg(
         F.percentile_approx("doc_id", shares, max(10_000, 20 * blocks)).alias("at"),
@@ -118,7 +125,7 @@ def edit_and_compare(documents: DataFrame, k: int = K, blocks: int | None = None
     sent to the range before, so no step needs all rows in order in one task.
     """
     spark = documents.sparkSession
-    blocks = blocks or min(BLOCKS_AT_MOST, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks or ranges_for(documents, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     at, first = splits(documents.select("doc_id"), blocks)
     block = block_of(F.col("doc_id"), at)
     # (range, turn): what stands first in a range also follows the last row of the range
