@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -96,3 +97,26 @@ def test_many_detections_take_time_in_proportion():
     began = time.time()
     assert len(L.detect(data, L.rules())) >= 60_000
     assert time.time() - began < 20
+
+
+def test_keywords_lose_no_match():
+    """What the patterns find without any prefilter is what the gated rules find."""
+    ordered = L.rules()
+    gated = L.Prefilter(ordered)
+    assert all(r.keywords for r in ordered)
+    r = random.Random(5)
+    samples = [words for signatures in L.SIGNATURES.values() for _, _, words in signatures]
+    for _ in range(150):
+        text = []
+        for words in r.sample(samples, 4):  # optional parts there or not, one of each alternative
+            while (m := re.search(r"\((?:\?:)?([^()]*)\)(\??)", words)):
+                one = r.choice(m[1].split("|"))
+                words = words[: m.start()] + ("" if m[2] and r.random() < 0.5 else one) + words[m.end() :]
+            words = re.sub(r"_\?", "_", words)
+            words = re.sub(r"\[([^\]]*)\](?:\{[^}]*\})?", lambda m: m[1][0], words)
+            words = re.sub(r"\.\{[^}]*\}\??", "x", words).replace("?", "").replace("\\", "")
+            text.append(words.replace("_", r.choice([" ", ", ", "-", " \n "])))
+        data = ". ".join(text).encode()
+        plain = [(rule.label, *m.span()) for rule in ordered for m in rule.pattern.finditer(data)]
+        assert sorted((d.label, d.start, d.end) for d in L.search(data, gated)) == sorted(plain)
+        assert plain
