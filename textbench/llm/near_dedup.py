@@ -30,6 +30,8 @@ BANDS = 16
 ROWS = 4
 SLOTS = BANDS * ROWS
 MARKED = "id bigint, copy string, size int, bands array<bigint>"
+#: Texts whose shingles are held at once.
+ROWS_AT_ONCE = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,9 +87,16 @@ def row_id(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), own)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that less of what is made of them is held at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(first, ROWS_AT_ONCE)
+
+
 def _mark(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [bands_of(text.as_py()) for text in batch.column("text")]
             size = pa.array([n for n, _ in found], pa.int32())
             bands = pa.array([hashes for _, hashes in found], pa.list_(pa.int64()))
@@ -150,7 +159,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """(id, shingles) of (id, text): the hashes of each text's shingles, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [np.unique(shingles(text.as_py())) for text in batch.column("text")]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)

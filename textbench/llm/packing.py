@@ -32,7 +32,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of words whose ids a worker keeps, more only cost time, and bytes of texts that are encoded together.
 CACHED_PIECES = 500_000
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -115,6 +115,12 @@ class WordIds:
         self.numbers: dict[str, int] = {"": 1}
         self.runs = Runs([END_ID], [1, 0])
 
+    def release(self) -> None:
+        """Give back the memory of what was learned. Workers outlive tasks and the stages
+        that need it."""
+        self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -194,7 +200,7 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def word_ids(name: str) -> WordIds:
-    """One per worker process and file, with the pieces that it has learned."""
+    """The tokenizer of a file, one per worker process."""
     return per_process(f"word_ids:{name}", lambda: WordIds(name))
 
 
@@ -232,6 +238,7 @@ def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAP
                 start = upto - length - (ends - tokens)[owner]
                 columns = [part.column("doc_id").to_numpy()[owner], start, length, crc, tokens[owner], kind, np.full(len(owner), worker), place]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        words.release()
 
     rows = documents.select(known_id(F.col("doc_id")), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(make, PIECES)
