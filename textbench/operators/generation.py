@@ -83,7 +83,8 @@ def generate_stored(
     about ``prompts_per_task`` prompts, more where that would make more than ``tasks`` tasks.
     The outputs of a task are in the store as soon as it ends: if an executor or the whole
     run is lost, the next one asks what is missing. Prompts that ``fn`` fails for become
-    ``failed`` and are not stored, so a later run asks them again.
+    ``failed`` and are not stored, so a later run asks them again. ``df`` is read twice, to
+    ask and to answer; materialize it first if that is dear.
     """
     spark = df.sparkSession
     keyed = df.withColumn("_hash", F.sha2(F.coalesce(prompt_col, F.lit("")), 256))
