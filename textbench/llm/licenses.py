@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 Every rule is a hand-written pattern over lower-cased text with a keyword, a label and a
-priority (``license_rules``). A text is searched only by rules whose keyword it contains.
+priority (``license_rules``). A text is searched only by rules whose keyword it contains,
+and the longest words that the pattern cannot do without.
 Identifiers of a license expression, joined by AND, OR and WITH, are detections each.
 Detections that overlap are resolved: one inside the span of a detection of at least its
 priority is suppressed.
@@ -27,6 +28,8 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 GAP = r"[^0-9a-z\x80-\xff]+"
 BEFORE, BEHIND = r"(?<![0-9a-z\x80-\xff])", r"(?![0-9a-z\x80-\xff])"
+#: Words of a signature that a text must hold to be searched for it, besides the keyword.
+MOST_KEYWORDS = 4
 BASE_PRIORITY, IDENTIFIER_PRIORITY = 100, 90
 EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n\"'*<>;]{1,400})")
 IDENTIFIER = re.compile(rb"[0-9a-z][0-9a-z.-]*[0-9a-z]|[0-9a-z]")
@@ -37,15 +40,26 @@ OPERATORS = {b"and", b"or", b"with"}
 class Rule:
     label: str
     priority: int
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern[bytes]
     base: bool = False
 
 
+def needed_words(words: str) -> list[str]:
+    """The plain words that every match of a signature holds, longest first."""
+    group = re.compile(r"\((?:\?:)?[^()]*\)\??")
+    while group.search(words):  # what is optional or has alternatives, from the inside
+        words = group.sub("#", words)
+    plain = re.split("_(?!\\?)", words)
+    return sorted({w for w in plain if re.fullmatch("[0-9a-z]+", w)}, key=lambda w: (-len(w), w))
+
+
 def _rule(label: str, priority: int, keyword: str, words: str, base: bool = False) -> Rule:
     # an optional gap may also be none
     pattern = words.replace("_?", f"(?:{GAP})?").replace("_", GAP)
-    return Rule(label, priority, keyword.encode(), re.compile(BEFORE.encode() + pattern.encode() + BEHIND.encode()), base)
+    gates = dict.fromkeys([*needed_words(words)[:MOST_KEYWORDS], keyword])
+    keywords = tuple(k.encode() for k in gates)
+    return Rule(label, priority, keywords, re.compile(BEFORE.encode() + pattern.encode() + BEHIND.encode()), base)
 
 
 def rules() -> list[Rule]:
@@ -76,15 +90,33 @@ def identifiers(data: bytes) -> Iterator[Detection]:
                 yield Detection(IDENTIFIERS[plain], IDENTIFIER_PRIORITY, m.start(1) + name.start(), m.start(1) + name.end(), False)
 
 
-def search(data: bytes, ordered: list[Rule]) -> list[Detection]:
+class Prefilter:
+    """Finds the rules whose keywords a text holds, all of them in one pass over the text."""
+
+    def __init__(self, ordered: list[Rule]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        self.of_first: dict[bytes, list[int]] = {}
+        for place, rule in enumerate(ordered):
+            self.of_first.setdefault(rule.keywords[0], []).append(place)
+            for keyword in rule.keywords:
+                self.automaton.add_word(keyword.decode("latin-1"), keyword)
+        self.automaton.make_automaton()
+        self.ordered = ordered
+
+    def rules_for(self, data: bytes) -> list[Rule]:
+        """The rules to search ``data`` by, in their order."""
+        present = {keyword for _, keyword in self.automaton.iter(data.decode("latin-1"))}
+        asked = (place for keyword in present for place in self.of_first.get(keyword, ()))
+        return [self.ordered[place] for place in sorted(asked) if present.issuperset(self.ordered[place].keywords)]
+
+
+def search(data: bytes, prefilter: Prefilter) -> list[Detection]:
     """Everything that the rules find in lower-cased UTF-8, in their order."""
-    present: dict[bytes, bool] = {}
     found = list(identifiers(data)) if b"spdx-license" in data else []
-    for rule in ordered:
-        if rule.keyword not in present:
-            present[rule.keyword] = rule.keyword in data
-        if present[rule.keyword]:
-            found += [Detection(rule.label, rule.priority, *m.span(), rule.base) for m in rule.pattern.finditer(data)]
+    for rule in prefilter.rules_for(data):
+        found += [Detection(rule.label, rule.priority, *m.span(), rule.base) for m in rule.pattern.finditer(data)]
     return found
 
 
@@ -111,9 +143,9 @@ def resolve(found: list[Detection]) -> list[Detection]:
     return sorted(kept, key=lambda d: (d.start, -d.end))
 
 
-def detect(data: bytes, ordered: list[Rule]) -> list[Detection]:
+def detect(data: bytes, rules: list[Rule] | Prefilter) -> list[Detection]:
     """Detections in lower-cased UTF-8 that are not suppressed."""
-    return resolve(search(data, ordered))
+    return resolve(search(data, rules if isinstance(rules, Prefilter) else Prefilter(rules)))
 
 
 _LOWER = bytes(TO_LOWER.tolist())
@@ -135,12 +167,13 @@ def scan(documents: DataFrame) -> DataFrame:
     ordered = rules()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prefilter = Prefilter(ordered)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
                 starts, _ = spans(IS_WORD[np.frombuffer(data, dtype=np.uint8)])
-                found = detect(data, ordered)
+                found = detect(data, prefilter)
                 word = np.searchsorted(starts, [d.start for d in found]).tolist()
                 last = (np.searchsorted(starts, [d.end for d in found]) - 1).tolist()
                 base = [w for d, w in zip(found, word, strict=True) if d.base]
