@@ -183,37 +183,36 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.select("conv", "conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
 
 
-def _fault(seen: Column) -> tuple[Column, Column]:
-    """(fault, letter) of a row; see ``repair``. The first fault counts."""
+def compact(rows: DataFrame) -> DataFrame:
+    """(conv, turn, role, content, state) of ``rows`` (conv, turn, role, text): a hash of role
+    and text, and whether the text is blank, open (does not end a sentence) or whole."""
     text = F.rtrim(F.col("text"), F.lit(SPACE))
-    fault = (
-        F.when(text == "", "blank")
-        .when(seen, "duplicate")
-        .when(~F.substring(text, -1, 1).isin(".", "!", "?"), "truncated")
-    )
-    initial = F.substring("role", 1, 1)
-    plain = F.when(initial.isin("u", "a", "s"), initial).otherwise("o")
-    letter = (
-        F.when(fault.isin("blank", "duplicate"), MUST_GO)
-        .when(fault == "truncated", F.upper(plain))
-        .otherwise(plain)
-    )
-    return fault, letter
+    state = F.when(text == "", "blank").when(F.substring(text, -1, 1).isin(".", "!", "?"), "whole").otherwise("open")
+    return rows.select("conv", "turn", "role", _content().alias("content"), state.alias("state"))
+
+
+def _content() -> Column:
+    return F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
 
 
 def faulty_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` (conv, turn, role, text) in order, with number, place in the conversation,
-    fault and letter. Rows of one turn stand in the order of role and of a hash of the text."""
-    content = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
-    rows = rows.withColumn("content", content)
+    """``rows`` (see ``compact``) in order: conv, place in the conversation, role, content,
+    fault and letter (see ``repair``); the first fault counts. Rows of one turn stand in the
+    order of role and content."""
     numbered = sorted_numbers(rows, ["conv", F.col("turn").asc_nulls_first(), "role", "content"])
-    compact = numbered.select("conv", "content", "number")
-    earliest = compact.groupBy("conv", "content").agg(F.min("number").alias("earliest"))
-    first = compact.groupBy("conv").agg(F.min("number").alias("first"))
+    earliest = numbered.groupBy("conv", "content").agg(F.min("number").alias("earliest"))
+    first = numbered.groupBy("conv").agg(F.min("number").alias("first"))
     numbered = numbered.join(first, "conv").join(earliest, ["conv", "content"])
-    fault, letter = _fault(F.col("number") > F.col("earliest"))
+    fault = (
+        F.when(F.col("state") == "blank", "blank")
+        .when(F.col("number") > F.col("earliest"), "duplicate")
+        .when(F.col("state") == "open", "truncated")
+    )
+    initial = F.substring("role", 1, 1)
+    plain = F.when(initial.isin("u", "a", "s"), initial).otherwise("o")
+    letter = F.when(fault.isin("blank", "duplicate"), MUST_GO).when(fault == "truncated", F.upper(plain)).otherwise(plain)
     place = (F.col("number") - F.col("first")).alias("place")
-    return materialize(numbered.select("conv", place, "role", "text", fault.alias("fault"), letter.alias("letter")))
+    return materialize(numbered.select("conv", place, "role", "content", fault.alias("fault"), letter.alias("letter")))
 
 
 FOUND = "conv string, place bigint, ahead string, changed string, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string"
@@ -254,10 +253,13 @@ def _line(role: Column, text: Column) -> Column:
     return F.concat(role, F.lit(":"), text)
 
 
-def repaired_lines(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """(conv, place, line): the lines that a row leaves, inserted ones ahead of it first,
-    joined by newlines; NULL if none."""
-    both = edits.select("conv", "place", "ahead", "changed").join(rows.select("conv", "place", "role", "text"), ["conv", "place"], "left")
+def repaired_lines(rows: DataFrame, edits: DataFrame, texts: DataFrame) -> DataFrame:
+    """(conv, place, line): the lines that each of ``rows`` (see ``faulty_rows``) leaves, inserted
+    ones ahead of it first, joined by newlines; NULL if none. A row that stays is the only
+    one of its content, so its text is looked up in ``texts`` (conv, role, text) by that."""
+    both = edits.select("conv", "place", "ahead", "changed").join(rows.select("conv", "place", "role", "content"), ["conv", "place"], "left")
+    texts = texts.select("conv", _content().alias("content"), "text").groupBy("conv", "content").agg(F.first("text").alias("text"))
+    both = both.filter("ahead != '' or changed != ''").join(texts, ["conv", "content"], "left")
 
     def role(initial):
         return F.when(initial == "u", "user").otherwise("assistant")
@@ -298,12 +300,12 @@ def _repaired(rows: DataFrame) -> DataFrame:
         F.min("conv_id").alias("conv_id"),
         (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"),
     )
-    marked = faulty_rows(rows.select("conv", "turn", "role", "text"))
+    marked = faulty_rows(compact(rows))
     letters = marked.select("conv", "place", "fault", "letter", F.substring("role", 1, 1).alias("initial"))
     letters = letters.repartition("conv").sortWithinPartitions("conv", "place")
     edits = materialize(letters.mapInArrow(_search, FOUND))
     counts = edits.filter("audit is not null").select("conv", *_COUNTS, "audit")
-    lines = repaired_lines(marked, edits).filter("line is not null")
+    lines = repaired_lines(marked, edits, rows).filter("line is not null")
     part = F.floor(F.col("place") / PART).alias("part")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
     parts = lines.groupBy("conv", part).agg(joined.alias("lines"))
